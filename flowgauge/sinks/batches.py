@@ -20,13 +20,19 @@ class ParquetTable:
     Only the (date, batch) partitions of this batch are overwritten, and they are swapped in when
     the write commits, so a replay leaves neither duplicates nor gaps. Dates come first so that a
     reader's date bound prunes whole branches. Rows are sorted within files, which gives row groups
-    narrow time ranges; there is no shuffle, since nearly all rows of a batch share one date.
+    narrow ranges.
+
+    By default a batch is written by the tasks that computed it. `files_per_date` is for results of
+    a stateful query, whose many state partitions would each leave a tiny file per date: their rows
+    are spread over that many files of a date instead. (Adaptive rebalancing would do, but Spark
+    turns adaptive execution off in such a query.)
     """
 
     path: str
     time_column: str | None = None
     date_column: str | None = None
     sort_by: tuple[str, ...] = ()
+    files_per_date: int | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys = ["batch_id"]
@@ -34,6 +40,9 @@ class ParquetTable:
         if self.date_column:
             keys.insert(0, self.date_column)
             rows = rows.withColumn(self.date_column, F.to_date(self.time_column))
+        if self.files_per_date:
+            part = F.pmod(F.hash(*self.sort_by), F.lit(self.files_per_date))
+            rows = rows.repartition(*keys, part)
         if self.sort_by:
             rows = rows.sortWithinPartitions(*keys, *self.sort_by)
         (
@@ -48,8 +57,9 @@ def raw_parquet(path: str) -> ParquetTable:
     return ParquetTable(path, "event_time", "event_date", ("sensor_id", "event_time"))
 
 
-def window_parquet(path: str) -> ParquetTable:
-    return ParquetTable(path, "window_start", "window_date", ("sensor_id", "window_start"))
+def window_parquet(path: str, files_per_date: int = 4) -> ParquetTable:
+    sort_by = ("sensor_id", "window_start")
+    return ParquetTable(path, "window_start", "window_date", sort_by, files_per_date)
 
 
 def quarantine_parquet(path: str) -> ParquetTable:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
-from flowgauge.functions.wire import reading_json
+from flowgauge.functions.wire import json_int, reading_json
 
 EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
@@ -23,7 +23,7 @@ def events_path(sf_dir: str) -> str:
 def as_readings(events: DataFrame) -> DataFrame:
     """Events in the shape of readings; `event_time` stays the bare column so that bounds on it
     reach the scan."""
-    count = F.from_json("props", "k INT")["k"]
+    count = json_int(F.col("props"), "k")
     return events.select(
         "event_id",
         F.col("event_type").alias("sensor_id"),
