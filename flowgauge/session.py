@@ -54,9 +54,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and keep the rows in the shared folder, so that later actions agree on them
-    and a lost executor costs a re-read instead of a recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Compute once and keep the rows as a table in the shared folder.
+
+    Later actions then agree on the rows, and a lost executor costs a re-read instead of a
+    recomputation. A table rather than `checkpoint()`: it is read by column, and its size on disk
+    tells the planner which joins may broadcast.
+    """
+    path = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,0 +1,195 @@
+import math
+import os
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowgauge import schemas
+from flowgauge.functions.measures import round_half_even
+from flowgauge.jobs.report_job import write_report
+from flowgauge.operators.charts import hour_ticks, hourly_matrix, sensor_matrix
+from flowgauge.operators.labels import with_labels
+from flowgauge.operators.ranking import peak_hours, rank_by_score, scored
+from flowgauge.operators.rollup import hourly_traffic, latest_event_time, trailing_readings
+from flowgauge.plans.report import congestion_report
+from flowgauge.sinks.report_files import read_csv, report_dir, write_csv
+from tests.helpers import at, hourly, readings, same_rows, tuples
+
+HEADER = (
+    "sensor_id,hour_bucket,total_vehicles,avg_speed,congestion_score,congestion_rank,"
+    "intervention_required,recommendation\n"
+)
+
+# Two published reports; the last four columns follow from the first four.
+GOLDEN = {
+    "2026-05-09": HEADER
+    + """\
+junction_01,2026-05-09 17:00:00,22599,32.19966824644547,701.8395291229347,3,Monitor,Continue monitoring
+junction_02,2026-05-09 17:00:00,22659,32.05176935229067,706.9500516788354,1,Yes,Priority police deployment
+junction_03,2026-05-09 17:00:00,22315,32.695727848101235,682.5050692760741,4,Monitor,Continue monitoring
+junction_04,2026-05-09 17:00:00,22513,31.949794303797482,704.6367743695976,2,Monitor,Continue monitoring
+""",
+    "2026-05-10": HEADER
+    + """\
+junction_01,2026-05-10 07:00:00,20633,32.188807017543844,640.999214067002,1,Yes,Priority police deployment
+junction_02,2026-05-10 07:00:00,20155,32.180315789473696,626.3145499210041,3,Monitor,Continue monitoring
+junction_03,2026-05-10 07:00:00,20203,32.42292982456138,623.1084022732455,4,Monitor,Continue monitoring
+junction_04,2026-05-10 07:00:00,20385,32.42875438596489,628.6087882802736,2,Monitor,Continue monitoring
+""",
+}
+
+
+def labelled(hours):
+    return with_labels(rank_by_score(scored(hours)))
+
+
+def csv_text(path):
+    parts = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
+    assert len(parts) == 1
+    return (path / parts[0]).read_text()
+
+
+@pytest.mark.parametrize("day", GOLDEN)
+def test_published_reports(spark, tmp_path, day):
+    source = tmp_path / "golden.csv"
+    source.write_text(GOLDEN[day])
+    golden = read_csv(spark, str(source), schemas.REPORT)
+    report = labelled(golden.select("sensor_id", "hour_bucket", "total_vehicles", "avg_speed"))
+    same_rows(tuples(report), tuples(golden))
+    write_csv(report, str(tmp_path / "out"), ["sensor_id", "hour_bucket"])
+    assert csv_text(tmp_path / "out") == GOLDEN[day]
+
+
+def test_peak_keeps_ties(spark):
+    hours = hourly(spark, ("a", 10, 100, 1.0), ("a", 11, 100, 2.0), ("a", 12, 90, 3.0), ("b", 10, 7, 4.0))
+    same_rows(
+        [(s, h.hour) for s, h, *_ in tuples(peak_hours(hours))], [("a", 10), ("a", 11), ("b", 10)]
+    )
+
+
+def test_score_rank_and_labels(spark):
+    hours = hourly(
+        spark,
+        ("a", 1, 100, 10.0),
+        ("b", 1, 150, 15.0),
+        ("c", 1, 140, 14.0),
+        ("d", 1, 90, 30.0),
+        ("e", 1, 5, 0.0),
+        ("f", 1, 0, 0.0),
+    )
+    found = {
+        r.sensor_id: (r.congestion_score, r.congestion_rank, r.intervention_required, r.recommendation)
+        for r in labelled(hours).collect()
+    }
+    slow = "Deploy if speeds drop below 15 km/h"
+    assert found == {
+        "a": (10.0, 2, "Yes", slow),
+        "b": (10.0, 2, "Monitor", "Continue monitoring"),
+        "c": (10.0, 2, "Yes", slow),
+        "d": (3.0, 3, "Monitor", "Continue monitoring"),
+        "e": (math.inf, 1, "Yes", "Priority police deployment"),
+    }
+
+
+def test_trailing_bound_is_inclusive(spark):
+    newest = at("12:00:00")
+    edge = newest - timedelta(days=1)
+    rows = readings(
+        spark,
+        ("new", newest, 1, 1.0),
+        ("edge", edge, 1, 1.0),
+        ("old", edge - timedelta(microseconds=1), 1, 1.0),
+    )
+    assert sorted(r.sensor_id for r in trailing_readings(rows).collect()) == ["edge", "new"]
+
+
+def test_trailing_by_date_partition_gives_the_same_rows(spark, sf_dir):
+    from flowgauge.sources.tables import event_readings
+
+    rows = event_readings(spark, sf_dir)
+    dated = rows.withColumn("event_date", F.to_date("event_time"))
+    same_rows(
+        tuples(trailing_readings(rows)),
+        tuples(trailing_readings(dated, date_column="event_date").drop("event_date")),
+    )
+
+
+def test_hourly_is_unweighted(spark):
+    rows = readings(spark, ("a", "10:00:00", 1, 10.0), ("a", "10:59:59.9", 99, 20.0), ("a", "11:00:00", 5, 7.0))
+    same_rows(
+        tuples(hourly_traffic(rows)),
+        [("a", at("10:00:00"), 100, 15.0), ("a", at("11:00:00"), 5, 7.0)],
+    )
+    assert hourly_traffic(rows).schema["hour_bucket"].dataType.simpleString() == "timestamp_ntz"
+
+
+def test_no_readings_no_report(spark, tmp_path):
+    nothing = spark.createDataFrame([], schemas.READING)
+    assert latest_event_time(nothing).head()[0] is not None
+    report = congestion_report(nothing)
+    assert report.is_empty()
+    assert report.rows.count() == 0
+    assert report.ticks().count() == 0
+    assert report.matrix_by_sensor().count() == 0
+    assert not write_report(report, str(tmp_path / "out"), date(2026, 5, 9))
+    assert not (tmp_path / "out").exists()
+
+
+def test_report_files_replace_a_rerun(spark, tmp_path):
+    rows = readings(spark, ("a", "10:00:00", 10, 2.5), ("b", "11:00:00", 10, 0.0))
+    report = congestion_report(rows)
+    day = date(2026, 5, 9)
+    for _ in range(2):
+        assert write_report(report, str(tmp_path), day)
+    place = tmp_path / "report_date=2026-05-09"
+    assert csv_text(place / "report") == HEADER + (
+        "a,2026-05-09 10:00:00,10,2.5,4.0,2,Yes,Deploy if speeds drop below 15 km/h\n"
+        "b,2026-05-09 11:00:00,10,0.0,Infinity,1,Yes,Priority police deployment\n"
+    )
+    assert csv_text(place / "matrix") == (
+        "hour_bucket,a,b\n2026-05-09 10:00:00,10,0\n2026-05-09 11:00:00,0,10\n"
+    )
+    assert csv_text(place / "ticks") == "position,label\n0,2026-05-09 10:00\n1,2026-05-09 11:00\n"
+    back = read_csv(spark, f"{report_dir(str(tmp_path), day)}/report", schemas.REPORT)
+    same_rows(tuples(back), tuples(report.rows))
+
+
+def test_large_csv_parts_keep_the_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("flowgauge.sinks.report_files.ONE_FILE_ROWS", 10)
+    rows = spark.range(1000).select(F.format_string("s%04d", 999 - F.col("id")).alias("sensor_id"))
+    write_csv(rows, str(tmp_path / "out"), ["sensor_id"])
+    parts = sorted(f for f in os.listdir(tmp_path / "out") if f.endswith(".csv"))
+    lines = [line for f in parts for line in (tmp_path / "out" / f).read_text().splitlines()[1:]]
+    assert lines == [f"s{n:04d}" for n in range(1000)]
+
+
+def test_matrix_fills_gaps(spark):
+    hours = hourly(spark, ("b", 11, 3, 1.0), ("a", 10, 1, 1.0), ("a", 12, 2, 1.0))
+    wide = hourly_matrix(hours)
+    assert wide.columns == ["hour_bucket", "a", "b"]
+    same_rows(
+        tuples(wide), [(at("10:00:00"), 1, 0), (at("11:00:00"), 0, 3), (at("12:00:00"), 2, 0)]
+    )
+    same_rows(tuples(hourly_matrix(hours, ["a", "b"])), tuples(wide))
+    turned = sensor_matrix(hours, 2)
+    assert turned.columns == ["sensor_id", "h00", "h01", "h02"]
+    same_rows(tuples(turned), [("a", 1, 0, 2), ("b", 0, 3, 0)])
+
+
+@pytest.mark.parametrize("n, step", [(1, 1), (12, 1), (13, 2), (24, 2), (25, 3)])
+def test_ticks(spark, n, step):
+    first = at("00:00:00")
+    rows = spark.createDataFrame(
+        [("s", first + timedelta(hours=h), 1, 1.0) for h in range(n)], schemas.HOURLY
+    )
+    found = sorted(tuples(hour_ticks(rows.union(rows))))
+    want = [(p, (first + timedelta(hours=p)).strftime("%Y-%m-%d %H:%M")) for p in range(0, n, step)]
+    assert found == want
+
+
+def test_display_rounding(spark):
+    values = [0.125, 0.135, 1.005, 2.345, 2.675, 10.115, math.inf]
+    rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    found = [r[0] for r in rows.select(round_half_even(F.col("v"))).collect()]
+    assert found == [0.12, 0.14, 1.0, 2.35, 2.68, 10.12, math.inf]

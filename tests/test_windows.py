@@ -1,0 +1,39 @@
+import pytest
+from pyspark.sql import functions as F
+
+from flowgauge.functions.timestamps import zoned
+from flowgauge.operators.windows import window_congestion
+from tests.helpers import at, readings, same_rows, tuples
+
+ROWS = [
+    ("j1", "17:00:00", 10, 20.0),
+    ("j1", "17:04:59", 10, 40.0),
+    ("j1", "17:05:00", 7, 7.0),
+    ("j2", "17:04:59.999999", 3, 0.0),
+]
+
+
+@pytest.mark.parametrize("as_instant", [False, True])
+def test_tumbling_windows(spark, as_instant):
+    rows = readings(spark, *ROWS)
+    if as_instant:
+        rows = rows.withColumn("event_time", zoned(F.col("event_time")))
+    same_rows(
+        tuples(window_congestion(rows)),
+        [
+            ("j1", at("17:00:00"), at("17:05:00"), 30.0, 20, 20 / 30.0),
+            ("j1", at("17:05:00"), at("17:10:00"), 7.0, 7, 1.0),
+            ("j2", at("17:00:00"), at("17:05:00"), 0.0, 3, None),
+        ],
+    )
+
+
+def test_rows_without_a_time_fall_out(spark):
+    rows = readings(spark, ("j1", "17:00:00", 1, 1.0), ("j1", None, 1, 1.0))
+    assert [r.total_vehicles for r in window_congestion(rows).collect()] == [1]
+
+
+def test_sums_are_wide(spark):
+    big = 2_000_000_000
+    rows = readings(spark, ("j", "17:00:00", big, 1.0), ("j", "17:00:01", big, 1.0))
+    assert window_congestion(rows).head().total_vehicles == 2 * big
