@@ -12,10 +12,10 @@ from flowgauge.functions.measures import round_half_even
 from flowgauge.functions.wire import reading_json
 from flowgauge.operators.alerts import alert_messages, parse_alerts, with_status
 from flowgauge.operators.ingest import (
+    keeps_contract,
     parse_messages,
     project_readings,
     quarantined,
-    tag_contract,
     valid_readings,
 )
 from flowgauge.operators.ranking import scored, spread_dense_rank
@@ -108,9 +108,8 @@ def raw_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def contract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many readings keep the NOT NULL contract."""
-    tagged = tag_contract(event_readings(spark, sf_dir))
-    outcome = F.when(F.col("missing").isNull(), "valid").otherwise("quarantine")
-    return tagged.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    outcome = F.when(keeps_contract(), "valid").otherwise("quarantine")
+    return event_readings(spark, sf_dir).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     raw.add_argument("--raw-table", help="database table of the raw readings")
     windows = parser.add_mutually_exclusive_group(required=True)
     windows.add_argument("--windows", help="directory of the window table")
+    parser.add_argument("--window-files", type=int, default=4, help="files per date and batch")
     windows.add_argument("--window-table", help="database table of the window aggregates")
     alerts = parser.add_mutually_exclusive_group(required=True)
     alerts.add_argument("--alert-topic", help="Kafka topic of the alerts")
@@ -94,7 +95,7 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
     pace = Pace(chosen.interval, chosen.available_now)
     raw = raw_parquet(chosen.raw) if chosen.raw else database(chosen, chosen.raw_table)
     if chosen.windows:
-        windows: BatchSink = window_parquet(chosen.windows)
+        windows: BatchSink = window_parquet(chosen.windows, chosen.window_files)
     else:
         windows = database(chosen, chosen.window_table)
 

@@ -28,11 +28,11 @@ def peak_hours(hourly: DataFrame) -> DataFrame:
 
 
 def scored(hours: DataFrame) -> DataFrame:
-    """Add the congestion score; hours with neither traffic nor speed have none and are left out."""
+    """Add the congestion score; hours that have none (neither traffic nor speed, or a speed that
+    is no number) are left out."""
     score = congestion_score(F.col("total_vehicles"), F.col("avg_speed"))
-    return hours.withColumn("congestion_score", score).filter(
-        F.col("congestion_score").isNotNull()
-    )
+    has_score = F.col("congestion_score").isNotNull() & ~F.isnan("congestion_score")
+    return hours.withColumn("congestion_score", score).filter(has_score)
 
 
 def rank_by_score(

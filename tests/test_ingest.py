@@ -74,6 +74,13 @@ def test_valid_and_quarantined_split_the_input(parsed):
     )
 
 
+def test_a_speed_that_is_no_number_keeps_the_contract(spark):
+    text = MESSAGES["a"].replace("9.5", "NaN")
+    parsed = parse_messages(spark.createDataFrame([(text,)], "value STRING"))
+    assert valid_readings(parsed).count() == 1
+    assert quarantined(parsed).count() == 0
+
+
 def test_contract_filter_parses_each_message_once(parsed):
     plan = valid_readings(parsed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1

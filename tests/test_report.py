@@ -77,6 +77,7 @@ def test_score_rank_and_labels(spark):
         ("d", 1, 90, 30.0),
         ("e", 1, 5, 0.0),
         ("f", 1, 0, 0.0),
+        ("g", 1, 5, math.nan),
     )
     found = {
         r.sensor_id: (r.congestion_score, r.congestion_rank, r.intervention_required, r.recommendation)
