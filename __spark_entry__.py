@@ -178,12 +178,12 @@ ORDER BY sensor_id""",
 , hourly AS (
   SELECT sensor_id, date_trunc('hour', event_time) AS hour_bucket,
          CAST(sum(vehicle_count) AS BIGINT) AS total_vehicles,
-         round_even(avg(avg_speed) * 100, 0) / 100 AS mean_speed
+         CAST(sum(CAST(round_even(avg_speed * 100, 0) AS BIGINT)) AS BIGINT) / count(avg_speed)
+           / 100 AS mean_speed
   FROM s GROUP BY sensor_id, date_trunc('hour', event_time))
 , scored AS (SELECT *, {SCORE} AS congestion_score FROM hourly)
-SELECT sensor_id, hour_bucket, total_vehicles, mean_speed AS avg_speed,
-       round(congestion_score, 6) AS congestion_score,
-       CAST(dense_rank() OVER (ORDER BY scored.congestion_score DESC) AS INTEGER)
+SELECT sensor_id, hour_bucket, total_vehicles, mean_speed AS avg_speed, congestion_score,
+       CAST(dense_rank() OVER (ORDER BY congestion_score DESC) AS INTEGER)
          AS congestion_rank
 FROM scored WHERE congestion_score IS NOT NULL""",
         "hourly_matrix": H

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
-from flowgauge.functions.measures import round_half_even
+from flowgauge.functions.timestamps import hour_of
 from flowgauge.functions.wire import reading_json
 from flowgauge.operators.alerts import alert_messages, parse_alerts, with_status
 from flowgauge.operators.ingest import (
@@ -256,14 +256,18 @@ def report_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sensor-hour of the whole history ranked by score, by the ranking that scales out.
 
-    Mean speeds are rounded before the score: ties must not hang on the order of addition.
+    The mean is taken over whole hundredths, whose sum does not depend on the order of addition:
+    a last digit that differs would split a tie and move every rank below it.
     """
-    hourly = hourly_traffic(event_readings(spark, sf_dir))
-    two_places = hourly.withColumn("avg_speed", round_half_even(F.col("avg_speed")))
-    ranked = spread_dense_rank(
-        materialise(scored(two_places)), "congestion_score", "congestion_rank"
+    hundredths = F.sum(F.rint(F.col("avg_speed") * 100).cast("bigint"))
+    hours = event_readings(spark, sf_dir).groupBy(
+        "sensor_id", hour_of(F.col("event_time")).alias("hour_bucket")
     )
-    return rounded(ranked, "congestion_score")
+    exact = hours.agg(
+        F.sum("vehicle_count").alias("total_vehicles"),
+        (hundredths / F.count("avg_speed") / 100).alias("avg_speed"),
+    )
+    return spread_dense_rank(materialise(scored(exact)), "congestion_score", "congestion_rank")
 
 
 # --- chart and table ----------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from flowgauge.plans.report import CongestionReport, congestion_report
-from flowgauge.session import job_session
+from flowgauge.session import BATCH_SETTINGS, job_session
 from flowgauge.sinks.report_files import report_dir, utc_today, write_csv
 from flowgauge.sources.tables import jdbc_options, jdbc_readings, raw_table
 
@@ -66,7 +66,7 @@ def write_report(report: CongestionReport, out_dir: str, day: date) -> bool:
 
 def main(argv: list[str] | None = None) -> None:
     chosen = arguments(argv)
-    spark = job_session("congestion-report")
+    spark = job_session("congestion-report", BATCH_SETTINGS)
     rows, date_column = readings(spark, chosen)
     report = congestion_report(rows, date_column=date_column)
     day = chosen.day or utc_today()

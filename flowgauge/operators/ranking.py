@@ -11,6 +11,9 @@ from flowgauge.session import materialise
 # One task sorts this many scored rows in well under a second; beyond it the ranking is spread.
 SINGLE_TASK_ROWS = 200_000
 
+# Scores sorted per task where the ranking is spread.
+ROWS_PER_SLICE = 1_000_000
+
 # monotonically_increasing_id keeps the row number within a partition in its lower 33 bits.
 ROW_BITS = 33
 
@@ -61,7 +64,8 @@ def spread_dense_rank(rows: DataFrame, score: str, rank: str) -> DataFrame:
     join back is by equality, so a score shared by a third of the rows is split as a skewed key.
     """
     spark = rows.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(usual, rows.count() // ROWS_PER_SLICE)
     placed = materialise(
         rows.select(score)
         .distinct()

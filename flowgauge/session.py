@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,12 @@ JOB_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+# A day of readings is shuffled in many small parts, which adaptive execution joins to this size.
+BATCH_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
 }
 
 
@@ -43,9 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the driver and all executors")
-    local = tempfile.mkdtemp(prefix="flowgauge-")
-    spark.conf.set(CHECKPOINT_CONF, local)
-    return local
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="flowgauge-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -1,5 +1,6 @@
 import os
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,21 +136,20 @@ def test_shared_folder(spark, monkeypatch):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-class ClusterSession:
-    """A session on a cluster that names no shared folder."""
-
-    class conf:
-        @staticmethod
-        def get(key, default=None):
-            return default
-
-    class sparkContext:
-        master = "spark://host:7077"
+def unnamed_folder(master):
+    """A session that names no shared folder."""
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: default),
+        sparkContext=SimpleNamespace(master=master),
+    )
 
 
 def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(ClusterSession)
+        shared_dir(unnamed_folder("spark://host:7077"))
+    local = shared_dir(unnamed_folder("local[8]"))
+    assert os.path.isdir(local)
+    assert shared_dir(unnamed_folder("local[*]")) == local
 
 
 def test_state_store_class_exists(spark):
