@@ -113,8 +113,11 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
             quarantine=quarantine_parquet(chosen.quarantine),
             alerts=shared,
             pace=pace,
+            name="raw",
+        ),
+        start_windows(
+            parsed, windows, f"{chosen.checkpoints}/windows", pace=pace, name="windows"
         ),
-        start_windows(parsed, windows, f"{chosen.checkpoints}/windows", pace=pace),
     ]
     if shared is None:
         if chosen.alert_topic:
@@ -123,7 +126,7 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
         else:
             kind, options = "text", {"path": chosen.alert_files}
         place = f"{chosen.checkpoints}/alerts"
-        started.append(start_alerts(parsed, kind, options, place, pace=pace))
+        started.append(start_alerts(parsed, kind, options, place, pace=pace, name="alerts"))
     return started
 
 

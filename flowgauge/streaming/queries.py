@@ -46,7 +46,7 @@ def start_landing(
     quarantine: BatchSink | None = None,
     alerts: BatchSink | None = None,
     pace: Pace = Pace(),
-    name: str = "raw",
+    name: str | None = None,
 ) -> StreamingQuery:
     """Store every valid reading, late ones included, and set the others aside.
 
@@ -68,8 +68,8 @@ def start_landing(
         finally:
             batch.unpersist()
 
-    writer = parsed.writeStream.queryName(name).option("checkpointLocation", checkpoint)
-    return pace.apply(writer.foreachBatch(land)).start()
+    writer = parsed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land)
+    return pace.apply(writer).start(queryName=name)
 
 
 def start_windows(
@@ -79,18 +79,17 @@ def start_windows(
     delay: str = rules.WATERMARK_DELAY,
     width: str = rules.WINDOW_WIDTH,
     pace: Pace = Pace(),
-    name: str = "windows",
+    name: str | None = None,
 ) -> StreamingQuery:
     """Emit each window once, when the watermark has passed its end; later rows for it are dropped."""
     closed = window_congestion(with_watermark(parsed, delay), width)
     writer = (
-        closed.writeStream.queryName(name)
-        .outputMode("append")
+        closed.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(sink)
     )
     with one_watermark(parsed.sparkSession):
-        return pace.apply(writer).start()
+        return pace.apply(writer).start(queryName=name)
 
 
 def start_alerts(
@@ -99,19 +98,18 @@ def start_alerts(
     sink_options: dict[str, str],
     checkpoint: str,
     pace: Pace = Pace(),
-    name: str = "alerts",
+    name: str | None = None,
 ) -> StreamingQuery:
     """Send an alert for every critical reading, late ones included, through a streaming sink
     (`kafka` with its options, or `text` with a path)."""
     writer = (
         alert_messages(parsed)
-        .writeStream.queryName(name)
-        .outputMode("append")
+        .writeStream.outputMode("append")
         .format(sink_format)
         .options(**sink_options)
         .option("checkpointLocation", checkpoint)
     )
-    return pace.apply(writer).start()
+    return pace.apply(writer).start(queryName=name)
 
 
 @contextmanager
