@@ -20,7 +20,13 @@ from flowgauge.operators.ingest import quarantined, valid_readings, with_waterma
 from flowgauge.operators.windows import window_congestion
 from flowgauge.sinks.batches import BatchSink
 
-ALLOW_MULTIPLE = "spark.sql.streaming.statefulOperator.allowMultiple"
+WINDOW_SETTINGS = {
+    "spark.sql.streaming.statefulOperator.allowMultiple": "false",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @dataclass(frozen=True)
@@ -88,7 +94,7 @@ def start_windows(
         .option("checkpointLocation", checkpoint)
         .foreachBatch(sink)
     )
-    with one_watermark(parsed.sparkSession):
+    with window_settings(parsed.sparkSession):
         return pace.apply(writer).start(queryName=name)
 
 
@@ -113,19 +119,24 @@ def start_alerts(
 
 
 @contextmanager
-def one_watermark(spark: SparkSession) -> Iterator[None]:
-    """Drop late rows by the watermark of the running batch.
+def window_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a window query takes over when it starts, put back for the session's other queries.
 
-    Spark allows chains of stateful operators by default and then drops by the previous batch's
-    watermark, so a row may join a window that is about to be emitted. A query takes this setting
-    over when it starts; it is put back afterwards for the session's other queries.
+    Late rows are dropped by the watermark of the running batch: Spark allows chains of stateful
+    operators by default and then goes by the previous batch's, so a row may join a window that is
+    about to be emitted. State is kept in RocksDB, on disk: open windows grow with the sensors.
     """
-    before = spark.conf.get(ALLOW_MULTIPLE)
-    spark.conf.set(ALLOW_MULTIPLE, "false")
+    before = {key: spark.conf.get(key, None) for key in WINDOW_SETTINGS}
+    for key, value in WINDOW_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(ALLOW_MULTIPLE, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def await_any(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowgauge import schemas
 from flowgauge.jobs import report_job, stream_job
 from flowgauge.plans.report import congestion_report
-from flowgauge.session import JOB_SETTINGS, scratch_path, shared_dir
+from flowgauge.session import scratch_path, shared_dir
 from flowgauge.sinks.batches import JdbcTable, TopicMessages
 from flowgauge.sinks.report_files import read_csv
 from flowgauge.sources.messages import MessageFiles, Topic
@@ -152,11 +152,6 @@ def test_a_cluster_must_name_its_shared_folder():
     assert shared_dir(unnamed_folder("local[*]")) == local
 
 
-def test_state_store_class_exists(spark):
-    name = JOB_SETTINGS["spark.sql.streaming.stateStore.providerClass"]
-    assert spark._jvm.java.lang.Class.forName(name) is not None
-
-
 def test_no_credentials_in_the_package():
     root = os.path.join(os.path.dirname(os.path.dirname(__file__)), "flowgauge")
     for folder, _, files in os.walk(root):

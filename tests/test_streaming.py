@@ -21,13 +21,13 @@ from flowgauge.sources.tables import (
     window_table,
 )
 from flowgauge.streaming.queries import (
-    ALLOW_MULTIPLE,
+    WINDOW_SETTINGS,
     Pace,
     await_any,
-    one_watermark,
     start_alerts,
     start_landing,
     start_windows,
+    window_settings,
 )
 from tests.helpers import MessageDir, at, message, readings, same_rows, tuples
 
@@ -90,13 +90,14 @@ def test_late_rows_miss_the_window(spark, replay, tmp_path):
     assert sum(dropped.values()) == 1
 
 
-def test_setting_is_put_back(spark):
-    before = spark.conf.get(ALLOW_MULTIPLE)
+def test_settings_are_put_back(spark):
+    before = {key: spark.conf.get(key, None) for key in WINDOW_SETTINGS}
+    assert before != WINDOW_SETTINGS
     with pytest.raises(RuntimeError):
-        with one_watermark(spark):
-            assert spark.conf.get(ALLOW_MULTIPLE) == "false"
+        with window_settings(spark):
+            assert {key: spark.conf.get(key) for key in WINDOW_SETTINGS} == WINDOW_SETTINGS
             raise RuntimeError
-    assert spark.conf.get(ALLOW_MULTIPLE) == before
+    assert {key: spark.conf.get(key, None) for key in WINDOW_SETTINGS} == before
 
 
 @pytest.mark.parametrize("shared", [False, True])
