@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,21 +27,12 @@ def sensor_matrix(hourly: DataFrame, hours: int = rules.TRAILING_HOURS) -> DataF
     """The same matrix turned on its side, for any number of sensors: one row per sensor, columns
     h00, h01, ... counting hours from the first one (a trailing day touches one more than it has).
     """
-    first = hourly.agg(F.min("hour_bucket")).head()[0]
-    if first is None:
-        return hourly.select("sensor_id", *[F.lit(0).cast("bigint").alias(n) for n in _hours(hours)])
-    starts = [literal_time(first + timedelta(hours=n)) for n in range(hours + 1)]
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("hour_bucket") == start, F.col("total_vehicles"))), F.lit(0))
-        for start in starts
-    ]
-    return hourly.groupBy("sensor_id").agg(
-        *[cell.alias(name) for cell, name in zip(cells, _hours(hours))]
-    )
-
-
-def _hours(hours: int) -> list[str]:
-    return [f"h{n:02d}" for n in range(hours + 1)]
+    first = hourly.agg(F.min("hour_bucket")).head()[0] or datetime.min
+    hour_no = F.timestamp_diff("HOUR", literal_time(first), F.col("hour_bucket"))
+    numbers = list(range(hours + 1))
+    by_sensor = hourly.withColumn("hour_no", hour_no).groupBy("sensor_id")
+    wide = by_sensor.pivot("hour_no", numbers).sum("total_vehicles").na.fill(0)
+    return wide.toDF("sensor_id", *[f"h{n:02d}" for n in numbers])
 
 
 def hour_ticks(hourly: DataFrame, most: int = rules.MAX_HOUR_LABELS) -> DataFrame:
