@@ -8,14 +8,21 @@ from __future__ import annotations
 
 import argparse
 import os
-from datetime import date, datetime
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from flowgauge import rules
 from flowgauge.plans.report import CongestionReport, congestion_report
 from flowgauge.session import BATCH_SETTINGS, job_session
 from flowgauge.sinks.report_files import report_dir, utc_today, write_csv
-from flowgauge.sources.tables import jdbc_options, jdbc_readings, raw_table
+from flowgauge.sources.tables import (
+    jdbc_newest,
+    jdbc_options,
+    jdbc_readings,
+    no_readings,
+    raw_table,
+)
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -29,24 +36,25 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--jdbc-user")
     parser.add_argument("--jdbc-password-env", help="environment variable that holds the password")
     parser.add_argument("--jdbc-driver")
-    parser.add_argument("--since", type=datetime.fromisoformat, help="spread of the database read")
-    parser.add_argument("--until", type=datetime.fromisoformat, help="spread of the database read")
     parser.add_argument("--partitions", type=int, default=16, help="queries of the database read")
     chosen = parser.parse_args(argv)
-    if chosen.raw_table and not (chosen.jdbc_url and chosen.since and chosen.until):
-        parser.error("a database table needs --jdbc-url, --since and --until")
+    if chosen.raw_table and not chosen.jdbc_url:
+        parser.error("a database table needs --jdbc-url")
     return chosen
 
 
-def readings(spark: SparkSession, chosen: argparse.Namespace) -> tuple[DataFrame, str | None]:
-    """The readings and their date partition column, if they have one."""
+def report_of(spark: SparkSession, chosen: argparse.Namespace) -> CongestionReport:
     if chosen.raw:
-        return raw_table(spark, chosen.raw), "event_date"
+        return congestion_report(raw_table(spark, chosen.raw), date_column="event_date")
     password = os.environ[chosen.jdbc_password_env] if chosen.jdbc_password_env else ""
     login = {"user": chosen.jdbc_user, "password": password, "driver": chosen.jdbc_driver}
     connection = jdbc_options(chosen.jdbc_url, chosen.raw_table, **login)
-    rows = jdbc_readings(spark, connection, chosen.since, chosen.until, chosen.partitions)
-    return rows, None
+    newest = jdbc_newest(spark, connection)
+    if newest is None:
+        return congestion_report(no_readings(spark))
+    since = newest - timedelta(hours=rules.TRAILING_HOURS)
+    rows = jdbc_readings(spark, connection, since, newest, chosen.partitions)
+    return congestion_report(rows, newest=newest)
 
 
 def write_report(report: CongestionReport, out_dir: str, day: date) -> bool:
@@ -67,8 +75,7 @@ def write_report(report: CongestionReport, out_dir: str, day: date) -> bool:
 def main(argv: list[str] | None = None) -> None:
     chosen = arguments(argv)
     spark = job_session("congestion-report", BATCH_SETTINGS)
-    rows, date_column = readings(spark, chosen)
-    report = congestion_report(rows, date_column=date_column)
+    report = report_of(spark, chosen)
     day = chosen.day or utc_today()
     if write_report(report, chosen.out, day):
         print(f"report written to {report_dir(chosen.out, day)}")

@@ -34,14 +34,17 @@ def trailing_readings(
     readings: DataFrame,
     hours: int = rules.TRAILING_HOURS,
     date_column: str | None = None,
+    newest: datetime | None = None,
 ) -> DataFrame:
     """Readings not older than `hours` before the newest one (lower bound included).
 
     The bound is worked out first and put in as a literal: the scan then skips row groups by their
     statistics, and whole dates where the table is partitioned by one. A subquery in its place
-    would reach neither, and a join with the one-row bound would add a nested loop.
+    would reach neither, and a join with the one-row bound would add a nested loop. A source that
+    knows its newest time can pass it.
     """
-    since = newest_reading(readings, date_column) - timedelta(hours=hours)
+    newest = newest or newest_reading(readings, date_column)
+    since = newest - timedelta(hours=hours)
     kept = readings.filter(F.col("event_time") >= literal_time(since))
     if date_column is not None:
         kept = kept.filter(F.col(date_column) >= literal_date(since))

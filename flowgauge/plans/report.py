@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -59,8 +60,9 @@ def congestion_report(
     readings: DataFrame,
     hours: int = rules.TRAILING_HOURS,
     date_column: str | None = None,
+    newest: datetime | None = None,
 ) -> CongestionReport:
     """Report over the readings of the trailing day; reads them once for the bound (times only)
     and once for the rollup (the trailing day only)."""
-    recent = trailing_readings(readings, hours, date_column)
+    recent = trailing_readings(readings, hours, date_column, newest)
     return CongestionReport(materialise(hourly_traffic(recent)))

@@ -69,15 +69,21 @@ def jdbc_options(url: str, table: str, **login: str) -> dict[str, str]:
     return {"url": url, "dbtable": table, **{k: v for k, v in login.items() if v}}
 
 
-def jdbc_readings(
-    spark: SparkSession,
-    connection: dict[str, str],
-    since: datetime,
-    until: datetime,
-    partitions: int,
-) -> DataFrame:
-    """Readings of a database table, split by event time into one query per partition."""
-    spread = {
+def newest_options(connection: dict[str, str]) -> dict[str, str]:
+    """Options that let the database find the newest event time; a read of the table would fetch
+    every time to Spark for it."""
+    login = {key: value for key, value in connection.items() if key != "dbtable"}
+    query = f"SELECT MAX(event_time) AS newest FROM {connection['dbtable']}"
+    return {**login, "query": query, "preferTimestampNTZ": "true"}
+
+
+def spread_options(
+    connection: dict[str, str], since: datetime, until: datetime, partitions: int
+) -> dict[str, str]:
+    """Options that split a read by event time into one query per partition. The bounds set the
+    stride only; they leave no row out."""
+    return {
+        **connection,
         "partitionColumn": "event_time",
         "lowerBound": since.isoformat(sep=" "),
         "upperBound": until.isoformat(sep=" "),
@@ -85,4 +91,25 @@ def jdbc_readings(
         "fetchsize": "10000",
         "preferTimestampNTZ": "true",
     }
-    return spark.read.format("jdbc").options(**connection, **spread).load().select(*schemas.READING_COLUMNS)
+
+
+def jdbc_newest(spark: SparkSession, connection: dict[str, str]) -> datetime | None:
+    """The newest event time of a database table, None when it has no rows."""
+    return spark.read.format("jdbc").options(**newest_options(connection)).load().head()[0]
+
+
+def jdbc_readings(
+    spark: SparkSession,
+    connection: dict[str, str],
+    since: datetime,
+    until: datetime,
+    partitions: int,
+) -> DataFrame:
+    """Readings of a database table."""
+    options = spread_options(connection, since, until, partitions)
+    rows = spark.read.format("jdbc").options(**options).load()
+    return rows.select(*schemas.READING_COLUMNS)
+
+
+def no_readings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], schemas.READING)

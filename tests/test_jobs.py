@@ -1,5 +1,5 @@
 import os
-from datetime import datetime
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
@@ -12,7 +12,14 @@ from flowgauge.session import scratch_path, shared_dir
 from flowgauge.sinks.batches import JdbcTable, TopicMessages
 from flowgauge.sinks.report_files import read_csv
 from flowgauge.sources.messages import MessageFiles, Topic
-from flowgauge.sources.tables import as_messages, event_readings, jdbc_options, raw_table
+from flowgauge.sources.tables import (
+    as_messages,
+    event_readings,
+    jdbc_options,
+    newest_options,
+    raw_table,
+    spread_options,
+)
 from tests.helpers import same_rows, tuples
 
 
@@ -38,15 +45,11 @@ def test_stream_job_then_report_job(spark, sf_dir, tmp_path, share):
     for query in queries:
         query.awaitTermination()
 
-    rows, date_column = report_job.readings(
-        spark, report_job.arguments(["--raw", str(tmp_path / "raw"), "--out", "unused"])
-    )
-    same_rows(
-        tuples(rows.select(*schemas.READING_COLUMNS)),
-        tuples(stored.select(*schemas.READING_COLUMNS)),
-    )
+    rows = raw_table(spark, str(tmp_path / "raw")).select(*schemas.READING_COLUMNS)
+    same_rows(tuples(rows), tuples(stored.select(*schemas.READING_COLUMNS)))
     assert MessageFiles(str(tmp_path / "alerts")).read(spark).count() == 1816
-    report = congestion_report(rows, date_column=date_column)
+    chosen = report_job.arguments(["--raw", str(tmp_path / "raw"), "--out", "unused"])
+    report = report_job.report_of(spark, chosen)
     day = datetime(2024, 1, 30).date()
     assert report_job.write_report(report, str(tmp_path / "out"), day)
     written = read_csv(spark, str(tmp_path / "out/report_date=2024-01-30/report"), schemas.REPORT)
@@ -83,7 +86,7 @@ def test_incomplete_arguments_are_refused(argv, capsys):
     capsys.readouterr()
 
 
-def test_database_report_needs_its_range(capsys):
+def test_database_report_needs_its_url(capsys):
     with pytest.raises(SystemExit):
         report_job.arguments(["--raw-table", "t", "--out", "o"])
     capsys.readouterr()
@@ -130,6 +133,42 @@ def test_jdbc_options_have_no_default_login(monkeypatch):
     }
 
 
+def test_database_read_is_split_and_asks_for_the_newest_time():
+    connection = jdbc_options("jdbc:x", "readings", user="me")
+    assert newest_options(connection) == {
+        "url": "jdbc:x",
+        "user": "me",
+        "query": "SELECT MAX(event_time) AS newest FROM readings",
+        "preferTimestampNTZ": "true",
+    }
+    split = spread_options(connection, datetime(2026, 5, 8), datetime(2026, 5, 9, 1, 2, 3), 16)
+    assert split["dbtable"] == "readings"
+    assert split["partitionColumn"] == "event_time"
+    assert split["lowerBound"] == "2026-05-08 00:00:00"
+    assert split["upperBound"] == "2026-05-09 01:02:03"
+    assert split["numPartitions"] == "16"
+
+
+@pytest.mark.parametrize("newest", [datetime(2024, 1, 30, 23, 57, 12, 194062), None])
+def test_database_report(spark, sf_dir, monkeypatch, newest):
+    """The report job over a table whose reader is replaced by the events."""
+    asked = []
+
+    def read(spark, connection, since, until, partitions):
+        asked.append((connection["dbtable"], since, until, partitions))
+        return event_readings(spark, sf_dir).select(*schemas.READING_COLUMNS)
+
+    monkeypatch.setattr(report_job, "jdbc_newest", lambda spark, connection: newest)
+    monkeypatch.setattr(report_job, "jdbc_readings", read)
+    chosen = report_job.arguments(["--raw-table", "t", "--jdbc-url", "jdbc:x", "--out", "unused"])
+    report = report_job.report_of(spark, chosen)
+    if newest is None:
+        assert report.is_empty() and not asked
+    else:
+        assert asked == [("t", newest - timedelta(hours=24), newest, 16)]
+        assert report.hourly.count() == 113
+
+
 def test_shared_folder(spark, monkeypatch):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
