@@ -45,7 +45,8 @@ class Topic:
 
 @dataclass(frozen=True)
 class MessageFiles:
-    """A directory of message files: text lines, or parquet with a `value` column."""
+    """A directory of message files: text lines, or parquet with a `value` column. Partition columns
+    of its subdirectories are no part of a message."""
 
     path: str
     format: str = "text"
@@ -55,7 +56,7 @@ class MessageFiles:
         reader = spark.readStream.format(self.format).schema(MESSAGE)
         if self.max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
-        return reader.load(self.path)
+        return reader.load(self.path).select("value")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format(self.format).schema(MESSAGE).load(self.path)
+        return spark.read.format(self.format).schema(MESSAGE).load(self.path).select("value")

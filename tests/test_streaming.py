@@ -128,7 +128,9 @@ def test_late_rows_are_stored_and_alerted(spark, replay, tmp_path, shared):
     assert [r.value for r in quarantine_table(spark, str(tmp_path / "quarantine")).collect()] == [
         "not json"
     ]
-    alerts = parse_alerts(MessageFiles(alerts_dir).read(spark))
+    sent = MessageFiles(alerts_dir).read(spark)
+    assert sent.columns == ["value"]
+    alerts = parse_alerts(sent)
     assert sorted(r.avg_speed for r in alerts.collect()) == [5.0, 7.0, 9.0, 9.99]
 
 

@@ -1,4 +1,9 @@
+from collections import defaultdict
+from datetime import timedelta
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowgauge.functions.timestamps import zoned
@@ -37,3 +42,33 @@ def test_sums_are_wide(spark):
     big = 2_000_000_000
     rows = readings(spark, ("j", "17:00:00", big, 1.0), ("j", "17:00:01", big, 1.0))
     assert window_congestion(rows).head().total_vehicles == 2 * big
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from(["hot", "hot", "hot", "a", "b"]),
+            st.integers(0, 3 * 3600 * 10**6),
+            st.integers(0, 100),
+            st.integers(0, 500),
+        ),
+        min_size=1,
+        max_size=200,
+    )
+)
+def test_windows_equal_a_plain_loop(spark, events):
+    """Speeds are whole numbers, so sums are exact in any order."""
+    midnight = at("00:00:00")
+    rows = [(s, midnight + timedelta(microseconds=t), c, float(v)) for s, t, c, v in events]
+    groups = defaultdict(list)
+    for sensor, when, count, speed in rows:
+        start = when - (when - midnight) % timedelta(minutes=5)
+        groups[sensor, start].append((count, speed))
+    want = []
+    for (sensor, start), values in groups.items():
+        total = sum(c for c, _ in values)
+        mean = sum(v for _, v in values) / len(values)
+        index = total / mean if mean else None
+        want.append((sensor, start, start + timedelta(minutes=5), mean, total, index))
+    same_rows(tuples(window_congestion(readings(spark, *rows))), want)
