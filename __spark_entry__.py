@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -12,6 +13,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from flowgauge.catalog import REGISTERED  # noqa: E402
 
+# The training-data operators and their pipeline come and go together, apart from the rest.
+HAS_LLM = importlib.util.find_spec("flowgauge.llm") is not None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -21,7 +25,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(REGISTERED)
+    found = dict(REGISTERED)
+    if HAS_LLM:
+        from flowgauge.llm.queries import QUERIES
+
+        found.update(QUERIES)
+    if HAS_LLM and importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 S = """
@@ -118,6 +131,20 @@ def _hour_columns() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    found = own_sql()
+    if HAS_LLM:
+        from flowgauge.llm.queries import ORACLE_SQL
+
+        found.update(ORACLE_SQL)
+    if HAS_LLM and importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def own_sql() -> dict[str, str]:
     return {
         "wire_encode": S
         + """

@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from flowgauge.catalog import REGISTERED as QUERIES
 from tests.conftest import TESTDATA
 from tests.helpers import unordered
 
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
+ORACLE = driver.own_sql()
 
 
 @pytest.fixture(scope="module", params=["0.001", "0.01"])
