@@ -29,6 +29,27 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
 
+class Packed:
+    """A table's rows as one struct column `row`, so that no name of theirs meets one of ours."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        plain = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+        self.rows = plain.select(F.struct("*").alias("row"))
+
+    def __getitem__(self, name: str) -> Column:
+        if name not in self.names:
+            raise ValueError(f"missing column: {name}")
+        return F.col(f"row.c{self.names.index(name)}")
+
+    def unpacked(self, df: DataFrame, **new: Column) -> DataFrame:
+        """The table's columns, with those in `new` replaced or, at the end, added."""
+        own = [
+            (new[n] if n in new else F.col(f"row.c{i}")).alias(n) for i, n in enumerate(self.names)
+        ]
+        return df.select(*own, *[c.alias(n) for n, c in new.items() if n not in self.names])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

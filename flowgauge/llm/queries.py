@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 from flowgauge.llm.bpe import bpe_digests
 from flowgauge.llm.common import table
+from flowgauge.llm.decontamination import find_contamination
+from flowgauge.llm.jaccard_join import near_groups
+from flowgauge.llm.lm_scoring import score_texts
+from flowgauge.llm.quality_rules import judge_quality
 from flowgauge.llm.secret_scan import scan_secrets
+from flowgauge.llm.sharding import shuffle_to_shards
+from flowgauge.llm.substring_dedup import remove_repeats
 from flowgauge.llm.token_counts import TokenCache, count_tokens
+from flowgauge.llm.url_filters import filter_urls
 from flowgauge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 TOKEN_LIMIT = 2048
+SHARDS = 24
+ROW_OVERHEAD = 8
 
 
 def registered(query: Callable[[SparkSession, str], DataFrame]):
@@ -25,6 +34,27 @@ def registered(query: Callable[[SparkSession, str], DataFrame]):
     return query
 
 
+@registered
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingle sets are alike by 0.9 or more."""
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot, by the law `rows`."""
+    text = F.coalesce("text", F.lit(""))
+    return shuffle_to_shards(table(spark, sf_dir, "documents"), SHARDS).select(
+        "doc_id",
+        (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @registered
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, from a cache that begins empty."""
@@ -35,6 +65,58 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@registered
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words in runs of 35 that recur."""
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability, by the unigram and by the model."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a passage of the benchmark."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op6_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents)
+, b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark)
+, item_windows AS (
+  SELECT DISTINCT item_id, words[i:i + least(len(words), 10) - 1] AS w
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i
+        FROM b WHERE len(words) > 0))
+, lengths AS (SELECT DISTINCT len(w) AS n FROM item_windows)
+, doc_windows AS (
+  SELECT k, i, n, words[i:i + n - 1] AS w
+  FROM (SELECT k, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, lengths))
+, hits AS (
+  SELECT k, i, n, item_id FROM doc_windows JOIN item_windows USING (w))
+, places AS (SELECT DISTINCT k, unnest(range(i, i + n)) AS place FROM hits)
+, n_hits AS (SELECT k, count(*) AS n_hit FROM places GROUP BY k)
+, items AS (
+  SELECT k, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM (SELECT DISTINCT k, item_id FROM hits) GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n_hits USING (k) LEFT JOIN items USING (k)
+"""
+
+
 @registered
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
@@ -42,9 +124,65 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("redacted_text")
 
 
+@registered
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on every document, and the verdict on its host."""
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op8_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents)
+, w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)
+, places AS (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+, windows AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, words[i:i + 2]) AS n FROM places)
+, hit AS (
+  SELECT k, count(DISTINCT i + o) AS n_repeat_words
+  FROM windows, (VALUES (0), (1), (2)) AS offsets(o) WHERE n > 1 GROUP BY k)
+, lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)
+, dup AS (
+  SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k)
+, m AS (
+  SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT)
+           AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN hit USING (k) LEFT JOIN dup USING (k))
+, b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+, hosts AS (
+  SELECT source, count(*) AS rows, count(*) FILTER (WHERE base_failed) AS failed
+  FROM b GROUP BY source)
+, moments AS (
+  SELECT sum(failed) / sum(rows) AS mean, var_pop(failed / rows) AS spread,
+         avg(1 / rows) AS inverse
+  FROM hosts)
+, prior AS (
+  SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND spread - mean * (1 - mean) * inverse > 0
+    THEN least(greatest(
+      mean * (1 - mean) / (spread - mean * (1 - mean) * inverse) - 1, 1.0), 10000.0)
+    ELSE 10000.0 END AS weight
+  FROM moments)
+, rates AS (
+  SELECT source, (failed + mean * weight) / (rows + weight) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       round(rate, 9) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept
+FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
+"""
+
+
 @registered
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document, and back."""
     return bpe_digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@registered
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url."""
+    return filter_urls(table(spark, sf_dir, "pages"))

@@ -16,8 +16,9 @@ from re import _parser as parser
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from flowgauge.llm.common import columns_of, map_texts, per_worker
+from flowgauge.llm.common import Packed, columns_of, map_texts, per_worker
 
 # Alternatives a query follows before it settles for the trigrams found so far.
 MOST_STRINGS = 64
@@ -288,3 +289,26 @@ def scan_secrets(docs: DataFrame, *carry: str, rules: tuple[Rule, ...] = RULES)
         return scan
 
     return map_texts(rows, "text", added, prepare)
+
+
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `docs` with every secret in `text` replaced by its kind in brackets, and
+    `n_chars`, where there is one, brought up to date. Null texts stay null."""
+    packed = Packed(docs)
+    rows = packed.rows.withColumn("text", packed["text"])
+
+    def prepare():
+        scanner = per_worker(f"secrets {rules}", lambda: Scanner(rules))
+
+        def clean(texts: list) -> tuple[list]:
+            found = scanner.spans([t or "" for t in texts])
+            return ([t if not t else redacted(t, s, rules) for t, s in zip(texts, found)],)
+
+        return clean
+
+    clean = map_texts(rows, "text", "text string", prepare)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.length("text").cast(kind)
+    return packed.unpacked(clean, **new)
