@@ -47,17 +47,21 @@ WITH s AS (
 T = (
     S
     + """
-, bounds AS (SELECT max(event_time) AS latest FROM s)
-, recent AS (SELECT s.* FROM s, bounds WHERE event_time >= latest - INTERVAL '1 day')
+, newest AS (SELECT max(event_time) AS latest FROM s)
+, recent AS (SELECT s.* FROM s, newest WHERE event_time >= latest - INTERVAL '1 day')
 """
 )
 
+# Mean of the speeds as written, exact before the division.
+MEAN = """
+  CAST(sum(CAST(CAST(avg_speed AS VARCHAR) AS DECIMAL(38, 18))) AS DOUBLE) / count(avg_speed)"""
+
 H = (
     T
-    + """
+    + f"""
 , hourly AS (
   SELECT sensor_id, date_trunc('hour', event_time) AS hour_bucket,
-         CAST(sum(vehicle_count) AS BIGINT) AS total_vehicles, avg(avg_speed) AS mean_speed
+         CAST(sum(vehicle_count) AS BIGINT) AS total_vehicles, {MEAN} AS mean_speed
   FROM recent GROUP BY sensor_id, date_trunc('hour', event_time))
 """
 )
@@ -67,8 +71,8 @@ P = (
     + """
 , peak AS (
   SELECT sensor_id, hour_bucket, total_vehicles, mean_speed
-  FROM (SELECT *, rank() OVER (PARTITION BY sensor_id ORDER BY total_vehicles DESC) AS rnk
-        FROM hourly) WHERE rnk = 1)
+  FROM (SELECT *, rank() OVER (PARTITION BY sensor_id ORDER BY total_vehicles DESC) AS place
+        FROM hourly) WHERE place = 1)
 """
 )
 
@@ -150,8 +154,11 @@ def own_sql() -> dict[str, str]:
         + """
 SELECT event_id,
   CAST(to_json({'sensor_id': sensor_id,
-                'timestamp': strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00',
-                'vehicle_count': vehicle_count, 'avg_speed': round(avg_speed, 2)}) AS VARCHAR)
+                'timestamp': CASE WHEN microsecond(event_time) % 1000000 = 0
+                    THEN strftime(event_time, '%Y-%m-%dT%H:%M:%S')
+                    ELSE strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00',
+                'vehicle_count': vehicle_count,
+                'avg_speed': CAST(printf('%.2f', avg_speed) AS DOUBLE)}) AS VARCHAR)
     AS value
 FROM s""",
         "parse_wire": S + "SELECT sensor_id, event_time, vehicle_count, avg_speed FROM s",
@@ -180,6 +187,29 @@ FROM s WHERE avg_speed < 10 GROUP BY ALL""",
         + f"""
 SELECT * FROM ({WINDOWS})
 WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""",
+        "window_congestion_faulty_stream": S
+        + f"""
+, kept AS (SELECT * FROM s WHERE avg_speed >= 10)
+SELECT * FROM ({WINDOWS.replace("FROM s", "FROM kept AS s")})
+WHERE window_end <= (SELECT max(event_time) FROM kept) - INTERVAL '10 minutes'""",
+        # A slice is a micro-batch. Readings of the second slice that come with the fifth find a
+        # watermark ten minutes behind the newest reading of the fourth, and their window closed.
+        "window_congestion_replay": S
+        + f"""
+, span AS (SELECT min(event_time) AS a, max(event_time) AS b FROM s)
+, sliced AS (
+  SELECT s.*, least(floor(date_diff('microsecond', a, event_time) / 1e6
+                          / (date_diff('microsecond', a, b) / 1e6 / 6)), 5) AS part
+  FROM s, span)
+, mark AS (
+  SELECT max(event_time) - INTERVAL '10 minutes' AS closed FROM sliced WHERE part <= 3)
+, kept AS (
+  SELECT sliced.* FROM sliced, mark
+  WHERE NOT (part = 1 AND sensor_id = 'view'
+             AND time_bucket(INTERVAL '5 minutes', event_time) + INTERVAL '5 minutes' <= closed))
+SELECT * FROM ({WINDOWS.replace("FROM s", "FROM kept AS s")})
+WHERE window_end <= (SELECT max(event_time) FROM s) - INTERVAL '10 minutes'""",
+        "report_from_raw": R + REPORT_SELECT,
         "critical_alerts": S + f"SELECT {ALERT_VALUE} AS value FROM s WHERE avg_speed < 10",
         "critical_alerts_stream": S + f"SELECT {ALERT_VALUE} AS value FROM s WHERE avg_speed < 10",
         "alerts_readback": S
@@ -205,12 +235,11 @@ ORDER BY sensor_id""",
 , hourly AS (
   SELECT sensor_id, date_trunc('hour', event_time) AS hour_bucket,
          CAST(sum(vehicle_count) AS BIGINT) AS total_vehicles,
-         CAST(sum(CAST(round_even(avg_speed * 100, 0) AS BIGINT)) AS BIGINT) / count(avg_speed)
-           / 100 AS mean_speed
+         {MEAN} AS mean_speed
   FROM s GROUP BY sensor_id, date_trunc('hour', event_time))
 , scored AS (SELECT *, {SCORE} AS congestion_score FROM hourly)
-SELECT sensor_id, hour_bucket, total_vehicles, mean_speed AS avg_speed, congestion_score,
-       CAST(dense_rank() OVER (ORDER BY congestion_score DESC) AS INTEGER)
+SELECT sensor_id, hour_bucket, total_vehicles, round(mean_speed, 6) AS avg_speed,
+       round(congestion_score, 6) AS congestion_score, CAST(dense_rank() OVER (ORDER BY congestion_score DESC) AS INTEGER)
          AS congestion_rank
 FROM scored WHERE congestion_score IS NOT NULL""",
         "hourly_matrix": H

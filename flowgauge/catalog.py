@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
-from flowgauge.functions.timestamps import hour_of
+from flowgauge.fixtures import FILES, SENSORS, SLICES, Replay, faulty
 from flowgauge.functions.wire import reading_json
 from flowgauge.operators.alerts import alert_messages, parse_alerts, with_status
 from flowgauge.operators.ingest import (
@@ -18,22 +18,31 @@ from flowgauge.operators.ingest import (
     quarantined,
     valid_readings,
 )
-from flowgauge.operators.ranking import scored, spread_dense_rank
+from flowgauge.operators.ranking import dense_rank_by_score, scored
 from flowgauge.operators.rollup import hourly_traffic, latest_event_time, trailing_readings
 from flowgauge.operators.windows import window_congestion
 from flowgauge.plans.report import CongestionReport, congestion_report
-from flowgauge.session import materialise, scratch_path, use_utc
+from flowgauge.session import in_utc, materialise, scratch_path
 from flowgauge.sinks.batches import quarantine_parquet, raw_parquet, window_parquet
+from flowgauge.sinks.compaction import committed_batch, compact_day
 from flowgauge.sinks.report_files import read_csv, write_csv
 from flowgauge.sources.messages import MessageFiles
 from flowgauge.sources.tables import (
     as_messages,
     event_readings,
+    raw_dates,
     raw_table,
     stream_event_readings,
+    trailing_raw,
     window_table,
 )
-from flowgauge.streaming.queries import Pace, start_alerts, start_landing, start_windows
+from flowgauge.streaming.queries import (
+    Pace,
+    query_id,
+    start_alerts,
+    start_landing,
+    start_windows,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +54,7 @@ def registered(query: Query) -> Query:
     """Register under the function's name, in a session pinned to UTC."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(use_utc(spark), sf_dir)
+        return query(in_utc(spark), sf_dir)
 
     REGISTERED[query.__name__] = run
     return query
@@ -112,31 +121,10 @@ def contract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_readings(spark, sf_dir).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of all readings, where slow ones are broken in a way their sensor decides."""
-    slow = F.col("avg_speed") < 10
-    sensor = F.col("sensor_id")
-    good = reading_json(*[F.col(c) for c in schemas.READING_COLUMNS])
-    no_count = reading_json(
-        sensor, F.col("event_time"), F.lit(None).cast("int"), F.col("avg_speed")
-    )
-    quoted = F.regexp_replace(good, r'"vehicle_count":(\d+)', '"vehicle_count":"$1"')
-    bad_time = F.regexp_replace(good, r'"timestamp":"[^"]*"', '"timestamp":"x"')
-    value = (
-        F.when(slow & (sensor == "error"), F.concat(F.lit("not json "), good))
-        .when(slow & (sensor == "signup"), F.lit(None))
-        .when(slow & (sensor == "purchase"), no_count)
-        .when(slow & (sensor == "click"), quoted)
-        .when(slow & (sensor == "view"), bad_time)
-        .otherwise(good)
-    )
-    return event_readings(spark, sf_dir).select(value.alias("value"))
-
-
 @registered
 def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken messages by what they lack."""
-    broken = quarantined(parse_messages(faulty_messages(spark, sf_dir)))
+    broken = quarantined(parse_messages(faulty(event_readings(spark, sf_dir))))
     return broken.groupBy("missing").agg(
         F.count("*").alias("n"), F.count("value").alias("with_text")
     )
@@ -145,7 +133,7 @@ def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def valid_after_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings left of messages some of which are broken."""
-    return valid_readings(parse_messages(faulty_messages(spark, sf_dir)))
+    return valid_readings(parse_messages(faulty(event_readings(spark, sf_dir))))
 
 
 # --- windows ------------------------------------------------------------------------------------
@@ -172,6 +160,39 @@ def window_congestion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows, "avg_speed", "congestion_index")
 
 
+@registered
+def window_congestion_faulty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over messages some of which are broken: those count for nothing."""
+    place = scratch_path(spark, "windows")
+    faulty(event_readings(spark, sf_dir)).filter("value IS NOT NULL").write.text(f"{place}/in")
+    start_windows(
+        parse_messages(MessageFiles(f"{place}/in").stream(spark)),
+        window_parquet(f"{place}/windows"),
+        f"{place}/checkpoint",
+        pace=ONCE,
+    ).awaitTermination()
+    windows = window_table(spark, f"{place}/windows").select(*schemas.WINDOW_COLUMNS)
+    return rounded(windows, "avg_speed", "congestion_index")
+
+
+@registered
+def window_congestion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of readings that come in order of time, in bounded batches and over a restart,
+    with one sensor's readings of a slice too late."""
+    place = scratch_path(spark, "replay")
+    replay = Replay(spark, sf_dir, f"{place}/in")
+    for part in (range(0, 3), range(3, SLICES)):
+        replay.deliver(part)
+        start_windows(
+            parse_messages(MessageFiles(f"{place}/in", max_files_per_trigger=FILES).stream(spark)),
+            window_parquet(f"{place}/windows"),
+            f"{place}/checkpoint",
+            pace=ONCE,
+        ).awaitTermination()
+    windows = window_table(spark, f"{place}/windows").select(*schemas.WINDOW_COLUMNS)
+    return rounded(windows, "avg_speed", "congestion_index")
+
+
 # --- alerts -------------------------------------------------------------------------------------
 
 
@@ -254,20 +275,26 @@ def report_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sensor-hour of the whole history ranked by score, by the ranking that scales out.
-
-    The mean is taken over whole hundredths, whose sum does not depend on the order of addition:
-    a last digit that differs would split a tie and move every rank below it.
-    """
-    hundredths = F.sum(F.rint(F.col("avg_speed") * 100).cast("bigint"))
-    hours = event_readings(spark, sf_dir).groupBy(
-        "sensor_id", hour_of(F.col("event_time")).alias("hour_bucket")
-    )
-    exact = hours.agg(
-        F.sum("vehicle_count").alias("total_vehicles"),
-        (hundredths / F.count("avg_speed") / 100).alias("avg_speed"),
-    )
-    return spread_dense_rank(materialise(scored(exact)), "congestion_score", "congestion_rank")
+    """Every sensor-hour of the whole history ranked by score."""
+    ranked = dense_rank_by_score(materialise(scored(hourly_traffic(event_readings(spark, sf_dir)))))
+    return rounded(ranked, "avg_speed", "congestion_score")
+
+
+@registered
+def report_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from the raw table that the stream wrote, older dates compacted before."""
+    place = scratch_path(spark, "lake")
+    start_landing(
+        wire_stream(spark, sf_dir), raw_parquet(f"{place}/raw"), f"{place}/checkpoint", pace=ONCE
+    ).awaitTermination()
+    newest = raw_dates(spark, f"{place}/raw")[-2:]
+    for day in newest:
+        table, done = raw_parquet(f"{place}/raw"), committed_batch(spark, f"{place}/checkpoint")
+        committed = {query_id(spark, f"{place}/checkpoint"): done}
+        compact_day(spark, table, schemas.RAW_TABLE, day, committed)
+    rows, latest = trailing_raw(spark, f"{place}/raw")
+    report = congestion_report(rows, date_column="event_date", newest=latest)
+    return rounded(report.rows, "avg_speed", "congestion_score")
 
 
 # --- chart and table ----------------------------------------------------------------------------
@@ -276,7 +303,7 @@ def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def hourly_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicles per hour and sensor, one column per sensor."""
-    return report_of(spark, sf_dir).matrix().orderBy("hour_bucket")
+    return report_of(spark, sf_dir).matrix(SENSORS).orderBy("hour_bucket")
 
 
 @registered

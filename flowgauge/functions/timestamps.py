@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The time format of messages; a whole second has no fraction.
 ISO_WITH_OFFSET = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+ISO_WHOLE_SECOND = "yyyy-MM-dd'T'HH:mm:ssxxx"
 MINUTE_LABEL = "yyyy-MM-dd HH:mm"
 
 
@@ -27,8 +29,11 @@ def from_iso(text: Column) -> Column:
 
 
 def to_iso(when: Column) -> Column:
-    """ISO-8601 text with offset and microseconds."""
-    return F.date_format(zoned(when), ISO_WITH_OFFSET)
+    """ISO-8601 text with offset, and with microseconds unless they are 0."""
+    instant = zoned(when)
+    whole = F.date_trunc("second", instant) == instant
+    text = F.date_format(instant, ISO_WITH_OFFSET)
+    return F.when(whole, F.date_format(instant, ISO_WHOLE_SECOND)).otherwise(text)
 
 
 def hour_of(when: Column) -> Column:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowgauge.functions.measures import round_cents
 from flowgauge.functions.timestamps import to_iso, zoned
 
 
 def reading_json(sensor: Column, when: Column, count: Column, speed: Column) -> Column:
-    """Message text of a reading, speed to two places."""
+    """Message text of a reading, speed to two places. Names and order of the fields are the
+    message format."""
     return F.to_json(
         F.struct(
             sensor.alias("sensor_id"),
             to_iso(when).alias("timestamp"),
             count.alias("vehicle_count"),
-            F.round(speed, 2).alias("avg_speed"),
+            round_cents(speed).alias("avg_speed"),
         )
     )
 

@@ -8,20 +8,22 @@ from __future__ import annotations
 
 import argparse
 import os
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import SparkSession
 
 from flowgauge import rules
+from flowgauge.folders import Folder
 from flowgauge.plans.report import CongestionReport, congestion_report
-from flowgauge.session import BATCH_SETTINGS, job_session
-from flowgauge.sinks.report_files import report_dir, utc_today, write_csv
+from flowgauge.session import BATCH_DEFAULTS, job_session
+from flowgauge.sinks.report_files import publish, report_dir, utc_today, write_csv
 from flowgauge.sources.tables import (
     jdbc_newest,
     jdbc_options,
     jdbc_readings,
     no_readings,
-    raw_table,
+    trailing_raw,
 )
 
 
@@ -32,6 +34,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     source.add_argument("--raw-table", help="database table of the raw readings")
     parser.add_argument("--out", required=True, help="reports go to <out>/report_date=<day>")
     parser.add_argument("--day", type=date.fromisoformat, help="name of the report; today in UTC")
+    parser.add_argument("--sensors", nargs="+", help="write the matrix by these columns as well")
     parser.add_argument("--jdbc-url")
     parser.add_argument("--jdbc-user")
     parser.add_argument("--jdbc-password-env", help="environment variable that holds the password")
@@ -45,7 +48,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 def report_of(spark: SparkSession, chosen: argparse.Namespace) -> CongestionReport:
     if chosen.raw:
-        return congestion_report(raw_table(spark, chosen.raw), date_column="event_date")
+        rows, newest = trailing_raw(spark, chosen.raw)
+        return congestion_report(rows, date_column="event_date", newest=newest)
     password = os.environ[chosen.jdbc_password_env] if chosen.jdbc_password_env else ""
     login = {"user": chosen.jdbc_user, "password": password, "driver": chosen.jdbc_driver}
     connection = jdbc_options(chosen.jdbc_url, chosen.raw_table, **login)
@@ -57,27 +61,38 @@ def report_of(spark: SparkSession, chosen: argparse.Namespace) -> CongestionRepo
     return congestion_report(rows, newest=newest)
 
 
-def write_report(report: CongestionReport, out_dir: str, day: date) -> bool:
-    """Write the report and the data of its chart and table; nothing when there are no readings."""
-    if report.is_empty():
-        return False
-    place = report_dir(out_dir, day)
-    write_csv(report.rows, f"{place}/report", ["sensor_id", "hour_bucket"])
-    write_csv(report.display(), f"{place}/display", ["sensor_id", "hour_bucket"])
-    if report.fits_pivot():
-        write_csv(report.matrix(), f"{place}/matrix", ["hour_bucket"])
-    else:
-        write_csv(report.matrix_by_sensor(), f"{place}/matrix_by_sensor", ["sensor_id"])
-    write_csv(report.ticks(), f"{place}/ticks", ["position"])
-    return True
+def write_report(
+    report: CongestionReport, out_dir: str, day: date, sensors: list[str] | None = None
+) -> bool:
+    """Write the report and the data of its chart and table; nothing when there are no readings.
+
+    The matrix has a row per sensor; with `sensors`, which must name them all, it is written with a
+    column per sensor as well. All parts are written aside and take the day's place together, in
+    which nothing of an earlier run is left. What the report kept is removed.
+    """
+    try:
+        if report.is_empty():
+            return False
+        spark = report.hourly.sparkSession
+        built = Folder(spark, f"{out_dir}/_building-{uuid.uuid4().hex}")
+        write_csv(report.rows, f"{built.path}/report", ["sensor_id", "hour_bucket"])
+        write_csv(report.display(), f"{built.path}/display", ["sensor_id", "hour_bucket"])
+        write_csv(report.matrix_by_sensor(), f"{built.path}/matrix_by_sensor", ["sensor_id"])
+        if sensors:
+            write_csv(report.matrix(sensors), f"{built.path}/matrix", ["hour_bucket"])
+        write_csv(report.ticks(), f"{built.path}/ticks", ["position"])
+        publish(built, report_dir(out_dir, day))
+        return True
+    finally:
+        report.release()
 
 
 def main(argv: list[str] | None = None) -> None:
     chosen = arguments(argv)
-    spark = job_session("congestion-report", BATCH_SETTINGS)
+    spark = job_session("congestion-report", defaults=BATCH_DEFAULTS)
     report = report_of(spark, chosen)
     day = chosen.day or utc_today()
-    if write_report(report, chosen.out, day):
+    if write_report(report, chosen.out, day, chosen.sensors):
         print(f"report written to {report_dir(chosen.out, day)}")
     else:
         print("no readings, no report")

@@ -46,7 +46,6 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     raw.add_argument("--raw-table", help="database table of the raw readings")
     windows = parser.add_mutually_exclusive_group(required=True)
     windows.add_argument("--windows", help="directory of the window table")
-    parser.add_argument("--window-files", type=int, default=4, help="files per date and batch")
     windows.add_argument("--window-table", help="database table of the window aggregates")
     alerts = parser.add_mutually_exclusive_group(required=True)
     alerts.add_argument("--alert-topic", help="Kafka topic of the alerts")
@@ -57,6 +56,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--jdbc-user")
     parser.add_argument("--jdbc-password-env", help="environment variable that holds the password")
     parser.add_argument("--jdbc-driver")
+    parser.add_argument("--jdbc-connections", type=int, default=16, help="writers of a batch")
 
     parser.add_argument("--checkpoints", required=True, help="durable directory, one part per query")
     parser.add_argument("--interval", help="trigger interval; none means as fast as possible")
@@ -86,7 +86,7 @@ def messages(spark: SparkSession, chosen: argparse.Namespace) -> DataFrame:
 def database(chosen: argparse.Namespace, table: str) -> JdbcTable:
     password = os.environ[chosen.jdbc_password_env] if chosen.jdbc_password_env else ""
     login = {"user": chosen.jdbc_user, "password": password, "driver": chosen.jdbc_driver}
-    return JdbcTable(jdbc_options(chosen.jdbc_url, table, **login))
+    return JdbcTable(jdbc_options(chosen.jdbc_url, table, **login), chosen.jdbc_connections)
 
 
 def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuery]:
@@ -95,7 +95,7 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
     pace = Pace(chosen.interval, chosen.available_now)
     raw = raw_parquet(chosen.raw) if chosen.raw else database(chosen, chosen.raw_table)
     if chosen.windows:
-        windows: BatchSink = window_parquet(chosen.windows, chosen.window_files)
+        windows: BatchSink = window_parquet(chosen.windows)
     else:
         windows = database(chosen, chosen.window_table)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgauge import rules
@@ -12,25 +12,30 @@ from flowgauge.functions.measures import round_half_even
 from flowgauge.functions.timestamps import literal_time, minute_label
 
 
-def hourly_matrix(hourly: DataFrame, sensors: list[str] | None = None) -> DataFrame:
+def listed(value: Column, among: list, what: str) -> Column:
+    """The value, if it is one of the list; otherwise the query fails: a pivot would drop it."""
+    message = F.concat(F.lit(f"{what} outside the matrix: "), value.cast("string"))
+    return F.when(value.isin(among), value).otherwise(F.raise_error(message))
+
+
+def hourly_matrix(hourly: DataFrame, sensors: list[str]) -> DataFrame:
     """One row per hour, one column per sensor, 0 where a sensor has no readings.
 
-    Given the sensors, the pivot needs no job to find its columns. Spark refuses more columns than
-    spark.sql.pivotMaxValues; `sensor_matrix` has no such bound.
+    For a stated list of sensors, as columns have to be; `sensor_matrix` takes any number.
     """
-    by_hour = hourly.groupBy("hour_bucket")
-    wide = by_hour.pivot("sensor_id", sensors) if sensors else by_hour.pivot("sensor_id")
-    return wide.sum("total_vehicles").na.fill(0)
+    named = hourly.withColumn("sensor_id", listed(F.col("sensor_id"), sensors, "sensor"))
+    return named.groupBy("hour_bucket").pivot("sensor_id", sensors).sum("total_vehicles").na.fill(0)
 
 
 def sensor_matrix(hourly: DataFrame, hours: int = rules.TRAILING_HOURS) -> DataFrame:
     """The same matrix turned on its side, for any number of sensors: one row per sensor, columns
-    h00, h01, ... counting hours from the first one (a trailing day touches one more than it has).
+    h00, h01, ... counting hours from the first one (a span of hours touches one more than it has).
+    An hour beyond the span fails the query.
     """
     first = hourly.agg(F.min("hour_bucket")).head()[0] or datetime.min
-    hour_no = F.timestamp_diff("HOUR", literal_time(first), F.col("hour_bucket"))
     numbers = list(range(hours + 1))
-    by_sensor = hourly.withColumn("hour_no", hour_no).groupBy("sensor_id")
+    hour_no = F.timestamp_diff("HOUR", literal_time(first), F.col("hour_bucket"))
+    by_sensor = hourly.withColumn("hour_no", listed(hour_no, numbers, "hour")).groupBy("sensor_id")
     wide = by_sensor.pivot("hour_no", numbers).sum("total_vehicles").na.fill(0)
     return wide.toDF("sensor_id", *[f"h{n:02d}" for n in numbers])
 

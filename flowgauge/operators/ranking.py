@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgauge.functions.measures import congestion_score
 from flowgauge.session import materialise
 
-# One task sorts this many scored rows in well under a second; beyond it the ranking is spread.
-SINGLE_TASK_ROWS = 200_000
-
-# Scores sorted per task where the ranking is spread.
-ROWS_PER_SLICE = 1_000_000
-
 # monotonically_increasing_id keeps the row number within a partition in its lower 33 bits.
 ROW_BITS = 33
 
@@ -38,35 +34,23 @@ def scored(hours: DataFrame) -> DataFrame:
     return hours.withColumn("congestion_score", score).filter(has_score)
 
 
-def rank_by_score(
+def dense_rank_by_score(
     rows: DataFrame,
     score: str = "congestion_score",
     rank: str = "congestion_rank",
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> DataFrame:
-    """Add the dense rank over the whole relation, highest score first.
-
-    `rows` must give the same scores each time it is read (see `session.materialise`). A window
-    without partition key sorts everything in one task, which is right only up to a counted size;
-    above it `spread_dense_rank` gives the same ranks.
-    """
-    if rows.count() <= single_task_rows:
-        return rows.withColumn(rank, F.dense_rank().over(Window.orderBy(F.desc(score))))
-    return spread_dense_rank(rows, score, rank)
-
-
-def spread_dense_rank(rows: DataFrame, score: str, rank: str) -> DataFrame:
-    """Dense rank without a global window: the place of each distinct score in one range sort.
+    """Add the dense rank over the whole relation, highest score first, without a global window:
+    the place of each distinct score in one range sort. `rows` must give the same scores each time
+    it is read.
 
     Distinct scores are combined map-side, range-partitioned and sorted; a score's rank is its row
     number within its slice plus the number of scores in the slices before. The slices are
     materialised first because range bounds are sampled anew whenever the shuffle is planned. The
     join back is by equality, so a score shared by a third of the rows is split as a skewed key.
     """
-    spark = rows.sparkSession
-    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(usual, rows.count() // ROWS_PER_SLICE)
-    placed = materialise(
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keep(
         rows.select(score)
         .distinct()
         .repartitionByRange(slices, F.desc(score))

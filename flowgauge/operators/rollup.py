@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge import rules
+from flowgauge.functions.measures import exact_mean
 from flowgauge.functions.timestamps import hour_of, literal_date, literal_time
 
 
@@ -17,17 +18,9 @@ def latest_event_time(readings: DataFrame) -> DataFrame:
     return readings.agg(newest.alias("latest_event_time"))
 
 
-def newest_reading(readings: DataFrame, date_column: str | None = None) -> datetime:
-    """The latest event time as a value.
-
-    With a date partition column the newest date comes first, from partition values alone, and only
-    that date's times are read; without one this scans the single time column.
-    """
-    if date_column is not None:
-        day = readings.agg(F.max(date_column)).head()[0]
-        if day is not None:
-            readings = readings.filter(F.col(date_column) == F.lit(day))
-    return latest_event_time(readings).head()[0]
+def newest_reading(readings: DataFrame) -> datetime | None:
+    """The latest event time as a value, None without readings; scans the time column."""
+    return readings.agg(F.max("event_time")).head()[0]
 
 
 def trailing_readings(
@@ -43,7 +36,9 @@ def trailing_readings(
     would reach neither, and a join with the one-row bound would add a nested loop. A source that
     knows its newest time can pass it.
     """
-    newest = newest or newest_reading(readings, date_column)
+    newest = newest or newest_reading(readings)
+    if newest is None:
+        return readings.filter(F.lit(False))
     since = newest - timedelta(hours=hours)
     kept = readings.filter(F.col("event_time") >= literal_time(since))
     if date_column is not None:
@@ -52,8 +47,9 @@ def trailing_readings(
 
 
 def hourly_traffic(readings: DataFrame) -> DataFrame:
-    """Vehicle sum and unweighted mean speed per sensor and hour."""
+    """Vehicle sum and unweighted mean speed per sensor and hour. The mean is the exact one: its last
+    digit decides ties of the ranking."""
     return readings.groupBy("sensor_id", hour_of(F.col("event_time")).alias("hour_bucket")).agg(
         F.sum("vehicle_count").alias("total_vehicles"),
-        F.avg("avg_speed").alias("avg_speed"),
+        exact_mean(F.col("avg_speed")).alias("avg_speed"),
     )

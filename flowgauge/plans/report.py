@@ -8,23 +8,26 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from flowgauge import rules
+from flowgauge import rules, schemas
 from flowgauge.operators.charts import display_table, hour_ticks, hourly_matrix, sensor_matrix
 from flowgauge.operators.labels import with_labels
-from flowgauge.operators.ranking import peak_hours, rank_by_score, scored
-from flowgauge.operators.rollup import hourly_traffic, trailing_readings
-from flowgauge.session import materialise
+from flowgauge.operators.ranking import dense_rank_by_score, peak_hours, scored
+from flowgauge.operators.rollup import hourly_traffic, newest_reading, trailing_readings
+from flowgauge.session import Scratch
 
 
 @dataclass(frozen=True)
 class CongestionReport:
     """All outputs of one report, derived from one hourly rollup so that they agree.
 
-    `hourly` holds at most 25 rows per sensor. It is the only relation computed from readings and
-    is kept in the shared folder: the ranking, the chart and the table read it, not the readings.
+    `hourly` holds at most `hours` + 1 rows per sensor. It is the only relation computed from
+    readings and is kept in the shared folder: the ranking, the chart and the table read it, not the
+    readings. `release` removes what was kept, when all outputs are written.
     """
 
     hourly: DataFrame
+    hours: int
+    scratch: Scratch
 
     def is_empty(self) -> bool:
         return self.hourly.isEmpty()
@@ -36,18 +39,13 @@ class CongestionReport:
     @cached_property
     def rows(self) -> DataFrame:
         """Peak hours with score, rank and labels."""
-        return with_labels(rank_by_score(scored(self.peaks)))
+        return with_labels(dense_rank_by_score(scored(self.peaks), keep=self.scratch.keep))
 
-    def fits_pivot(self) -> bool:
-        """Whether the sensors are few enough to be columns."""
-        most = int(self.hourly.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        return self.hourly.select("sensor_id").distinct().count() <= most
-
-    def matrix(self, sensors: list[str] | None = None) -> DataFrame:
+    def matrix(self, sensors: list[str]) -> DataFrame:
         return hourly_matrix(self.hourly, sensors)
 
     def matrix_by_sensor(self) -> DataFrame:
-        return sensor_matrix(self.hourly)
+        return sensor_matrix(self.hourly, self.hours)
 
     def ticks(self) -> DataFrame:
         return hour_ticks(self.hourly)
@@ -55,6 +53,9 @@ class CongestionReport:
     def display(self) -> DataFrame:
         return display_table(self.rows)
 
+    def release(self) -> None:
+        self.scratch.remove()
+
 
 def congestion_report(
     readings: DataFrame,
@@ -62,7 +63,13 @@ def congestion_report(
     date_column: str | None = None,
     newest: datetime | None = None,
 ) -> CongestionReport:
-    """Report over the readings of the trailing day; reads them once for the bound (times only)
-    and once for the rollup (the trailing day only)."""
+    """Report over the readings of the trailing day; reads them once for the bound (times only),
+    unless the source knows it, and once for the rollup (the trailing day only). Without readings
+    there is nothing to read a second time."""
+    spark = readings.sparkSession
+    scratch = Scratch(spark)
+    newest = newest or newest_reading(readings)
+    if newest is None:
+        return CongestionReport(spark.createDataFrame([], schemas.HOURLY), hours, scratch)
     recent = trailing_readings(readings, hours, date_column, newest)
-    return CongestionReport(materialise(hourly_traffic(recent)))
+    return CongestionReport(scratch.keep(hourly_traffic(recent)), hours, scratch)

@@ -13,9 +13,9 @@ READING = "sensor_id STRING, event_time TIMESTAMP_NTZ, vehicle_count INT, avg_sp
 READING_COLUMNS = ["sensor_id", "event_time", "vehicle_count", "avg_speed"]
 
 # Partition columns the batch writer adds below a table directory.
-RAW_TABLE = f"{READING}, event_date DATE, batch_id BIGINT"
+RAW_TABLE = f"{READING}, event_date DATE, query_id STRING, batch_id BIGINT"
 
-QUARANTINE_TABLE = "value STRING, missing STRING, batch_id BIGINT"
+QUARANTINE_TABLE = "value STRING, missing STRING, query_id STRING, batch_id BIGINT"
 
 WINDOW = (
     "sensor_id STRING, window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ, "
@@ -29,7 +29,7 @@ WINDOW_COLUMNS = [
     "total_vehicles",
     "congestion_index",
 ]
-WINDOW_TABLE = f"{WINDOW}, window_date DATE, batch_id BIGINT"
+WINDOW_TABLE = f"{WINDOW}, window_date DATE, query_id STRING, batch_id BIGINT"
 
 HOURLY = "sensor_id STRING, hour_bucket TIMESTAMP_NTZ, total_vehicles BIGINT, avg_speed DOUBLE"
 

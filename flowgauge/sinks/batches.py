@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
@@ -13,53 +13,59 @@ class BatchSink(Protocol):
     def __call__(self, batch: DataFrame, batch_id: int) -> None: ...
 
 
-@dataclass(frozen=True)
-class ParquetTable:
-    """Appends micro-batches to a parquet table partitioned by date, then by batch.
+# The query id of rows that no streaming query wrote.
+NO_QUERY = "none"
 
-    Only the (date, batch) partitions of this batch are overwritten, and they are swapped in when
-    the write commits, so a replay leaves neither duplicates nor gaps. Dates come first so that a
-    reader's date bound prunes whole branches. Rows are sorted within files, which gives row groups
-    narrow ranges.
 
-    By default a batch is written by the tasks that computed it. `files_per_date` is for results of
-    a stateful query, whose many state partitions would each leave a tiny file per date: their rows
-    are spread over that many files of a date instead. (Adaptive rebalancing would do, but Spark
-    turns adaptive execution off in such a query.)
+@dataclass(frozen=True)
+class ParquetTable:
+    """Appends micro-batches to a parquet table partitioned by date, then by query and batch.
+
+    Only the partitions of this query's batch are overwritten, and they are swapped in when the
+    write commits, so a replay leaves neither duplicates nor gaps. The query's id comes from its
+    checkpoint: a query that starts anew, or a second writer, counts its batches from 0 again and
+    must not meet the first one's. Dates come first so that a reader's date bound prunes whole
+    branches. Rows are sorted within files, which gives row groups narrow ranges. A batch is written
+    by the tasks that computed it; `compaction` makes large files of closed dates.
     """
 
     path: str
     time_column: str | None = None
     date_column: str | None = None
     sort_by: tuple[str, ...] = ()
-    files_per_date: int | None = None
+    query_id: str = NO_QUERY
+
+    def for_query(self, query_id: str) -> ParquetTable:
+        return replace(self, query_id=query_id)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        keys = ["batch_id"]
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows, keys = numbered(batch, self.query_id, batch_id)
         if self.date_column:
             keys.insert(0, self.date_column)
             rows = rows.withColumn(self.date_column, F.to_date(self.time_column))
-        if self.files_per_date:
-            part = F.pmod(F.hash(*self.sort_by), F.lit(self.files_per_date))
-            rows = rows.repartition(*keys, part)
         if self.sort_by:
             rows = rows.sortWithinPartitions(*keys, *self.sort_by)
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys)
-            .parquet(self.path)
-        )
+        overwriting(rows, keys).parquet(self.path)
+
+
+def numbered(batch: DataFrame, query_id: str, batch_id: int) -> tuple[DataFrame, list[str]]:
+    """The rows with their query and batch, and the names of these columns."""
+    columns = {"query_id": F.lit(query_id), "batch_id": F.lit(batch_id).cast("bigint")}
+    return batch.withColumns(columns), list(columns)
+
+
+def overwriting(rows: DataFrame, keys: list[str]) -> DataFrameWriter:
+    """A writer that replaces the partitions the rows are in."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return writer.partitionBy(*keys)
 
 
 def raw_parquet(path: str) -> ParquetTable:
     return ParquetTable(path, "event_time", "event_date", ("sensor_id", "event_time"))
 
 
-def window_parquet(path: str, files_per_date: int = 4) -> ParquetTable:
-    sort_by = ("sensor_id", "window_start")
-    return ParquetTable(path, "window_start", "window_date", sort_by, files_per_date)
+def window_parquet(path: str) -> ParquetTable:
+    return ParquetTable(path, "window_start", "window_date", ("sensor_id", "window_start"))
 
 
 def quarantine_parquet(path: str) -> ParquetTable:
@@ -68,18 +74,17 @@ def quarantine_parquet(path: str) -> ParquetTable:
 
 @dataclass(frozen=True)
 class TextMessages:
-    """Writes the messages of a batch as text lines under its own batch directory."""
+    """Writes the messages of a batch as text lines under its own query's and batch's directory."""
 
     path: str
+    query_id: str = NO_QUERY
+
+    def for_query(self, query_id: str) -> TextMessages:
+        return replace(self, query_id=query_id)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .text(self.path)
-        )
+        rows, keys = numbered(batch, self.query_id, batch_id)
+        overwriting(rows, keys).text(self.path)
 
 
 @dataclass(frozen=True)

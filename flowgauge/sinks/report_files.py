@@ -6,11 +6,9 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-CSV_TIME = "yyyy-MM-dd HH:mm:ss"
-
-# Up to this many rows a table is written as one file; more are written as ordered parts.
-ONE_FILE_ROWS = 100_000
+from flowgauge.folders import Folder
 
+CSV_TIME = "yyyy-MM-dd HH:mm:ss"
 
 def utc_today() -> date:
     return datetime.now(timezone.utc).date()
@@ -21,17 +19,24 @@ def report_dir(out_dir: str, day: date) -> str:
 
 
 def write_csv(rows: DataFrame, path: str, order_by: list[str]) -> None:
-    """CSV with header, replacing an earlier run. Small tables give one sorted file. Larger ones
-    are range-sorted into parts that keep the order when read by name."""
-    if rows.count() <= ONE_FILE_ROWS:
-        ordered = rows.repartition(1).sortWithinPartitions(*order_by)
-    else:
-        ordered = rows.orderBy(*order_by)
-    ordered.write.mode("overwrite").option("header", True).option(
+    """CSV with header, replacing an earlier run: range-sorted parts that keep the order when read
+    by name. Adaptive execution makes one part of a small table."""
+    rows.orderBy(*order_by).write.mode("overwrite").option("header", True).option(
         "timestampNTZFormat", CSV_TIME
     ).csv(path)
 
 
+def publish(built: Folder, path: str) -> None:
+    """Put a finished report in the place of an earlier one. The old one steps aside before the new
+    one takes its name, so a reader sees one or the other, and never a mixture."""
+    place = Folder(built.spark, path)
+    aside = Folder(built.spark, f"{built.path}-replaced")
+    if place.exists():
+        place.move_to(aside.path)
+    built.move_to(path)
+    aside.delete()
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     reader = spark.read.schema(schema).option("header", True)
     return reader.option("timestampNTZFormat", CSV_TIME).csv(path)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge import schemas
+from flowgauge import rules, schemas
+from flowgauge.folders import Folder
 from flowgauge.functions.wire import json_int, reading_json
+from flowgauge.operators.rollup import newest_reading
 
 EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
@@ -51,9 +53,36 @@ def as_messages(readings: DataFrame) -> DataFrame:
     return readings.select(reading_json(*fields).alias("value"))
 
 
-def raw_table(spark: SparkSession, path: str) -> DataFrame:
-    """The raw table, with its partition columns event_date and batch_id."""
-    return spark.read.schema(schemas.RAW_TABLE).parquet(path)
+def raw_dates(spark: SparkSession, path: str) -> list[date]:
+    """Dates of the raw table, by the names of its folders."""
+    return sorted(date.fromisoformat(v) for v in Folder(spark, path).values("event_date"))
+
+
+def raw_table(spark: SparkSession, path: str, dates: list[date] | None = None) -> DataFrame:
+    """The raw table, with its partition columns event_date, query_id and batch_id; of the dates
+    alone if some are given, so that no other folder is listed."""
+    reader = spark.read.schema(schemas.RAW_TABLE).option("basePath", path)
+    if dates is None:
+        return reader.parquet(path)
+    return reader.parquet(*[f"{path}/event_date={d.isoformat()}" for d in dates])
+
+
+def trailing_raw(
+    spark: SparkSession, path: str, hours: int = rules.TRAILING_HOURS
+) -> tuple[DataFrame, datetime | None]:
+    """(rows of the dates that the trailing hours touch, newest event time).
+
+    The newest date is known by its folder's name; its times alone are read for the newest of them,
+    and older dates are not even listed.
+    """
+    dates = raw_dates(spark, path)
+    while dates:
+        newest = newest_reading(raw_table(spark, path, dates[-1:]))
+        if newest is not None:
+            first = (newest - timedelta(hours=hours)).date()
+            return raw_table(spark, path, [d for d in dates if d >= first]), newest
+        dates.pop()
+    return no_readings(spark).withColumn("event_date", F.lit(None).cast("date")), None
 
 
 def window_table(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ Each query has its own checkpoint and offsets, as the outputs are independent of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from flowgauge import rules
 from flowgauge.operators.alerts import alert_messages
-from flowgauge.operators.ingest import quarantined, valid_readings, with_watermark
+from flowgauge.operators.ingest import keeps_contract, quarantined, valid_readings, with_watermark
 from flowgauge.operators.windows import window_congestion
 from flowgauge.sinks.batches import BatchSink
 
@@ -57,20 +58,22 @@ def start_landing(
     """Store every valid reading, late ones included, and set the others aside.
 
     With an alert sink the alerts leave in the same query. Each micro-batch is parsed once and kept
-    while its outputs are written; a lost executor's part is read and parsed again.
+    while its outputs are written; a lost executor's part is read and parsed again. The source's
+    limit per trigger bounds what is kept.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        own = lambda sink: of_query(sink, batch.sparkSession, checkpoint)
         if quarantine is None and alerts is None:
-            raw(valid_readings(batch), batch_id)
+            own(raw)(valid_readings(batch), batch_id)
             return
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            raw(valid_readings(batch), batch_id)
+            own(raw)(valid_readings(batch), batch_id)
             if quarantine is not None:
-                quarantine(quarantined(batch), batch_id)
+                own(quarantine)(quarantined(batch), batch_id)
             if alerts is not None:
-                alerts(alert_messages(batch), batch_id)
+                own(alerts)(alert_messages(batch), batch_id)
         finally:
             batch.unpersist()
 
@@ -87,12 +90,21 @@ def start_windows(
     pace: Pace = Pace(),
     name: str | None = None,
 ) -> StreamingQuery:
-    """Emit each window once, when the watermark has passed its end; later rows for it are dropped."""
-    closed = window_congestion(with_watermark(parsed, delay), width)
+    """Emit each window once, when the watermark has passed its end; later rows for it are dropped.
+
+    Only messages that keep the raw table's contract count, so that the windows agree with those of
+    the stored history. The index of a window at a standstill is NULL, as no number would be right.
+    """
+    valid = parsed.filter(keeps_contract())
+    closed = window_congestion(with_watermark(valid, delay), width)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        of_query(sink, batch.sparkSession, checkpoint)(batch, batch_id)
+
     writer = (
         closed.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(sink)
+        .foreachBatch(store)
     )
     with window_settings(parsed.sparkSession):
         return pace.apply(writer).start(queryName=name)
@@ -107,7 +119,8 @@ def start_alerts(
     name: str | None = None,
 ) -> StreamingQuery:
     """Send an alert for every critical reading, late ones included, through a streaming sink
-    (`kafka` with its options, or `text` with a path)."""
+    (`kafka` with its options, or `text` with a path). A known speed is all an alert needs: a message
+    that breaks the contract elsewhere still raises one, without the fields it lacks."""
     writer = (
         alert_messages(parsed)
         .writeStream.outputMode("append")
@@ -118,6 +131,18 @@ def start_alerts(
     return pace.apply(writer).start(queryName=name)
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a query keeps over restarts, from its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").head()[0])["id"]
+
+
+def of_query(sink: BatchSink, spark: SparkSession, checkpoint: str) -> BatchSink:
+    """The sink with the query's id, if it tells queries apart."""
+    if not hasattr(sink, "for_query"):
+        return sink
+    return sink.for_query(query_id(spark, checkpoint))
+
+
 @contextmanager
 def window_settings(spark: SparkSession) -> Iterator[None]:
     """Settings a window query takes over when it starts, put back for the session's other queries.

@@ -36,6 +36,15 @@ def test_query_equals_sql(spark, scale, name):
     assert unordered(tuple(r) for r in found.select(*columns).collect()) == unordered(rows)
 
 
+@pytest.mark.parametrize("name", ["hourly_rollup", "peak_hour", "hourly_matrix"])
+def test_ordered_outputs_are_in_order(spark, scale, name):
+    path, connection = scale
+    found = QUERIES[name](spark, path)
+    quoted = ", ".join(f'"{c}"' for c in found.columns)
+    wanted = connection.sql(f"SELECT {quoted} FROM ({ORACLE[name]})").fetchall()
+    assert [tuple(r) for r in found.collect()] == wanted
+
+
 def test_entry(spark):
     flagship = driver.entry(spark)
     assert flagship.count() > 0

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
+from flowgauge.catalog import REGISTERED
 from flowgauge.jobs import report_job, stream_job
+from flowgauge.operators.rollup import trailing_readings
 from flowgauge.plans.report import congestion_report
-from flowgauge.session import scratch_path, shared_dir
-from flowgauge.sinks.batches import JdbcTable, TopicMessages
+from flowgauge.session import BATCH_DEFAULTS, job_session, scratch_path, shared_dir
+from flowgauge.sinks.batches import JdbcTable, TopicMessages, raw_parquet
 from flowgauge.sinks.report_files import read_csv
 from flowgauge.sources.messages import MessageFiles, Topic
 from flowgauge.sources.tables import (
@@ -17,10 +19,12 @@ from flowgauge.sources.tables import (
     event_readings,
     jdbc_options,
     newest_options,
+    raw_dates,
     raw_table,
     spread_options,
+    trailing_raw,
 )
-from tests.helpers import same_rows, tuples
+from tests.helpers import at, readings, same_rows, tuples
 
 
 def stream_arguments(tmp_path, *more):
@@ -61,17 +65,63 @@ def test_stream_job_then_report_job(spark, sf_dir, tmp_path, share):
 
 
 def test_report_reads_only_the_trailing_dates(spark, sf_dir, tmp_path):
-    from flowgauge.operators.rollup import trailing_readings
-    from flowgauge.sinks.batches import raw_parquet
-
-    raw_parquet(str(tmp_path / "raw"))(event_readings(spark, sf_dir).drop("event_id"), 0)
-    recent = trailing_readings(raw_table(spark, str(tmp_path / "raw")), date_column="event_date")
+    """The newest date is a folder's name: no scan of the probe opens or lists an older date."""
+    path = str(tmp_path / "raw")
+    raw_parquet(path)(event_readings(spark, sf_dir).drop("event_id"), 0)
+    assert raw_dates(spark, path) == [datetime(2024, 1, 1).date() + timedelta(days=d) for d in range(30)]
+    rows, newest = trailing_raw(spark, path)
+    assert newest == datetime(2024, 1, 30, 23, 57, 12, 194062)
+    days = {name.split("event_date=")[1][:10] for name in rows.inputFiles()}
+    assert days == {"2024-01-29", "2024-01-30"}
+    recent = trailing_readings(rows, newest=newest, date_column="event_date")
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert "GreaterThanOrEqual(event_time,2024-01-29T" in plan
     assert recent.count() == trailing_readings(event_readings(spark, sf_dir)).count()
 
 
+def test_newest_date_without_rows(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    assert trailing_raw(spark, path)[1] is None
+    assert congestion_report(trailing_raw(spark, path)[0]).is_empty()
+    raw_parquet(path)(readings(spark, ("a", "10:00:00", 1, 1.0)), 0)
+    (tmp_path / "raw/event_date=2026-05-10").mkdir()
+    rows, newest = trailing_raw(spark, path)
+    assert newest == at("10:00:00") and rows.count() == 1
+
+
+def test_what_spark_submit_sets_stands(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert job_session("x", defaults=BATCH_DEFAULTS).conf.get(key) == "2000"
+        spark.conf.set(key, "50000")
+        assert job_session("x", defaults=BATCH_DEFAULTS).conf.get(key) == "50000"
+    finally:
+        for name in BATCH_DEFAULTS:
+            spark.conf.unset(name)
+
+
+def test_queries_leave_the_callers_zone_alone(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = tuples(REGISTERED["hourly_rollup"](spark, sf_dir))
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == tuples(REGISTERED["hourly_rollup"](spark, sf_dir))
+
+
+def test_nothing_is_kept_once_the_report_is_written(spark, sf_dir, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr("flowgauge.session.shared_dir", lambda _: str(shared))
+    report = congestion_report(event_readings(spark, sf_dir))
+    assert list(shared.iterdir())
+    assert report_job.write_report(report, str(tmp_path / "out"), datetime(2024, 1, 30).date())
+    assert not list(shared.iterdir())
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["report_date=2024-01-30"]
+
+
 @pytest.mark.parametrize(
     "argv",
     [
@@ -169,26 +219,19 @@ def test_database_report(spark, sf_dir, monkeypatch, newest):
         assert report.hourly.count() == 113
 
 
-def test_shared_folder(spark, monkeypatch):
+def test_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def unnamed_folder(master):
-    """A session that names no shared folder."""
-    return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default=None: default),
-        sparkContext=SimpleNamespace(master=master),
+def test_without_a_setting_the_warehouse_holds_it(tmp_path):
+    values = {"spark.sql.warehouse.dir": f"file:{tmp_path}/warehouse"}
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: values.get(key, default)),
+        sparkContext=SimpleNamespace(applicationId="app-1"),
     )
-
-
-def test_a_cluster_must_name_its_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(unnamed_folder("spark://host:7077"))
-    local = shared_dir(unnamed_folder("local[8]"))
-    assert os.path.isdir(local)
-    assert shared_dir(unnamed_folder("local[*]")) == local
+    assert shared_dir(session) == f"file:{tmp_path}/warehouse/scratch-app-1"
 
 
 def test_no_credentials_in_the_package():

@@ -4,21 +4,26 @@ import re
 
 import pytest
 
-import __spark_entry__ as driver
-from flowgauge.catalog import report_of
+from flowgauge.catalog import REGISTERED, report_of
 from flowgauge.operators.rollup import hourly_traffic, trailing_readings
 from flowgauge.sources.tables import event_readings
 
-EAGER_STREAMS = {"raw_events_stream", "window_congestion_stream", "critical_alerts_stream"}
+EAGER_STREAMS = {
+    "raw_events_stream",
+    "window_congestion_stream",
+    "window_congestion_faulty_stream",
+    "window_congestion_replay",
+    "critical_alerts_stream",
+}
 
 
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - EAGER_STREAMS))
+@pytest.mark.parametrize("name", sorted(set(REGISTERED) - EAGER_STREAMS))
 def test_no_cross_joins_and_no_python(spark, sf_dir, name):
-    plan = physical(driver.queries()[name](spark, sf_dir))
+    plan = physical(REGISTERED[name](spark, sf_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
         assert bad not in plan
 
@@ -30,12 +35,12 @@ def test_bound_reaches_the_scan(spark, sf_dir):
 
 
 def test_newest_time_reads_one_column(spark, sf_dir):
-    plan = physical(driver.queries()["latest_reading"](spark, sf_dir))
+    plan = physical(REGISTERED["latest_reading"](spark, sf_dir))
     assert "ReadSchema: struct<ts:timestamp_ntz>" in plan
 
 
 def test_alert_filter_is_pushed(spark, sf_dir):
-    plan = physical(driver.queries()["critical_alerts"](spark, sf_dir))
+    plan = physical(REGISTERED["critical_alerts"](spark, sf_dir))
     assert "LessThan(value,10.0)" in plan
 
 
@@ -48,3 +53,9 @@ def test_rollup_combines_before_one_shuffle(spark, sf_dir):
 def test_peak_hours_limit_each_group_before_the_shuffle(spark, sf_dir):
     plan = physical(report_of(spark, sf_dir).peaks)
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_no_rank_in_one_task(spark, sf_dir):
+    """The only windows without a key are over the slices of the ranking and the hours of a day."""
+    plan = physical(REGISTERED["report_rows"](spark, sf_dir))
+    assert "dense_rank" not in plan.lower()

@@ -2,11 +2,10 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from flowgauge.operators.ranking import rank_by_score, spread_dense_rank
+from flowgauge.operators.ranking import dense_rank_by_score
 from flowgauge.session import materialise
-from tests.helpers import same_rows, tuples
+from tests.helpers import tuples
 
 
 def brute_force(scores):
@@ -28,34 +27,17 @@ def scores(request):
     return [1.0]
 
 
-def test_both_ways_agree_with_brute_force(spark, scores):
+def test_rank_agrees_with_brute_force(spark, scores):
     rows = materialise(
         spark.createDataFrame([(n, float(s)) for n, s in enumerate(scores)], "n INT, score DOUBLE")
     )
     want = brute_force([float(s) for s in scores])
-    spread = spread_dense_rank(rows, "score", "place")
+    spread = dense_rank_by_score(rows, "score", "place")
     assert spread.schema["place"].dataType.simpleString() == "int"
     # -0.0 and 0.0 are one score; compare values, not their text.
     assert sorted(tuples(spread)) == sorted(want)
-    assert sorted(tuples(rank_by_score(rows, "score", "place"))) == sorted(want)
-
-
-def test_size_decides(spark, monkeypatch):
-    called = []
-
-    def spy(rows, score, rank):
-        called.append(rows)
-        return spread_dense_rank(rows, score, rank)
-
-    monkeypatch.setattr("flowgauge.operators.ranking.spread_dense_rank", spy)
-    rows = materialise(spark.range(100).select(F.col("id").cast("double").alias("score")))
-    small = rank_by_score(rows, "score", "place", single_task_rows=100)
-    assert not called
-    large = rank_by_score(rows, "score", "place", single_task_rows=99)
-    assert called
-    same_rows(tuples(small), tuples(large))
 
 
 def test_no_rows(spark):
     rows = materialise(spark.createDataFrame([], "score DOUBLE"))
-    assert spread_dense_rank(rows, "score", "place").collect() == []
+    assert dense_rank_by_score(rows, "score", "place").collect() == []

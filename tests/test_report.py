@@ -1,16 +1,18 @@
 import math
 import os
+import random
 from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
-from flowgauge.functions.measures import round_half_even
+from flowgauge.functions.measures import round_cents, round_half_even
 from flowgauge.jobs.report_job import write_report
 from flowgauge.operators.charts import hour_ticks, hourly_matrix, sensor_matrix
 from flowgauge.operators.labels import with_labels
-from flowgauge.operators.ranking import peak_hours, rank_by_score, scored
+from flowgauge.operators.ranking import dense_rank_by_score, peak_hours, scored
 from flowgauge.operators.rollup import hourly_traffic, latest_event_time, trailing_readings
 from flowgauge.plans.report import congestion_report
 from flowgauge.sinks.report_files import read_csv, report_dir, write_csv
@@ -41,7 +43,7 @@ junction_04,2026-05-10 07:00:00,20385,32.42875438596489,628.6087882802736,2,Moni
 
 
 def labelled(hours):
-    return with_labels(rank_by_score(scored(hours)))
+    return with_labels(dense_rank_by_score(scored(hours)))
 
 
 def csv_text(path):
@@ -139,10 +141,10 @@ def test_no_readings_no_report(spark, tmp_path):
 
 def test_report_files_replace_a_rerun(spark, tmp_path):
     rows = readings(spark, ("a", "10:00:00", 10, 2.5), ("b", "11:00:00", 10, 0.0))
-    report = congestion_report(rows)
     day = date(2026, 5, 9)
     for _ in range(2):
-        assert write_report(report, str(tmp_path), day)
+        report = congestion_report(rows)
+        assert write_report(report, str(tmp_path), day, ["a", "b"])
     place = tmp_path / "report_date=2026-05-09"
     assert csv_text(place / "report") == HEADER + (
         "a,2026-05-09 10:00:00,10,2.5,4.0,2,Yes,Deploy if speeds drop below 15 km/h\n"
@@ -153,26 +155,36 @@ def test_report_files_replace_a_rerun(spark, tmp_path):
     )
     assert csv_text(place / "ticks") == "position,label\n0,2026-05-09 10:00\n1,2026-05-09 11:00\n"
     back = read_csv(spark, f"{report_dir(str(tmp_path), day)}/report", schemas.REPORT)
-    same_rows(tuples(back), tuples(report.rows))
+    same_rows(tuples(back), tuples(congestion_report(rows).rows))
+    assert write_report(congestion_report(rows), str(tmp_path), day)
+    assert not (place / "matrix").exists()
 
 
-def test_large_csv_parts_keep_the_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("flowgauge.sinks.report_files.ONE_FILE_ROWS", 10)
+def test_csv_parts_keep_the_order(spark, tmp_path):
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")
     rows = spark.range(1000).select(F.format_string("s%04d", 999 - F.col("id")).alias("sensor_id"))
-    write_csv(rows, str(tmp_path / "out"), ["sensor_id"])
+    try:
+        write_csv(rows, str(tmp_path / "out"), ["sensor_id"])
+    finally:
+        spark.conf.unset(small)
     parts = sorted(f for f in os.listdir(tmp_path / "out") if f.endswith(".csv"))
+    assert len(parts) > 1
     lines = [line for f in parts for line in (tmp_path / "out" / f).read_text().splitlines()[1:]]
     assert lines == [f"s{n:04d}" for n in range(1000)]
 
 
 def test_matrix_fills_gaps(spark):
     hours = hourly(spark, ("b", 11, 3, 1.0), ("a", 10, 1, 1.0), ("a", 12, 2, 1.0))
-    wide = hourly_matrix(hours)
+    wide = hourly_matrix(hours, ["a", "b"])
     assert wide.columns == ["hour_bucket", "a", "b"]
     same_rows(
         tuples(wide), [(at("10:00:00"), 1, 0), (at("11:00:00"), 0, 3), (at("12:00:00"), 2, 0)]
     )
-    same_rows(tuples(hourly_matrix(hours, ["a", "b"])), tuples(wide))
+    with pytest.raises(Exception, match="sensor outside the matrix: b"):
+        hourly_matrix(hours, ["a"]).collect()
+    with pytest.raises(Exception, match="hour outside the matrix: 2"):
+        sensor_matrix(hours, 1).collect()
     turned = sensor_matrix(hours, 2)
     assert turned.columns == ["sensor_id", "h00", "h01", "h02"]
     same_rows(tuples(turned), [("a", 1, 0, 2), ("b", 0, 3, 0)])
@@ -194,3 +206,42 @@ def test_display_rounding(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
     found = [r[0] for r in rows.select(round_half_even(F.col("v"))).collect()]
     assert found == [0.12, 0.14, 1.0, 2.35, 2.68, 10.12, math.inf]
+
+
+@pytest.mark.parametrize("hours", [24, 48, 72])
+def test_the_matrix_holds_every_hour(spark, sf_dir, hours):
+    from flowgauge.sources.tables import event_readings
+
+    report = congestion_report(event_readings(spark, sf_dir), hours=hours)
+    total = report.hourly.agg(F.sum("total_vehicles")).head()[0]
+    rows = report.matrix_by_sensor().collect()
+    assert sum(sum(row[1:]) for row in rows) == total
+    assert len(rows[0]) == hours + 2
+
+
+def test_the_mean_does_not_depend_on_order(spark):
+    speeds = [12.344, 0.1, 99.999, 33.333333, 7.0, 1e-3] * 50
+    found = set()
+    for seed in range(5):
+        shuffled = random.Random(seed).sample(speeds, len(speeds))
+        rows = readings(spark, *[("a", "10:00:00", 1, v) for v in shuffled]).repartition(seed + 1)
+        found.add(hourly_traffic(rows).head()["avg_speed"])
+    assert found == {float(sum(map(Decimal, map(str, speeds)))) / len(speeds)}
+
+
+@pytest.mark.parametrize("odd", [math.nan, math.inf, 1e30])
+def test_a_mean_of_odd_speeds(spark, odd):
+    rows = readings(spark, ("a", "10:00:00", 1, odd), ("a", "10:00:00", 1, 1.0))
+    mean = hourly_traffic(rows).head()["avg_speed"]
+    assert math.isnan(mean) if math.isnan(odd) else mean == odd / 2
+
+
+def test_cents_are_rounded_as_stored(spark):
+    rng = random.Random(1)
+    values = [0.125, 0.375, 2.675, 1.005, -0.125, -2.675, 0.0, -0.0, 8.5, 1e15, 0.005, 0.015, 10.115]
+    values += [rng.randrange(200_000) / 1000 for _ in range(3000)]
+    values += [math.nextafter(v, s) for v in values[:500] for s in (-math.inf, math.inf)]
+    values += [rng.uniform(-200, 200) for _ in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    found = [r[0] for r in rows.select(round_cents(F.col("v"))).collect()]
+    assert found == [round(v, 2) for v in values]

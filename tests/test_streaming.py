@@ -1,12 +1,15 @@
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
+from flowgauge.folders import Folder
+from flowgauge.jobs import compact_job
 from flowgauge.operators.alerts import parse_alerts
 from flowgauge.operators.ingest import parse_messages
 from flowgauge.operators.windows import window_congestion
 from flowgauge.sinks.batches import (
-    ParquetTable,
     TextMessages,
     quarantine_parquet,
     raw_parquet,
@@ -212,31 +215,118 @@ def test_a_crash_between_sink_and_commit_leaves_no_duplicates(spark, replay, tmp
     """The batch whose sink fails after writing is run again by the next start."""
     table = raw_parquet(str(tmp_path / "raw"))
 
-    def fails_once_written(batch, batch_id):
-        table(batch, batch_id)
-        if batch_id == 2:
-            raise RuntimeError("lost")
+    class FailsOnceWritten:
+        def __init__(self, table):
+            self.table = table
+
+        def for_query(self, query_id):
+            return FailsOnceWritten(self.table.for_query(query_id))
+
+        def __call__(self, batch, batch_id):
+            self.table(batch, batch_id)
+            if batch_id == 2:
+                raise RuntimeError("lost")
 
     parsed = parsed_stream(spark, replay)
     checkpoint = str(tmp_path / "checkpoint")
     with pytest.raises(Exception, match="lost"):
-        run(start_landing(parsed, fails_once_written, checkpoint, pace=ONCE))
+        run(start_landing(parsed, FailsOnceWritten(table), checkpoint, pace=ONCE))
     assert raw_table(spark, str(tmp_path / "raw")).count() == 6
     run(start_landing(parsed, table, checkpoint, pace=ONCE))
     assert raw_table(spark, str(tmp_path / "raw")).count() == 8
 
 
-def test_files_per_date_bounds_the_files(spark, tmp_path):
-    rows = spark.range(0, 5000, 1, 50).select(
-        F.concat(F.lit("s"), F.col("id")).alias("sensor_id"),
-        F.lit("2026-05-09 10:00:00").cast("timestamp_ntz").alias("window_start"),
+def test_a_new_checkpoint_or_a_second_writer_adds_its_rows(spark, tmp_path):
+    """Both count their batches from 0; neither may replace what the other stored."""
+    files = MessageDir(tmp_path / "messages")
+    path = str(tmp_path / "raw")
+    files.add([message("a", "10:00:00", 1, 1.0)])
+    run(start_landing(parsed_stream(spark, files), raw_parquet(path), str(tmp_path / "c1"), pace=ONCE))
+    other = MessageDir(tmp_path / "others")
+    other.add([message("b", "10:00:00", 2, 2.0), "no json"])
+    sinks = {"quarantine": quarantine_parquet(str(tmp_path / "q")), "alerts": TextMessages(str(tmp_path / "a"))}
+    for checkpoint, source in (("c2", other), ("c3", files)):
+        parsed = parsed_stream(spark, source)
+        run(start_landing(parsed, raw_parquet(path), str(tmp_path / checkpoint), pace=ONCE, **sinks))
+    rows = raw_table(spark, path)
+    assert sorted(r.sensor_id for r in rows.collect()) == ["a", "a", "b"]
+    assert {r.batch_id for r in rows.collect()} == {0}
+    assert rows.select("query_id").distinct().count() == 3
+    assert MessageFiles(str(tmp_path / "a")).read(spark).count() == 2
+    assert quarantine_table(spark, str(tmp_path / "q")).count() == 1
+
+
+def test_windows_count_valid_messages_only(spark, tmp_path):
+    files = MessageDir(tmp_path / "messages")
+    good = message("a", "10:01:00", 10, 20.0)
+    files.add(
+        [good, good.replace("10,", '"10",'), good.replace('"sensor_id":"a",', ""), good.replace("20.0", "null")]
+    )
+    files.add([message("a", "11:00:00", 1, 1.0)])
+    files.add([message("a", "11:00:01", 1, 1.0)])
+    path = str(tmp_path / "windows")
+    run(start_windows(parsed_stream(spark, files), window_parquet(path), str(tmp_path / "c"), pace=ONCE))
+    same_rows(tuples(windows_of(spark, path)), [("a", at("10:00:00"), at("10:05:00"), 20.0, 10, 0.5)])
+
+
+def landed(spark, tmp_path, batches):
+    """A raw table that a query wrote in so many micro-batches, its path and its checkpoint."""
+    files = MessageDir(tmp_path / "messages")
+    for n in range(batches):
+        files.add([message(f"s{k}", f"10:{n:02d}:00", n, 1.0 + k, day) for k in range(5) for day in ("2026-05-08", "2026-05-09")])
+    path, checkpoint = str(tmp_path / "raw"), str(tmp_path / "checkpoint")
+    run(start_landing(parsed_stream(spark, files), raw_parquet(path), checkpoint, pace=ONCE))
+    return files, path, checkpoint
+
+
+def compacted(spark, path, checkpoint, before="2026-05-09"):
+    argv = ["--raw", path, "--checkpoint", checkpoint, "--before", before]
+    return [str(d) for d in compact_job.compact(spark, compact_job.arguments(argv))]
+
+
+def test_compaction_keeps_the_rows(spark, tmp_path):
+    files, path, checkpoint = landed(spark, tmp_path, 6)
+    before = tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS))
+    count = lambda: len(list((tmp_path / "raw/event_date=2026-05-08").rglob("*.parquet")))
+    assert count() >= 6
+    assert compacted(spark, path, checkpoint) == ["2026-05-08"]
+    assert count() == 1
+    same_rows(tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS)), before)
+    assert compacted(spark, path, checkpoint) == []
+    late = message("late", "12:00:00", 1, 1.0, "2026-05-08")
+    files.add([late])
+    run(start_landing(parsed_stream(spark, files), raw_parquet(path), checkpoint, pace=ONCE))
+    assert compacted(spark, path, checkpoint) == ["2026-05-08"]
+    same_rows(
+        tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS)),
+        [*before, ("late", at("12:00:00", "2026-05-08"), 1, 1.0)],
     )
-    ParquetTable(
-        str(tmp_path / "t"), "window_start", "window_date", ("sensor_id", "window_start"), 3
-    )(rows, 0)
-    files = list((tmp_path / "t").rglob("*.parquet"))
-    assert 1 <= len(files) <= 3
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 5000
+
+
+def test_compaction_waits_for_open_batches(spark, tmp_path):
+    _, path, checkpoint = landed(spark, tmp_path, 2)
+    raw_parquet(path).for_query("another")(readings(spark, ("z", at("10:00:00", "2026-05-08"), 1, 1.0)), 7)
+    assert compacted(spark, path, checkpoint) == []
+
+
+@pytest.mark.parametrize("cut", ["while building", "old aside", "both there"])
+def test_an_interrupted_compaction_is_finished(spark, tmp_path, cut):
+    _, path, checkpoint = landed(spark, tmp_path, 3)
+    before = tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS))
+    place, name = Folder(spark, path), "event_date=2026-05-08"
+    stored = raw_table(spark, path, [date(2026, 5, 8)]).drop("event_date", "query_id", "batch_id")
+    built = place / "_compacting" / name
+    if cut != "while building":
+        stored.write.parquet(f"{built.path}/query_id=compacted/batch_id=0")
+        (place / name).move_to((place / "_replaced" / name).path)
+    else:
+        stored.limit(1).write.parquet(f"{built.path}/query_id=compacted/batch_id=0")
+    if cut == "both there":
+        built.move_to((place / name).path)
+    compacted(spark, path, checkpoint)
+    same_rows(tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS)), before)
+    assert compacted(spark, path, checkpoint) == []
+    assert not (place / "_replaced").names() and not (place / "_compacting").names()
 
 
 def test_pace_and_end_of_the_application(spark, replay, tmp_path):
