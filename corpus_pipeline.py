@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowgauge.llm.bpe import bpe_digests
-from flowgauge.llm.common import Packed, keep, table
+from flowgauge.llm.common import keep, table
 from flowgauge.llm.decontamination import drop_contaminated
 from flowgauge.llm.jaccard_join import one_of_each
 from flowgauge.llm.quality_rules import keep_good

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from flowgauge.session import scratch_path
+from flowgauge.session import Scratch, scratch_path
 
 # Texts handed to a function at a time: bounds what a task holds besides the incoming batch.
 SLICE_CHARS = 4_000_000
@@ -54,10 +55,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+_passing: list[Scratch] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are removed at the end, but for lasting ones."""
+    _passing.append(Scratch(spark))
+    try:
+        yield
+    finally:
+        _passing.pop().remove()
+
+
+def keep(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Compute once into a table of the shared folder and read it back: later steps agree on the
     rows, a lost executor costs a re-read, and the planner knows the size on disk."""
     path = scratch_path(df.sparkSession, label)
+    if _passing and not lasting:
+        _passing[-1].places.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

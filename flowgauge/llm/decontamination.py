@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import Packed, columns_of, fold, keep, let
+from flowgauge.llm.common import Packed, columns_of, fold, keep, let, passing
 
 # Words of texts and items: runs of letters, digits and what is not ASCII.
 INDEX_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,15 +45,16 @@ class Index:
 
 def stored_texts(docs: DataFrame, text: Column, *carry: Column) -> DataFrame:
     """Texts as their words, numbered; the numbers are fixed once stored."""
-    words = index_words(text)
-    body = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.array_join(w, " ").alias("body")))
-    rows = docs.select(*carry, body.alias("made")).select(
-        F.monotonically_increasing_id().alias("id"),
-        *[c for c in docs.select(*carry).columns],
-        F.col("made.n_words").cast("long").alias("n_words"),
-        F.col("made.body").alias("body"),
-    )
-    return keep(rows, "texts")
+    number = F.monotonically_increasing_id().alias("id")
+    return keep(docs.select(number, *carry, *text_body(text)), "texts")
+
+
+def text_body(text: Column) -> list[Column]:
+    """n_words and body: a text's words with one space between them."""
+    body = F.array_join(index_words(text), " ")
+    spaces = F.length(body) - F.length(F.translate(body, " ", ""))
+    n_words = F.when(body == "", 0).otherwise(spaces + 1).cast("long")
+    return [n_words.alias("n_words"), body.alias("body")]
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -84,7 +85,7 @@ def build_index(texts: DataFrame, items: DataFrame, width: int) -> Index:
     vocabulary = keep(
         words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms"
     )
-    tokens = texts.filter("n_words > 0").select("id", F.posexplode(F.split("body", " ")).alias("place", "word"))
+    tokens = texts.filter("body <> ''").select("id", F.posexplode(F.split("body", " ")).alias("place", "word"))
     postings = keep(tokens.join(vocabulary, "word").select("term", "id", "place"), "postings")
     lengths = postings.groupBy("term").agg(F.count("*").alias("postings"))
     offsets = numbered.select(
@@ -112,7 +113,7 @@ def offset_adjusted(index: Index, which: str) -> DataFrame:
 
 
 def phrase_matches(index: Index) -> DataFrame:
-    """(id, n_words, hits): per text with an exact match, its (start, length, window) in order.
+    """(id, hits): per text with an exact match, its (start, length, window) in order.
 
     The two rarest lists leave few candidates, so the texts that hold some are few; a text's
     candidates come together in one row, no more than its words times the lengths of windows.
@@ -127,7 +128,7 @@ def phrase_matches(index: Index) -> DataFrame:
         ),
         "candidates",
     )
-    texts = index.texts.select("id", "n_words", "body")
+    texts = index.texts.select("id", "body")
     joined = texts.join(candidates, "id")
     same = lambda w: lambda c: (
         F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["body"]
@@ -136,7 +137,7 @@ def phrase_matches(index: Index) -> DataFrame:
         c["start"].alias("start"), c["length"].alias("length"), c["window"].alias("window")
     )
     hits = let(body_words(F.col("body")), lambda w: F.transform(F.filter("at", same(w)), short))
-    found = joined.select("id", "n_words", hits.alias("hits")).filter(F.size("hits") > 0)
+    found = joined.select("id", hits.alias("hits")).filter(F.size("hits") > 0)
     return keep(found, "hits")
 
 
@@ -207,7 +208,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs, with all their columns."""
+    spark = docs.sparkSession
     packed = Packed(docs)
-    texts = stored_texts(packed.rows, packed["text"], F.col("row"))
-    matches = phrase_matches(build_index(texts, items, width))
-    return packed.unpacked(texts.join(matches.select("id"), "id", "left_anti"))
+    numbered = packed.rows.withColumn("id", F.monotonically_increasing_id())
+    numbered = keep(numbered, "numbered", lasting=True)
+    with passing(spark):
+        texts = numbered.select("id", *text_body(packed["text"]))
+        matches = phrase_matches(build_index(texts, items, width))
+        found = keep(matches.select("id"), "contaminated", lasting=True)
+    return packed.unpacked(numbered.join(found, "id", "left_anti"))

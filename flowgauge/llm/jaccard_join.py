@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.blocks import Block, blocks_in, scrambled, shard_count, word_blocks
-from flowgauge.llm.common import Packed, keep
+from flowgauge.llm.common import Packed, keep, passing
 from flowgauge.llm.components import components
 
 # A row id is the partition, the block's number in it and the text's place in the block; blocks
@@ -452,13 +452,17 @@ def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshol
     """The rows of `docs` less near copies: of each group the row with the least doc_id stays, and
     of rows that share it one. Rows with null ids alone in a group keep one; texts without words
     all stay."""
+    spark = docs.sparkSession
     packed = Packed(docs)
-    numbered = keep(packed.rows.withColumn("key", F.monotonically_increasing_id()), "numbered")
-    keyed = numbered.select(F.col("key").alias("doc_id"), packed["text"].alias("text"))
-    groups = near_rows(keyed, width, threshold).select(
-        F.col("doc_id").alias("key"), F.col("component_id").alias("group"), "n_shingles"
-    )
-    ranked = groups.join(numbered.select("key", packed["doc_id"].alias("doc_id")), "key")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    first = ranked.groupBy("group").agg(F.min(order).alias("first")).select("first.key")
+    numbered = packed.rows.withColumn("key", F.monotonically_increasing_id())
+    numbered = keep(numbered, "numbered", lasting=True)
+    with passing(spark):
+        keyed = numbered.select(F.col("key").alias("doc_id"), packed["text"].alias("text"))
+        groups = near_rows(keyed, width, threshold).select(
+            F.col("doc_id").alias("key"), F.col("component_id").alias("group")
+        )
+        ranked = groups.join(numbered.select("key", packed["doc_id"].alias("doc_id")), "key")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+        first = ranked.groupBy("group").agg(F.min(order).alias("first")).select("first.key")
+        first = keep(first, "first-rows", lasting=True)
     return packed.unpacked(numbered.join(first, "key", "left_semi"))

@@ -166,10 +166,10 @@ def judge_quality(docs: DataFrame, rejected_rate: float = REJECTED_RATE) -> Data
 
 
 def keep_good(docs: DataFrame, rejected_rate: float = REJECTED_RATE) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns."""
+    """The rows of `docs` that pass, with all their columns. The figures are computed twice, for the
+    hosts and for the rows, so that no text is stored or shuffled."""
     packed = Packed(docs)
     others = [F.col("row"), packed["source"].alias("host")]
-    rows = measured(packed.rows, packed["text"], *others)
-    stored = keep(rows.select("row", "host", "base_failed"), "quality")
-    judged = with_verdicts(stored, host_verdicts(stored, rejected_rate))
-    return packed.unpacked(judged.filter("kept"))
+    rows = measured(packed.rows, packed["text"], *others).select("row", "host", "base_failed")
+    verdicts = keep(host_verdicts(rows.drop("row"), rejected_rate), "host-verdicts")
+    return packed.unpacked(with_verdicts(rows, verdicts).filter("kept"))
