@@ -18,7 +18,15 @@ from flowgauge.llm.secret_scan import scan_secrets
 from flowgauge.llm.sharding import shuffle_to_shards
 from flowgauge.llm.substring_dedup import remove_repeats
 from flowgauge.llm.token_counts import TokenCache, count_tokens
-from flowgauge.llm.url_filters import filter_urls
+from flowgauge.llm.url_filters import (
+    ALIKE,
+    CHILDREN_PER_PAGE,
+    LEAST_CHILDREN,
+    PRIOR_LABELS,
+    REJECTED_SHARE,
+    RULES,
+    filter_urls,
+)
 from flowgauge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +45,34 @@ def registered(query: Callable[[SparkSession, str], DataFrame]):
 @registered
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets are alike by 0.9 or more."""
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("n_copies")
+
+
+ORACLE_SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents)
+, shingles AS (
+  SELECT DISTINCT k, array_to_string(words[i:i + 2], ' ') AS s
+  FROM (SELECT k, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM d
+        WHERE len(words) > 0))
+, sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY k)
+, common AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.k <> b.k GROUP BY ALL)
+, links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.k = x JOIN sizes b ON b.k = y
+  WHERE 100 * c >= 90 * (a.n + b.n - c))
+, reached(k, r) AS (
+  SELECT k, k FROM d UNION SELECT reached.k, links.y FROM reached JOIN links ON links.x = reached.r)
+, least AS (
+  SELECT reached.k, min(d.doc_id) AS component_id FROM reached JOIN d ON d.k = reached.r
+  GROUP BY reached.k)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d JOIN least USING (k) LEFT JOIN sizes USING (k)
+"""
 
 
 @registered
@@ -72,6 +107,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE_SQL["op4_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents)
+, windows AS (
+  SELECT k, i, count(*) OVER (PARTITION BY md5(array_to_string(words[i:i + 34], ' '))) AS n
+  FROM (SELECT k, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35))
+, gone AS (SELECT DISTINCT k, unnest(range(i, i + 35)) AS place FROM windows WHERE n > 1)
+, places AS (SELECT k, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d)
+, kept AS (
+  SELECT k, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+  FROM places ANTI JOIN gone USING (k, place) GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+
 @registered
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-probability, by the unigram and by the model."""
@@ -186,3 +240,70 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+RULE_ROWS = ", ".join(f"('{r.text}', '{r.verdict}')" for r in RULES)
+
+ORACLE_SQL["op10_url_filters"] = rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS k, page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages)
+, named AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS name FROM cut)
+, p AS (
+  SELECT k, page_id,
+         translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(name) + 1), '^[^?#]*') AS path
+  FROM named)
+, rules AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, instr(rule, '/')) AS rule_path
+  FROM (VALUES {RULE_ROWS}) AS r(rule, verdict))
+, fit AS (
+  SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+                    AND starts_with(path, rule_path)
+  GROUP BY k)
+, q AS (SELECT p.*, rule, ruled FROM p LEFT JOIN fit USING (k))
+, paths AS (
+  SELECT host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments
+  FROM (SELECT DISTINCT host, path FROM p))
+, shaped AS (
+  SELECT *, list_transform(segments, lambda s: regexp_replace(s, '[0-9]+', '*', 'g')) AS shapes
+  FROM paths)
+, nodes AS (
+  SELECT host, path, d, segments[d] AS segment, shapes[d] AS shape, shapes[1:d - 1] AS above
+  FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS d FROM shaped))
+, variable AS (
+  SELECT host, d, above FROM nodes GROUP BY host, d, above
+  HAVING count(DISTINCT segment) >= {LEAST_CHILDREN}
+     AND count(DISTINCT segment) > {CHILDREN_PER_PAGE} * count(*))
+, parts AS (
+  SELECT n.host, n.path,
+         list(CASE WHEN v.host IS NOT NULL THEN '*' ELSE shape END ORDER BY n.d) AS parts
+  FROM nodes n LEFT JOIN variable v ON n.host = v.host AND n.d = v.d AND n.above = v.above
+  GROUP BY n.host, n.path)
+, t AS (
+  SELECT host, path, '/' || coalesce(array_to_string(parts, '/'), '') AS template,
+         '/*/' || coalesce(array_to_string(parts[2:], '/'), '') AS family
+  FROM paths LEFT JOIN parts USING (host, path))
+, counts AS (
+  SELECT host, family, template, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad
+  FROM t JOIN q USING (host, path) GROUP BY host, family, template)
+, overall AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS share FROM counts)
+, siblings AS (
+  SELECT *, sum(bad) OVER f / greatest(sum(n) OVER f, 1) AS joint
+  FROM counts WINDOW f AS (PARTITION BY host, family))
+, judged AS (
+  SELECT *, abs(bad - n * joint) <= {ALIKE} * sqrt(n * joint * (1 - joint)) AS alike FROM siblings)
+, pooled AS (
+  SELECT *, CASE WHEN alike THEN sum(n) OVER f ELSE n END AS m,
+         CASE WHEN alike THEN sum(bad) OVER f ELSE bad END AS b
+  FROM judged WINDOW f AS (PARTITION BY host, family, alike))
+, rejected AS (
+  SELECT host, template,
+         m > 0 AND (b + {PRIOR_LABELS} * share) / (m + {PRIOR_LABELS}) >= {REJECTED_SHARE} AS rejected
+  FROM pooled, overall)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM q JOIN t USING (host, path) JOIN rejected USING (host, template)
+"""
