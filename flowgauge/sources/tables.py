@@ -18,6 +18,10 @@ EVENTS = (
 )
 
 
+# Files of the events table that a micro-batch takes.
+STREAM_FILES = 64
+
+
 def events_path(sf_dir: str) -> str:
     return f"{sf_dir}/events.parquet"
 
@@ -44,7 +48,8 @@ def stream_event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     As a pattern the path may name one file or a directory; a plain path may not name a file.
     """
-    return as_readings(spark.readStream.schema(EVENTS).parquet(f"{events_path(sf_dir)}*"))
+    files = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", STREAM_FILES)
+    return as_readings(files.parquet(f"{events_path(sf_dir)}*"))
 
 
 def as_messages(readings: DataFrame) -> DataFrame:
