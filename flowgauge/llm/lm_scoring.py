@@ -22,7 +22,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.blocks import Block, blocks_in, packed, shard_count, shard_slices, unpacked, with_answers, word_blocks
+from flowgauge.llm.blocks import (
+    Block,
+    blocks_in,
+    packed,
+    shard_count,
+    shard_slices,
+    unpacked,
+    with_answers,
+    word_blocks,
+)
 from flowgauge.llm.common import keep
 
 # The end of a text as a token: no word holds a blank.
