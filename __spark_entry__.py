@@ -80,6 +80,7 @@ SCORE = """
   CASE WHEN mean_speed = 0 AND total_vehicles > 0 THEN CAST('Infinity' AS DOUBLE)
        WHEN mean_speed = 0 THEN NULL ELSE total_vehicles / mean_speed END"""
 
+# The label texts and their bounds.
 R = (
     P
     + f"""

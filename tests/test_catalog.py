@@ -1,5 +1,7 @@
 """Every registered query against its SQL in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -49,3 +51,14 @@ def test_entry(spark):
     flagship = driver.entry(spark)
     assert flagship.count() > 0
     assert flagship.columns[0] == "sensor_id"
+
+
+def test_nothing_else_needs_the_training_data_operators():
+    root = os.path.join(os.path.dirname(os.path.dirname(__file__)), "flowgauge")
+    for folder, _, files in os.walk(root):
+        if os.path.basename(folder) == "llm":
+            continue
+        for file in files:
+            if file.endswith(".py"):
+                with open(os.path.join(folder, file)) as source:
+                    assert "flowgauge.llm" not in source.read(), file
