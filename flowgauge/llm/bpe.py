@@ -143,7 +143,8 @@ class Encoder:
         specials = self.vocabulary.specials
         self.special_ids = {s: np.array([i], "<u4").tobytes() for s, i in specials.items()}
         longest_first = sorted(specials, key=len, reverse=True)
-        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if specials else None
+        marks = "|".join(map(re.escape, longest_first))
+        self.split = re.compile(f"({marks})").split if specials else None
         self.odd_space = re.compile(r"[^\S \n]").search
 
     def plain(self, text: str) -> bytes:
@@ -173,7 +174,8 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         strings = self.vocabulary.strings
-        return b"".join(map(strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        parts = map(strings.__getitem__, np.frombuffer(ids, "<u4").tolist())
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, *carry: str) -> DataFrame:

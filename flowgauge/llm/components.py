@@ -24,7 +24,8 @@ def pointed(edges: DataFrame, upward: bool) -> DataFrame:
     if upward:
         return joined.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     own = least.select("a", F.col("least").alias("b"))
-    return joined.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own)
+    moved = joined.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return moved.unionByName(own)
 
 
 def components(edges: DataFrame) -> DataFrame:

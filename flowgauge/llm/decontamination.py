@@ -85,7 +85,8 @@ def build_index(texts: DataFrame, items: DataFrame, width: int) -> Index:
     vocabulary = keep(
         words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms"
     )
-    tokens = texts.filter("body <> ''").select("id", F.posexplode(F.split("body", " ")).alias("place", "word"))
+    places = F.posexplode(F.split("body", " ")).alias("place", "word")
+    tokens = texts.filter("body <> ''").select("id", places)
     postings = keep(tokens.join(vocabulary, "word").select("term", "id", "place"), "postings")
     lengths = postings.groupBy("term").agg(F.count("*").alias("postings"))
     offsets = numbered.select(

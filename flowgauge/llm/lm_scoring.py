@@ -241,7 +241,9 @@ class Adam:
             a -= rate * (m / (1 - 0.9**self.step)) / scale
 
 
-def train(model: Model, codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, seed: int, rate: float) -> Model:
+def train(
+    model: Model, codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, seed: int, rate: float
+) -> Model:
     """STEPS batches of noise-contrastive estimation over counted unit triples.
 
     Each drawn token is set against NOISE draws from the units' own frequencies; their part of the

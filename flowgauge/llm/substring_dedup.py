@@ -172,7 +172,8 @@ def exact_groups(rows: pd.DataFrame) -> pd.DataFrame:
     highs = [np.frombuffer(x, np.uint64) for x in rows["high"]]
     lows = [np.frombuffer(x, np.uint32) for x in rows["low"]]
     sizes = [len(x) for x in highs]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["twice"], sizes)])
+    marks = [np.frombuffer(x, np.uint8) for x in rows["twice"]]
+    twice = np.concatenate([np.unpackbits(x, count=n) for x, n in zip(marks, sizes)])
     high, low = np.concatenate(highs), np.concatenate(lows)
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
