@@ -27,7 +27,10 @@ BLOCK_TEXTS = 1 << 17
 # Keys that a shard holds on average, which sets how many shards there are.
 SHARD_KEYS = 2_000_000
 
-SCHEMA = "block long, doc_ids array<long>, sizes binary, numbers binary, words binary, n_words long, n_distinct long"
+SCHEMA = (
+    "block long, doc_ids array<long>, sizes binary, numbers binary, words binary, n_words long, "
+    "n_distinct long"
+)
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -38,6 +41,18 @@ def unpacked(stored: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(stored), dtype)
 
 
+def packed_ascending(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as their gaps, byte by byte of all gaps: the upper bytes of the gaps
+    between many keys are zeros, which take no room."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return packed(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_ascending(stored: bytes) -> np.ndarray:
+    planes = unpacked(stored, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def words_of(text: str | None, folded: bool) -> list[bytes]:
     """Words of a text: what the six ASCII blanks part. `folded`: with A-Z in lower case."""
     if not text:

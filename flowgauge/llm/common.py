@@ -17,6 +17,8 @@ from flowgauge.session import Scratch, scratch_path
 # Texts handed to a function at a time: bounds what a task holds besides the incoming batch.
 SLICE_CHARS = 4_000_000
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # A word of the contracts: code points other than space and the five ASCII line and tab marks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,13 +70,26 @@ def passing(spark: SparkSession) -> Iterator[None]:
         _passing.pop().remove()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside remove their shuffle files when they end, not when the driver happens to
+    collect its garbage: what was shuffled is then in a table."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def keep(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Compute once into a table of the shared folder and read it back: later steps agree on the
     rows, a lost executor costs a re-read, and the planner knows the size on disk."""
     path = scratch_path(df.sparkSession, label)
     if _passing and not lasting:
         _passing[-1].places.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

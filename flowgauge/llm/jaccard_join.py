@@ -10,6 +10,7 @@ differ by one shingle. What it finds is then compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.blocks import Block, blocks_in, scrambled, shard_count, word_blocks
+from flowgauge.llm.blocks import (
+    Block,
+    blocks_in,
+    packed,
+    packed_ascending,
+    scrambled,
+    shard_count,
+    shard_slices,
+    unpacked,
+    unpacked_ascending,
+    word_blocks,
+)
 from flowgauge.llm.common import Packed, keep, passing
 from flowgauge.llm.components import components
 
@@ -27,10 +39,11 @@ from flowgauge.llm.components import components
 # hold fewer texts than 2 ** PLACE_BITS.
 PLACE_BITS = 20
 
-# Segments that are also indexed with one shingle deleted, and the part size below which a probe
-# would rather not use a segment.
-DELETION_SEGMENTS = 2
+# The part size below which a probe would rather not use a segment, as too many sets share such
+# parts, and how many deletion segments a band has for each such part that a probe expects; segments
+# beyond the needed ones make up for the rest.
 LEAST_PART = 2
+SPARE = 0.5
 
 # Shingles that one verification task compares at a time.
 GROUP_SHINGLES = 4_000_000
@@ -62,10 +75,36 @@ def size_bands(largest: int, threshold: Threshold) -> np.ndarray:
     return np.array(starts)
 
 
-def segments_of(band: int, starts: np.ndarray, threshold: Threshold) -> int:
-    """Segments of a band: one more than indexed sets and their probes can differ by."""
-    top = int(starts[band + 1]) - 1
-    return threshold.differing(top + threshold.largest(top)) + 1
+@dataclass(frozen=True)
+class Band:
+    """How sets of a band, of up to `top` shingles, are indexed and probed: `segments`, one more than
+    indexed sets and their probes can differ by, and the `deletions` first of them with one shingle
+    deleted as well."""
+
+    number: int
+    top: int
+    segments: int
+    deletions: int
+
+    def needed(self, size: int, threshold: Threshold) -> int:
+        """Segments that a probe of this size has to use: one more than it and a linked set of the
+        band can differ by. Of two sets of a band the larger one need only find the smaller."""
+        return threshold.differing(size + min(size, self.top)) + 1
+
+
+def band_plans(starts: np.ndarray, threshold: Threshold) -> list[Band]:
+    """Allocation by cost: a deletion segment costs an entry for each shingle in it, an unusable part
+    a comparison with every set that has the same. Parts are Poisson, so bands whose parts are small
+    get the more deletion segments."""
+    plans = []
+    for number, (start, following) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
+        top = following - 1
+        segments = threshold.differing(top + threshold.largest(top)) + 1
+        mean = start / segments
+        poor = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(LEAST_PART))
+        deletions = min(segments, 2 + math.ceil(SPARE * segments * poor))
+        plans.append(Band(number, top, segments, deletions))
+    return plans
 
 
 def shingle_sets(block: Block, width: int) -> Iterator[np.ndarray]:
@@ -76,7 +115,7 @@ def shingle_sets(block: Block, width: int) -> Iterator[np.ndarray]:
         chained = np.zeros(len(hashes), np.uint64)
         for k in range(width):
             ahead = np.zeros(len(hashes), np.uint64)
-            ahead[: len(hashes) - k] = hashes[k:]
+            ahead[: max(len(hashes) - k, 0)] = hashes[k:]
             chained = scrambled(chained + ahead, k + 1)
         for start, size in zip(block.starts.tolist(), block.sizes.tolist()):
             if size >= width:
@@ -108,83 +147,114 @@ INDEXED, PROBED = 1, 2
 WHOLE, DELETED = 21, 22
 
 
-def signatures(found: np.ndarray, band: int, starts: np.ndarray, threshold: Threshold, indexed: bool):
+def signatures(
+    found: np.ndarray, band: Band, threshold: Threshold, indexed: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """(signature hashes, roles) of a set by a band's segments: a probe, and if `indexed` an index
     entry as well.
 
-    Pigeonhole: levels -1 (not used), 0 (equal) and 1 (differ by one at most) add, plus one each,
-    to the number of segments or more, which is more than linked sets differ by; so some used
-    segment differs by no more than its level.
+    Pigeonhole: levels -1 (not used), 0 (equal) and 1 (differ by one at most) add, plus one each, to
+    more than the set and one that it links with can differ by; so some used segment differs by no
+    more than its level.
     """
-    total = segments_of(band, starts, threshold)
-    mixed = scrambled(found, 31)
-    segment = ((mixed >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
+    total = band.segments
+    segment = scrambled(found, 31) >> np.uint64(32)
+    segment = (segment * np.uint64(total) >> np.uint64(32)).astype(np.int64)
     value = scrambled(found, 32)
     sums = np.zeros(total, np.uint64)
     sizes = np.bincount(segment, minlength=total)
     with np.errstate(over="ignore"):
         np.add.at(sums, segment, value)
-        place = np.arange(total, dtype=np.uint64) + np.uint64(band << 40)
+        place = np.arange(total, dtype=np.uint64) + np.uint64(band.number << 40)
 
         def named(part_sums: np.ndarray, segments: np.ndarray, kind: int) -> np.ndarray:
             return scrambled(part_sums + scrambled(place[segments], kind), kind + 10)
 
-        levels = allocation(sizes)
+        levels = allocation(sizes, band.deletions, band.needed(len(found), threshold))
         used, near = np.flatnonzero(levels >= 0), np.flatnonzero(levels == 1)
-        everything = np.arange(total)
-        first = np.arange(min(DELETION_SEGMENTS, total))
         # Shingles of the deletion segments, each left out of its part once.
-        loose = np.flatnonzero(segment < len(first))
+        loose = np.flatnonzero(segment < band.deletions)
         without = sums[segment[loose]] - value[loose]
-        probing = np.isin(segment[loose], near)
+        probing = levels[segment[loose]] == 1
         parts = [
             (named(sums[used], used, WHOLE), PROBED),
             (named(sums[near], near, DELETED), PROBED),
             (named(without[probing], segment[loose][probing], WHOLE), PROBED),
         ]
         if indexed:
-            parts.append((named(sums, everything, WHOLE), INDEXED))
+            parts.append((named(sums, np.arange(total), WHOLE), INDEXED))
             parts.append((named(without, segment[loose], DELETED), INDEXED))
     keys = np.concatenate([k for k, _ in parts])
     roles = np.concatenate([np.full(len(k), r, np.uint8) for k, r in parts])
     return keys, roles
 
 
-def allocation(sizes: np.ndarray) -> np.ndarray:
-    """Level of each segment, given the sizes of a probe's parts.
+def allocation(sizes: np.ndarray, deletions: int, needed: int) -> np.ndarray:
+    """Level of each segment, given the sizes of a probe's parts; levels plus one add to `needed` or
+    more.
 
     A part's cost is the number of sets it would find, which falls steeply with its size: parts
-    below LEAST_PART are dropped, dearest first, as long as a deletion segment with a larger part
-    can make up for each.
+    below LEAST_PART are left out, dearest first. Segments beyond the needed ones go for nothing;
+    each further one takes one of the first `deletions` segments to make up for it, of which the
+    largest parts do.
     """
     levels = np.zeros(len(sizes), np.int8)
-    poor = np.flatnonzero(sizes < LEAST_PART)
-    spare = [s for s in range(min(DELETION_SEGMENTS, len(sizes))) if sizes[s] > LEAST_PART]
-    for drop, near in zip(poor[np.argsort(sizes[poor], kind="stable")], spare):
-        levels[drop], levels[near] = -1, 1
+    order = np.argsort(sizes, kind="stable")
+    poor = int((sizes < LEAST_PART).sum())
+    free = len(sizes) - needed
+    spare = np.flatnonzero(sizes[:deletions] > LEAST_PART)
+    spare = spare[np.argsort(-sizes[spare], kind="stable")]
+    paid = min(max(poor - free, 0), len(spare))
+    levels[order[: min(poor, free + paid)]] = -1
+    levels[spare[:paid]] = 1
     return levels
 
 
-def stars(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges that connect the sets which share a signature some of them index and others probe:
-    each to the least of them, every edge once."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
-    roles = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["roles"]])
+def runs(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
+    """Sets by signature: (first of each run, run lengths), with keys, ids and roles in order."""
     order = np.lexsort((ids, keys))
     keys, ids, roles = keys[order], ids[order], roles[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(first, len(keys)))
+    return keys, ids, roles, first, np.diff(np.append(first, len(keys)))
+
+
+def merged_in_block(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
+    """Signatures of a block's sets, each once and ascending: with the least set that has it, all
+    roles, and the (set, least set) pairs of the others. So a signature that very many sets share
+    costs a shard one entry per block."""
+    keys, ids, roles, first, sizes = runs(keys, ids, roles)
+    least = np.repeat(ids[first], sizes)
+    other = ids != least
+    pairs = np.unique(np.stack([ids[other], least[other]], axis=1), axis=0)
+    return keys[first], ids[first], np.bitwise_or.reduceat(roles, first), pairs
+
+
+def stars(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges that connect the sets which share a signature some of them index and others probe:
+    each to the least of them, every edge once. The blocks' own pairs come as they are: a pair too
+    many is compared and found apart."""
+    ids_of = lambda places: [
+        row_ids(block, unpacked(x, np.uint32)) for block, x in zip(rows["block"], places)
+    ]
+    keys, ids, roles, first, sizes = runs(
+        np.concatenate([unpacked_ascending(x) for x in rows["keys"]]),
+        np.concatenate(ids_of(rows["places"])),
+        np.concatenate([unpacked(x, np.uint8) for x in rows["roles"]]),
+    )
     joint = np.bitwise_or.reduceat(roles, first) == INDEXED | PROBED
     least = np.repeat(ids[first], sizes)
     edge = np.repeat(joint, sizes) & (ids != least)
-    pairs = np.unique(np.stack([ids[edge], least[edge]]), axis=1)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    own = np.concatenate(ids_of(rows["pairs"])).reshape(-1, 2)
+    pairs = np.unique(np.concatenate([np.stack([ids[edge], least[edge]], axis=1), own]), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 # --- verification -------------------------------------------------------------------------------
 
 
+LEFT, RIGHT = 1, 2
+
+
 class Forest:
     """Union-find over places."""
 
@@ -247,10 +317,10 @@ def verified(rows: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
     out_b: list[int] = []
     for _, group in rows.groupby("candidate", sort=True):
         # A set may come for both sides, and twice where both chunks are one.
-        group = group.groupby("id", sort=True).agg({"shingles": "first", "side": lambda s: np.bitwise_or.reduce(s)})
+        group = group.groupby("id", sort=True).agg({"shingles": "first", "side": np.bitwise_or.reduce})
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
         side = group["side"].to_numpy()
-        a, b = links(group.index.to_numpy(), sets, threshold, side & 1 > 0, side & 2 > 0)
+        a, b = links(group.index.to_numpy(), sets, threshold, side & LEFT > 0, side & RIGHT > 0)
         out_a += a
         out_b += b
     return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
@@ -261,8 +331,8 @@ def dealt(members: DataFrame) -> DataFrame:
 
     Small candidate groups share tasks. A large group is cut by size band: sets of a band (left)
     meet those of the same and the next band (right); a band beyond one task is cut further into
-    chunks by hash, each chunk pair a task of its own. So no task holds more than a few
-    GROUP_SHINGLES, and no possible link goes uncompared.
+    chunks by hash, each chunk pair a task of its own. So no task holds more than a few times
+    GROUP_SHINGLES, and no possible link goes uncompared. A set of an uncut band goes to two tasks.
     """
     groups = members.groupBy("candidate").agg(F.sum("size").alias("all"), F.count("*").alias("sets"))
     sized = keep(members.join(groups.filter("sets > 1"), "candidate"), "candidates")
@@ -272,42 +342,59 @@ def dealt(members: DataFrame) -> DataFrame:
         "id",
         "candidate",
         F.concat(F.lit("s"), F.expr(f"pmod(xxhash64(candidate), {tasks})")).alias("task"),
-        F.lit(3).alias("side"),
+        F.lit(LEFT | RIGHT).alias("side"),
     )
     large = sized.filter(F.col("all") > GROUP_SHINGLES)
-    bands = large.groupBy("candidate", "band").agg(F.sum("size").alias("in_band"))
-    chunks = bands.select(
-        "candidate",
-        F.col("band").alias("left_band"),
-        F.ceil(F.col("in_band") / GROUP_SHINGLES).cast("int").alias("chunks"),
+    chunks = large.groupBy("candidate", "band").agg(
+        F.ceil(F.sum("size") / GROUP_SHINGLES).cast("int").alias("chunks")
     )
-    # Every (left band, right band) of the group: a band with itself and with the next one.
-    right = chunks.select(
-        "candidate", F.col("left_band").alias("right_band"), F.col("chunks").alias("right_chunks")
+    # Of every band its own chunks and the next one's, 0 where there is no such band.
+    after = chunks.select(
+        "candidate", (F.col("band") - 1).alias("band"), F.col("chunks").alias("next_chunks")
     )
-    same = F.col("left_band") == F.col("right_band")
-    meets = same | (F.col("left_band") + 1 == F.col("right_band"))
-    pairs = chunks.join(right, "candidate").filter(meets)
-    name = lambda i, j: F.concat_ws("/", "candidate", "left_band", "right_band", i, j)
-    chunk = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    on_left = large.join(pairs, "candidate").filter("band = left_band").select(
+    plan = chunks.join(after, ["candidate", "band"], "left").na.fill(0, ["next_chunks"])
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    name = lambda *parts: F.concat_ws("/", "candidate", *parts)
+    at_home = large.join(plan, ["candidate", "band"])
+    # Chunk i of a band is compared with chunks j >= i of the band, and with all of the next band.
+    # The task of (i, i) takes the next band's first chunk along, which saves a copy of chunk i.
+    many = F.sequence(F.lit(0), F.col("chunks") - 1)
+    within = at_home.withColumn("c", own(F.col("chunks"))).withColumn("d", F.explode(many))
+    low, high = F.least("c", "d"), F.greatest("c", "d")
+    part = F.when(F.col("c") == F.col("d"), LEFT | RIGHT).when(F.col("c") < F.col("d"), LEFT)
+    within = within.select(
+        "id", "candidate", name("band", low, high).alias("task"), part.otherwise(RIGHT).alias("side")
+    )
+    beyond = at_home.filter("next_chunks > 1").withColumn("c", own(F.col("chunks")))
+    others = F.explode(F.sequence(F.lit(1), F.col("next_chunks") - 1)).alias("d")
+    beyond = beyond.select("id", "candidate", "band", "c", others).select(
         "id",
         "candidate",
-        chunk(F.col("chunks")).alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("right_chunks") - 1)).alias("other"),
-        "left_band", "right_band", F.lit(1).alias("side"),
+        name("band", "c", F.lit("next"), "d").alias("task"),
+        F.lit(LEFT).alias("side"),
+    )
+    below = plan.filter("next_chunks > 0").select(
+        "candidate",
+        (F.col("band") + 1).alias("band"),
+        F.col("chunks").alias("left"),
+        F.col("next_chunks").alias("mine"),
     )
-    on_right = large.join(pairs, "candidate").filter("band = right_band").select(
+    visitors = large.join(below, ["candidate", "band"]).select(
         "id",
         "candidate",
-        chunk(F.col("right_chunks")).alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"),
-        "left_band", "right_band", F.lit(2).alias("side"),
+        (F.col("band") - 1).alias("band"),
+        own(F.col("mine")).alias("d"),
+        F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("c"),
     )
-    split = on_left.withColumn("task", name("own", "other")).unionByName(
-        on_right.withColumn("task", name("other", "own"))
+    first = name("band", "c", "c")
+    later = name("band", "c", F.lit("next"), "d")
+    visits = visitors.select(
+        "id",
+        "candidate",
+        F.when(F.col("d") == 0, first).otherwise(later).alias("task"),
+        F.lit(RIGHT).alias("side"),
     )
-    return small.unionByName(split.select("id", "candidate", "task", "side"))
+    return small.unionByName(within).unionByName(beyond).unionByName(visits)
 
 
 # --- join ---------------------------------------------------------------------------------------
@@ -356,46 +443,53 @@ def near_rows(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
         least = rows.select("id", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return least.withColumn("n_copies", F.lit(1).cast("long"))
     starts = size_bands(bounds["most"], threshold)
-    representatives = chosen(blocks, classes.select("id"))
-    # Signatures are a seventh of the shingles or so; a shard holds as many keys as any.
+    plans = band_plans(starts, threshold)
+    # Signatures are a third of the shingles or so; a shard holds as many keys as any.
     shards = shard_count(bounds["all"] // 3)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, row in blocks_in(batches):
-            wanted = {p["place"] for p in row["places"]}
+        for number, block, _ in blocks_in(batches):
             made = []
+            seen = set()  # copies within a block send their signatures once
             for place, found in enumerate(shingle_sets(block, width)):
-                if place not in wanted:
+                mark = digest(found)
+                if not len(found) or mark in seen:
                     continue
+                seen.add(mark)
                 band = int(np.searchsorted(starts, len(found), "right")) - 1
-                made.append((place, *signatures(found, band, starts, threshold, True)))
-                if band:
-                    made.append((place, *signatures(found, band - 1, starts, threshold, False)))
-            keys = np.concatenate([k for _, k, _ in made])
-            roles = np.concatenate([r for _, _, r in made])
+                made.append((place, *signatures(found, plans[band], threshold, True)))
+                if band and threshold.largest(plans[band - 1].top) >= len(found):
+                    made.append((place, *signatures(found, plans[band - 1], threshold, False)))
+            if not made:
+                continue
             places = np.repeat([p for p, _, _ in made], [len(k) for _, k, _ in made])
-            ids = row_ids(number, places)
-            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                part = order[edges[s] : edges[s + 1]]
-                if len(part):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "shard": pa.array([s], pa.int32()),
-                            "keys": [keys[part].tobytes()],
-                            "ids": [ids[part].tobytes()],
-                            "roles": [roles[part].tobytes()],
-                        }
-                    )
-
-    sent = representatives.mapInArrow(send, "shard int, keys binary, ids binary, roles binary")
+            keys, places, roles, pairs = merged_in_block(
+                np.concatenate([k for _, k, _ in made]),
+                places,
+                np.concatenate([r for _, _, r in made]),
+            )
+            for shard, part in shard_slices(keys, shards):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "shard": pa.array([shard], pa.int32()),
+                        "block": pa.array([number], pa.int64()),
+                        "keys": [packed_ascending(keys[part])],
+                        "places": [packed(places[part].astype(np.uint32))],
+                        "roles": [packed(roles[part])],
+                        "pairs": [packed(pairs.astype(np.uint32))],
+                    }
+                )
+                pairs = pairs[:0]
+
+    sent = blocks.mapInArrow(
+        send, "shard int, block long, keys binary, places binary, roles binary, pairs binary"
+    )
     edges = sent.groupBy("shard").applyInPandas(stars, "a long, b long")
     candidates = components(edges).withColumnsRenamed({"node": "id", "component": "candidate"})
     band = F.expr("0")
     for i, start in enumerate(starts.tolist()):
         band = F.when(F.col("n_shingles") >= start, F.lit(i)).otherwise(band)
+    # Of the copies that met in different blocks, one stands for its class.
     members = candidates.join(classes, "id").select(
         "id", "candidate", F.col("n_shingles").alias("size"), band.alias("band")
     )

@@ -6,13 +6,15 @@ import duckdb
 import numpy as np
 import pytest
 import tokenizers
+import zstandard
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from flowgauge.llm import queries
+from flowgauge.llm.blocks import Block, packed
 from flowgauge.llm.bpe import Encoder, bpe_digests
 from flowgauge.llm.decontamination import build_index, drop_contaminated, find_contamination, proximity_matches, stored_texts
-from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each
+from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each, shingle_sets
 from flowgauge.llm.lm_scoring import UNITS, Model, score_texts
 from flowgauge.llm.quality_rules import judge_quality, keep_good
 from flowgauge.llm.secret_scan import redact_secrets, scan_secrets, trigram_query
@@ -44,6 +46,19 @@ def test_near_groups(docs):
     H.same(found, H.near_groups(H.pairs(docs)))
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+@pytest.mark.parametrize("texts", [["a"], ["a b c"], ["a b c", "", "a b c"], [""], ["a b", "c d e f"]])
+def test_shingles_of_tiny_blocks(texts, width):
+    """Blocks with fewer words in all than a shingle has."""
+    words = [w.encode() for t in texts for w in t.split()]
+    known = list(dict.fromkeys(words))
+    sizes = packed(np.array([len(t.split()) for t in texts], np.int64))
+    numbers = packed(np.array([known.index(w) for w in words], np.uint32))
+    block = Block(list(range(len(texts))), sizes, numbers, zstandard.compress(b" ".join(known)))
+    found = [len(s) for s in shingle_sets(block, width)]
+    assert found == [len(H.shingles(t, width)) for t in texts]
+
+
 def test_near_groups_close_calls(spark):
     """Sets of every small size, and pairs just within and just beyond the threshold."""
     rng = np.random.default_rng(3)
