@@ -13,8 +13,18 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from flowgauge.catalog import REGISTERED  # noqa: E402
 
+
+
+def present(module: str) -> bool:
+    try:
+        return importlib.util.find_spec(module) is not None
+    except ModuleNotFoundError:
+        return False
+
+
 # The training-data operators and their pipeline come and go together, apart from the rest.
-HAS_LLM = importlib.util.find_spec("flowgauge.llm") is not None
+HAS_LLM = present("flowgauge.llm.queries")
+HAS_PIPELINE = HAS_LLM and present("corpus_pipeline")
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -30,7 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         from flowgauge.llm.queries import QUERIES
 
         found.update(QUERIES)
-    if HAS_LLM and importlib.util.find_spec("corpus_pipeline") is not None:
+    if HAS_PIPELINE:
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run
@@ -141,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
         from flowgauge.llm.queries import ORACLE_SQL
 
         found.update(ORACLE_SQL)
-    if HAS_LLM and importlib.util.find_spec("corpus_pipeline") is not None:
+    if HAS_PIPELINE:
         import corpus_pipeline
 
         if corpus_pipeline.ORACLE_SQL:
