@@ -14,7 +14,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from flowgauge.catalog import REGISTERED  # noqa: E402
 
 
-
 def present(module: str) -> bool:
     try:
         return importlib.util.find_spec(module) is not None
