@@ -39,14 +39,8 @@ from flowgauge.llm.components import components
 # hold fewer texts than 2 ** PLACE_BITS.
 PLACE_BITS = 20
 
-# The part size below which a probe would rather not use a segment, as too many sets share such
-# parts, and how many deletion segments a band has for each such part that a probe expects; segments
-# beyond the needed ones make up for the rest.
-LEAST_PART = 2
-SPARE = 0.5
-
 # Shingles that one verification task compares at a time.
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -67,6 +61,17 @@ class Threshold:
         return 100 * size // self.percent
 
 
+@dataclass(frozen=True)
+class Costs:
+    """What allocation goes by: the part size below which a probe would rather not use a segment, as
+    too many sets share such parts, and how many deletion segments a band has for each such part
+    that a probe expects (segments beyond the needed ones make up for the rest). Results do not
+    depend on either. Lower thresholds cut sets into smaller parts and so are better off with more."""
+
+    least_part: int = 2
+    spare: float = 0.5
+
+
 def size_bands(largest: int, threshold: Threshold) -> np.ndarray:
     """First sizes of the bands: linked sets are in the same or in neighbouring bands."""
     starts = [1]
@@ -85,6 +90,7 @@ class Band:
     top: int
     segments: int
     deletions: int
+    least_part: int
 
     def needed(self, size: int, threshold: Threshold) -> int:
         """Segments that a probe of this size has to use: one more than it and a linked set of the
@@ -92,7 +98,7 @@ class Band:
         return threshold.differing(size + min(size, self.top)) + 1
 
 
-def band_plans(starts: np.ndarray, threshold: Threshold) -> list[Band]:
+def band_plans(starts: np.ndarray, threshold: Threshold, costs: Costs) -> list[Band]:
     """Allocation by cost: a deletion segment costs an entry for each shingle in it, an unusable part
     a comparison with every set that has the same. Parts are Poisson, so bands whose parts are small
     get the more deletion segments."""
@@ -101,9 +107,9 @@ def band_plans(starts: np.ndarray, threshold: Threshold) -> list[Band]:
         top = following - 1
         segments = threshold.differing(top + threshold.largest(top)) + 1
         mean = start / segments
-        poor = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(LEAST_PART))
-        deletions = min(segments, 2 + math.ceil(SPARE * segments * poor))
-        plans.append(Band(number, top, segments, deletions))
+        poor = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(costs.least_part))
+        deletions = min(segments, 2 + math.ceil(costs.spare * segments * poor))
+        plans.append(Band(number, top, segments, deletions, costs.least_part))
     return plans
 
 
@@ -170,7 +176,7 @@ def signatures(
         def named(part_sums: np.ndarray, segments: np.ndarray, kind: int) -> np.ndarray:
             return scrambled(part_sums + scrambled(place[segments], kind), kind + 10)
 
-        levels = allocation(sizes, band.deletions, band.needed(len(found), threshold))
+        levels = allocation(sizes, band, band.needed(len(found), threshold))
         used, near = np.flatnonzero(levels >= 0), np.flatnonzero(levels == 1)
         # Shingles of the deletion segments, each left out of its part once.
         loose = np.flatnonzero(segment < band.deletions)
@@ -189,20 +195,20 @@ def signatures(
     return keys, roles
 
 
-def allocation(sizes: np.ndarray, deletions: int, needed: int) -> np.ndarray:
+def allocation(sizes: np.ndarray, band: Band, needed: int) -> np.ndarray:
     """Level of each segment, given the sizes of a probe's parts; levels plus one add to `needed` or
     more.
 
     A part's cost is the number of sets it would find, which falls steeply with its size: parts
-    below LEAST_PART are left out, dearest first. Segments beyond the needed ones go for nothing;
-    each further one takes one of the first `deletions` segments to make up for it, of which the
-    largest parts do.
+    below the band's least are left out, dearest first. Segments beyond the needed ones go for
+    nothing; each further one takes a deletion segment to make up for it, of which the largest
+    parts do.
     """
     levels = np.zeros(len(sizes), np.int8)
     order = np.argsort(sizes, kind="stable")
-    poor = int((sizes < LEAST_PART).sum())
+    poor = int((sizes < band.least_part).sum())
     free = len(sizes) - needed
-    spare = np.flatnonzero(sizes[:deletions] > LEAST_PART)
+    spare = np.flatnonzero(sizes[: band.deletions] > band.least_part)
     spare = spare[np.argsort(-sizes[spare], kind="stable")]
     paid = min(max(poor - free, 0), len(spare))
     levels[order[: min(poor, free + paid)]] = -1
@@ -412,7 +418,9 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: Threshold = Threshol
     return near_rows(docs, width, threshold).select("doc_id", "n_shingles", "component_id", "n_copies")
 
 
-def near_rows(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def near_rows(
+    docs: DataFrame, width: int, threshold: Threshold, costs: Costs = Costs()
+) -> DataFrame:
     """near_groups with the rows' ids, `id`."""
     blocks = word_blocks(docs, folded=True)
 
@@ -443,7 +451,7 @@ def near_rows(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
         least = rows.select("id", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return least.withColumn("n_copies", F.lit(1).cast("long"))
     starts = size_bands(bounds["most"], threshold)
-    plans = band_plans(starts, threshold)
+    plans = band_plans(starts, threshold, costs)
     # Signatures are a third of the shingles or so; a shard holds as many keys as any.
     shards = shard_count(bounds["all"] // 3)
 
@@ -542,7 +550,12 @@ def chosen(blocks: DataFrame, ids: DataFrame, *carry: str) -> DataFrame:
     return blocks.join(places, "block")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80)) -> DataFrame:
+def one_of_each(
+    docs: DataFrame,
+    width: int = 5,
+    threshold: Threshold = Threshold(80),
+    costs: Costs = Costs(least_part=3, spare=0.7),
+) -> DataFrame:
     """The rows of `docs` less near copies: of each group the row with the least doc_id stays, and
     of rows that share it one. Rows with null ids alone in a group keep one; texts without words
     all stay."""
@@ -552,7 +565,7 @@ def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshol
     numbered = keep(numbered, "numbered", lasting=True)
     with passing(spark):
         keyed = numbered.select(F.col("key").alias("doc_id"), packed["text"].alias("text"))
-        groups = near_rows(keyed, width, threshold).select(
+        groups = near_rows(keyed, width, threshold, costs).select(
             F.col("doc_id").alias("key"), F.col("component_id").alias("group")
         )
         ranked = groups.join(numbered.select("key", packed["doc_id"].alias("doc_id")), "key")
