@@ -1,14 +1,17 @@
 """LM scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-A token belongs to a unit: frequent words have their own, the others share one with words about as
-frequent. The model gives the next unit from the two before it: context vectors, each turned by the
-matrix of its place, add up to a prediction whose product with a unit's vector, plus the unit's
-bias, is its score. A token's probability is its unit's times its share of the unit. Training needs
-only how often each three units follow each other, counted over all training texts.
+A token belongs to a unit: a word seen often enough has its own, and their number grows with the
+corpus; the others share one with words about as frequent. The model gives the next unit from the
+two before it: context vectors, each turned by the matrix of its place, add up to a prediction whose
+product with a unit's vector, plus the unit's bias, is its score. Units are cut into classes: the
+prediction gives the class, then the unit among its class, so no step goes over all units. A token's
+probability is its unit's times its share of the unit. Training needs
+only how often each three units follow each other in each block.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,13 +40,16 @@ from flowgauge.llm.common import keep
 # The end of a text as a token: no word holds a blank.
 END = b"\n"
 
-# Units with a word of their own, and units that words share by the logarithm of their count.
-OWN_UNITS = 112
-SHARED_UNITS = 16
-UNITS = OWN_UNITS + SHARED_UNITS
+# A word has a unit of its own from so many occurrences on: this least, or the square root of the
+# corpus's words times this share. The words that have one grow about as the root does.
+LEAST_OWN = 8
+OWN_SHARE = 0.125
 
-# Model and training. The counts are dealt over TRAINERS tasks, which train from the same start and
-# are averaged after each round; a batch is drawn by count from the task's part.
+# The least units of a class; where there are many, classes hold as many units as there are classes.
+UNITS = 128
+
+# Model and training. Texts are dealt over TRAINERS tasks, which train from the same start and are
+# averaged after each round; a batch is drawn by count from a block.
 WIDTH = 24
 TRAINERS = 4
 TRAINING_ROUNDS = 3
@@ -52,6 +58,10 @@ BATCH = 4096
 NOISE = 20
 RATE = 0.02
 
+# Numbers of a model that are averaged together, and triples that are scored together.
+PIECE = 1 << 14
+SCORED = 1 << 15
+
 
 @dataclass(frozen=True)
 class Split:
@@ -85,94 +95,109 @@ def word_order(block: Block) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, hashes[order], order
 
 
+def own_count(words: int) -> int:
+    """Occurrences from which a word has a unit of its own, in a corpus of so many words."""
+    return max(LEAST_OWN, math.ceil(OWN_SHARE * math.sqrt(words)))
+
+
 def shared_unit(counts: np.ndarray) -> np.ndarray:
     """Which shared unit words of such counts belong to; unknown words to the first, with those
     seen once, which stand for them in training."""
-    return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), SHARED_UNITS - 1)
-
-
-def sum_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """Total counts of the words that blocks sent to a shard, for each block in its order; in the
-    first row also the shard's totals and its most frequent words."""
-    lists = [zstandard.decompress(w).split(b" ") for w in rows["words"]]
-    counts = [unpacked(c, np.int64).tolist() for c in rows["counts"]]
-    totals: dict[bytes, int] = {}
-    for words, own in zip(lists, counts):
-        for w, n in zip(words, own):
-            totals[w] = totals.get(w, 0) + n
-    known = np.fromiter(totals.values(), np.int64, len(totals))
-    known = known[known > 0]
-    shares = np.bincount(shared_unit(known), known, SHARED_UNITS).astype(np.int64)
-    rare = np.bincount(np.minimum(known, 3), minlength=4)
-    top = sorted(((-n, w) for w, n in totals.items() if n > 0))[:OWN_UNITS]
-    size = len(rows)
-    nothing: list = [None] * (size - 1)
-    return pd.DataFrame(
-        {
-            "block": rows["block"],
-            "shard": rows["shard"],
-            "answer": [packed(np.array([totals[w] for w in words], np.int64)) for words in lists],
-            "known": [len(known), *nothing],
-            "tokens": [int(known.sum()), *nothing],
-            "shares": [shares.tolist(), *nothing],
-            "once": [int(rare[1]), *nothing],
-            "twice": [int(rare[2]), *nothing],
-            "top_words": [[w for _, w in top], *nothing],
-            "top_counts": [[-n for n, _ in top], *nothing],
-        }
-    )
+    return np.log2(np.maximum(counts, 1)).astype(np.int64)
+
+
+def sum_words(own_from: int, shards: int):
+    """What a shard does: total counts of the words that blocks sent to it, for each block in its
+    order, and their units; in the first row also the shard's totals.
+
+    Own units are numbered by frequency within the shard, in turns with the other shards.
+    """
+    shared = int(shared_unit(np.array([own_from - 1]))[0]) + 1
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [zstandard.decompress(w).split(b" ") for w in rows["words"]]
+        counts = [unpacked(c, np.int64).tolist() for c in rows["counts"]]
+        totals: dict[bytes, int] = {}
+        for words, own in zip(lists, counts):
+            for w, n in zip(words, own):
+                totals[w] = totals.get(w, 0) + n
+        known = np.fromiter(totals.values(), np.int64, len(totals))
+        known = known[known > 0]
+        few = known[known < own_from]
+        shares = np.bincount(shared_unit(few), few, shared).astype(np.int64)
+        rare = np.bincount(np.minimum(known, 3), minlength=4)
+        often = sorted((-n, w) for w, n in totals.items() if n >= own_from)
+        shard = int(rows["shard"].iloc[0])
+        numbers = {w: shared + i * shards + shard for i, (_, w) in enumerate(often)}
+        answers = []
+        for words in lists:
+            seen = np.array([totals[w] for w in words], np.int64)
+            units = shared_unit(np.minimum(seen, own_from - 1))
+            for i in np.flatnonzero(seen >= own_from).tolist():
+                units[i] = numbers[words[i]]
+            answers.append(packed(np.stack([seen, units])))
+        nothing: list = [None] * (len(rows) - 1)
+        return pd.DataFrame(
+            {
+                "block": rows["block"],
+                "shard": rows["shard"],
+                "answer": answers,
+                "known": [len(known), *nothing],
+                "tokens": [int(known.sum()), *nothing],
+                "shares": [shares.tolist(), *nothing],
+                "once": [int(rare[1]), *nothing],
+                "twice": [int(rare[2]), *nothing],
+                "own": [[-n for n, _ in often], *nothing],
+            }
+        )
+
+    return run
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What the training texts as a whole say: N, V, the words with a unit of their own, what the
-    counts of each shared unit add up to, and the unknown word's share of the first of these, by
-    how many words were seen once and twice."""
+    """What the training texts as a whole say: N, V, the number of each unit that shards gave a word
+    (-1 where none did), how often each unit occurs, how many of them, the first, are shared, and
+    the unknown word's share of the first, by how many words were seen once and twice."""
 
     tokens: int
     known: int
-    own: dict[bytes, int]
-    shares: np.ndarray
+    numbers: np.ndarray
+    frequency: np.ndarray
+    shared: int
     unknown: float
 
     @classmethod
-    def gathered(cls, answers: DataFrame) -> Corpus:
-        totals = answers.filter("known IS NOT NULL")
-        sums = totals.agg(
-            F.sum("known").alias("known"),
-            F.sum("tokens").alias("tokens"),
-            F.sum("once").alias("once"),
-            F.sum("twice").alias("twice"),
-            *[F.sum(F.col("shares")[i]).alias(f"s{i}") for i in range(SHARED_UNITS)],
-        ).head()
-        pairs = totals.select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("w"))
-        top = pairs.select("w.*").orderBy(F.desc("top_counts"), "top_words").limit(OWN_UNITS).collect()
-        shares = np.array([sums[f"s{i}"] or 0 for i in range(SHARED_UNITS)], np.float64)
-        for row in top:
-            shares[shared_unit(np.array([row["top_counts"]]))[0]] -= row["top_counts"]
-        once, twice = sums["once"] or 0, sums["twice"] or 0
+    def gathered(cls, answers: DataFrame, shards: int) -> Corpus:
+        totals = answers.filter("known IS NOT NULL").select(
+            "shard", "known", "tokens", "once", "twice", "shares", "own"
+        ).collect()
+        summed = lambda name: sum(r[name] for r in totals)
+        shares = np.array([r["shares"] for r in totals] or [[0]], np.float64).sum(axis=0)
+        shared = len(shares)
+        longest = max((len(r["own"]) for r in totals), default=0)
+        counts = np.zeros((longest, shards))
+        for r in totals:
+            counts[: len(r["own"]), r["shard"]] = r["own"]
+        counts = np.concatenate([shares, counts.ravel()])
+        used = (counts > 0) | (np.arange(len(counts)) < shared)
+        numbers = np.where(used, np.cumsum(used) - 1, -1)
+        once, twice = summed("once"), summed("twice")
         unknown = (once + 0.5) / (once + 2 * twice + 1) if shares[0] > 0 else 1.0
-        own = {bytes(r["top_words"]): i for i, r in enumerate(top)}
-        return cls(sums["tokens"] or 0, sums["known"] or 0, own, shares, unknown)
+        return cls(summed("tokens"), summed("known"), numbers, counts[used], shared, unknown)
 
-    def units(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        units = OWN_UNITS + shared_unit(counts)
-        for i, w in enumerate(words):
-            unit = self.own.get(w)
-            if unit is not None:
-                units[i] = unit
-        return units.astype(np.uint8)
+    def noise(self) -> np.ndarray:
+        return (self.frequency + 1) / (self.frequency + 1).sum()
 
     def base_logs(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.tokens + self.known + 1.0))
 
     def inner_logs(self, units: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 of a word's share of its unit."""
-        total = self.shares[np.maximum(units.astype(np.int64) - OWN_UNITS, 0)]
-        share = np.maximum(counts, 1) / np.maximum(total, 1.0)
-        share = np.where(units == OWN_UNITS, (1 - self.unknown) * share, share)
+        share = np.maximum(counts, 1) / np.maximum(self.frequency[units], 1.0)
+        share = np.where(units == 0, (1 - self.unknown) * share, share)
         share = np.where(counts == 0, self.unknown, share)
-        return np.where(units < OWN_UNITS, 0.0, np.log10(share))
+        return np.where(units >= self.shared, 0.0, np.log10(share))
 
 
 # --- model --------------------------------------------------------------------------------------
@@ -180,50 +205,88 @@ class Corpus:
 
 @dataclass
 class Model:
-    """Context vectors, a matrix for each of the two places before a token, target vectors, biases."""
+    """Context vectors, a matrix for each of the two places before a token, target vectors and
+    biases of units, and of classes. A class is a run of units."""
 
     context: np.ndarray
     turns: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    heads: np.ndarray
+    head_bias: np.ndarray
 
     @classmethod
     def fresh(cls, noise: np.ndarray, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
+        units = len(noise)
+        starts = np.arange(0, units, class_size(units))
+        vectors = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         return cls(
-            rng.normal(0, 0.1, (UNITS, WIDTH)),
-            np.stack([np.eye(WIDTH)] * 2) * 0.5,
-            rng.normal(0, 0.1, (UNITS, WIDTH)),
-            np.log(noise),
+            vectors(units),
+            (np.stack([np.eye(WIDTH)] * 2) * 0.5).astype(np.float32),
+            vectors(units),
+            np.log(noise).astype(np.float32),
+            vectors(len(starts)),
+            np.log(np.add.reduceat(noise, starts)).astype(np.float32),
         )
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.turns, self.target, self.bias]
+        return [self.context, self.turns, self.target, self.bias, self.heads, self.head_bias]
 
-    def packed(self) -> bytes:
-        return np.concatenate([a.ravel() for a in self.arrays()]).tobytes()
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.arrays()])
 
     def replaced(self, flat: np.ndarray) -> Model:
         made, at = [], 0
         for a in self.arrays():
-            made.append(flat[at : at + a.size].reshape(a.shape).copy())
+            made.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
             at += a.size
         return Model(*made)
 
-    def scores(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(predictions, scores of all units) after units `first`, `second`."""
-        ahead = self.context[first] @ self.turns[0] + self.context[second] @ self.turns[1]
-        return ahead, ahead @ self.target.T + self.bias
+    def ahead(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Predictions after units `first`, `second`."""
+        return self.context[first] @ self.turns[0] + self.context[second] @ self.turns[1]
+
+    def classes(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        """(rows, the units of their class, the rows' tokens in it), class by class."""
+        size = class_size(len(self.bias))
+        order = np.argsort(token, kind="stable")
+        of = token[order] // size
+        bounds = [*np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)]
+        for start, stop in zip(bounds, bounds[1:]):
+            rows, first = order[start:stop], int(of[start]) * size
+            yield rows, slice(first, min(first + size, len(self.bias))), token[rows] - first
+
+    def log_probabilities(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each token after its two units."""
+        found = np.zeros(len(token))
+        for start in range(0, len(token), SCORED):
+            part = slice(start, start + SCORED)
+            ahead = self.ahead(first[part], second[part])
+            out = found[part]
+            if len(self.heads) > 1:
+                heads = token[part] // class_size(len(self.bias))
+                out += chosen_logs(ahead @ self.heads.T + self.head_bias, heads)
+            for rows, units, at in self.classes(token[part]):
+                out[rows] += chosen_logs(ahead[rows] @ self.target[units].T + self.bias[units], at)
+        return found / np.log(10)
 
     def log_table(self) -> np.ndarray:
-        """Normalised log10 probabilities of every unit after every two: UNITS ** 3 numbers."""
-        pairs = np.arange(UNITS * UNITS)
-        tables = []
-        for some in np.array_split(pairs, 16):
-            _, s = self.scores(some // UNITS, some % UNITS)
-            top = s.max(axis=1, keepdims=True)
-            tables.append((s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))) / np.log(10))
-        return np.concatenate(tables).astype(np.float32).ravel()
+        """log_probabilities of every unit after every two: for few units, to look at."""
+        n = len(self.bias)
+        every = np.arange(n**3)
+        return self.log_probabilities(every // n**2, every // n % n, every % n)
+
+
+def class_size(units: int) -> int:
+    return max(UNITS, math.isqrt(max(units - 1, 0)) + 1)
+
+
+def chosen_logs(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the softmax of each row's chosen score."""
+    top = scores.max(axis=1)
+    total = np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64)
+    return scores[np.arange(len(chosen)), chosen].astype(np.float64) - top - np.log(total)
 
 
 class Adam:
@@ -241,92 +304,143 @@ class Adam:
             a -= rate * (m / (1 - 0.9**self.step)) / scale
 
 
-def train(
-    model: Model, codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, seed: int, rate: float
-) -> Model:
-    """STEPS batches of noise-contrastive estimation over counted unit triples.
+def contrast(
+    ahead: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: np.ndarray,
+    token: np.ndarray, weights: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of noise-contrastive estimation: (predictions, vectors, biases).
 
-    Each drawn token is set against NOISE draws from the units' own frequencies; their part of the
-    objective is taken as its expectation over all units, which one matrix product gives.
+    Each token is set against NOISE draws from `noise`; their part of the objective is taken as its
+    expectation over all that can be drawn, which one matrix product gives.
     """
+    drawn = NOISE * noise
+    odds = 1 / (1 + np.exp(np.log(drawn) - (ahead @ vectors.T + bias)))  # of data, not noise
+    pull = drawn * odds
+    rows = np.arange(len(token))
+    pull[rows, token] -= 1 - odds[rows, token]
+    pull *= weights[:, None]
+    return pull @ vectors, pull.T @ ahead, pull.sum(axis=0)
+
+
+def gradients(
+    model: Model, noise: np.ndarray, head_noise: np.ndarray,
+    first: np.ndarray, second: np.ndarray, token: np.ndarray, weights: np.ndarray,
+) -> list[np.ndarray]:
+    ahead = model.ahead(first, second)
+    made = [np.zeros_like(a) for a in model.arrays()]
+    context, turns, target, bias, heads, head_bias = made
+    back = np.zeros_like(ahead)
+    if len(model.heads) > 1:
+        of = token // class_size(len(model.bias))
+        back, heads[:], head_bias[:] = contrast(
+            ahead, model.heads, model.head_bias, head_noise, of, weights
+        )
+    for rows, units, at in model.classes(token):
+        inside = noise[units] / noise[units].sum()
+        more, target[units], bias[units] = contrast(
+            ahead[rows], model.target[units], model.bias[units], inside, at, weights[rows]
+        )
+        back[rows] += more
+    for place, units in enumerate((first, second)):
+        turns[place] = model.context[units].T @ back
+        order = np.argsort(units, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(units[order]) != 0))
+        sent = back @ model.turns[place].T
+        context[units[order[starts]]] += np.add.reduceat(sent[order], starts)
+    return made
+
+
+def train(
+    model: Model, counted: Iterator[tuple[np.ndarray, np.ndarray]], noise: np.ndarray, seed: int, rate: float
+) -> int:
+    """STEPS batches of each block's counted unit triples, drawn by count; gives how many tokens
+    were drawn. Changes the model."""
     rng = np.random.default_rng(seed)
-    ends = np.cumsum(counts)
     adam = Adam(model.arrays())
-    shift = np.log(NOISE * noise)
-    for _ in range(STEPS):
-        code = codes[np.searchsorted(ends, rng.random(BATCH) * ends[-1], "right")]
-        first, second, token = code // UNITS**2, code // UNITS % UNITS, code % UNITS
-        ahead, scores = model.scores(first, second)
-        odds = 1 / (1 + np.exp(shift - scores))  # that a unit is data and not noise
-        pull = NOISE * noise * odds
-        rows = np.arange(BATCH)
-        pull[rows, token] -= 1 - odds[rows, token]
-        pull /= BATCH
-        back = pull @ model.target
-        context = np.zeros_like(model.context)
-        turns = np.empty_like(model.turns)
-        for place, units in enumerate((first, second)):
-            chosen = np.zeros((BATCH, UNITS))
-            chosen[rows, units] = 1
-            turns[place] = model.context[units].T @ back
-            context += chosen.T @ (back @ model.turns[place].T)
-        adam.apply(model.arrays(), [context, turns, pull.T @ ahead, pull.sum(axis=0)], rate)
-    return model
+    size = len(noise)
+    head_noise = np.add.reduceat(noise, np.arange(0, size, class_size(size))).astype(np.float32)
+    noise = noise.astype(np.float32)
+    tokens = 0
+    for codes, counts in counted:
+        ends = np.cumsum(counts)
+        for _ in range(STEPS if len(codes) else 0):
+            code = codes[np.searchsorted(ends, rng.random(BATCH) * ends[-1], "right")]
+            n = np.ones(BATCH, np.int64)
+            weights = (n / n.sum()).astype(np.float32)
+            made = gradients(
+                model, noise, head_noise, code // size**2, code // size % size, code % size, weights
+            )
+            adam.apply(model.arrays(), made, rate)
+            tokens += int(n.sum())
+    return tokens
 
 
-def training_task(start: Broadcast, noise: np.ndarray, turn: int, rate: float):
-    """What a task does in a round: train on its part of the counts, in a fixed order."""
+def training_task(start: Broadcast, noise: Broadcast, turn: int):
+    """What a task does in a round: train on its texts, block by block in a fixed order. The model
+    goes out in pieces."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("code")
-        own = start.value.replaced(np.frombuffer(start.value.packed()))
-        codes, counts = rows["code"].to_numpy(), rows["n"].to_numpy()
-        trainer = int(rows["trainer"].iloc[0])
-        trained = train(own, codes, counts, noise, 1000 * turn + trainer, rate)
-        return pd.DataFrame({"trainer": [trainer], "n": [counts.sum()], "model": [trained.packed()]})
+        rows = rows.sort_values("block")
+        own = start.value.replaced(start.value.flat())
+        size = len(noise.value)
+
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for held, sizes, units in zip(rows["held"], rows["sizes"], rows["units"]):
+                sizes = unpacked(sizes, np.int64)
+                training = np.repeat(~unpacked(held, bool), sizes)
+                codes = unit_codes(unpacked(units, np.uint32), sizes, size)
+                yield np.unique(codes[training], return_counts=True)
+
+        seed = 1000 * turn + int(rows["trainer"].iloc[0])
+        tokens = train(own, counted(), noise.value, seed, RATE / (1 + turn))
+        flat = own.flat()
+        pieces = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+        return pd.DataFrame({"piece": range(len(pieces)), "n": tokens, "numbers": pieces})
 
     return run
 
 
-def fit(triples: DataFrame) -> Model:
-    """Train on (code, n): rounds of tasks that train on their part of the counts, then average.
+def averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    """A piece of the tasks' models, averaged by the tokens that each trained on."""
+    total = np.zeros(len(rows["numbers"].iloc[0]) // 4)
+    for n, numbers in sorted(zip(rows["n"], rows["numbers"])):
+        total += n * np.frombuffer(numbers, np.float32)
+    mean = (total / max(int(rows["n"].sum()), 1)).astype(np.float32)
+    return pd.DataFrame({"piece": rows["piece"].iloc[:1], "numbers": [mean.tobytes()]})
+
 
-    There are at most UNITS ** 3 rows, however large the corpus; the driver holds the models of
-    TRAINERS tasks.
+def fit(units: DataFrame, corpus: Corpus) -> Model:
+    """Train on unit blocks: rounds of tasks that train on their texts, then average.
+
+    The driver holds one model, the tasks' are averaged in
+    pieces where they are.
     """
-    spark = triples.sparkSession
-    token = F.expr(f"cast(code % {UNITS} AS int)").alias("unit")
-    seen = triples.groupBy(token).agg(F.sum("n").alias("n")).collect()
-    frequency = np.ones(UNITS)
-    for row in seen:
-        frequency[row["unit"]] += row["n"]
-    noise = frequency / frequency.sum()
-    model = Model.fresh(noise)
-    dealt = triples.withColumn("trainer", F.expr(f"cast(pmod(xxhash64(code), {TRAINERS}) AS int)"))
-    for turn in range(TRAINING_ROUNDS if seen else 0):
+    spark = units.sparkSession
+    model = Model.fresh(corpus.noise())
+    noise = spark.sparkContext.broadcast(corpus.noise())
+    trainer = F.expr(f"cast(pmod(xxhash64(block), {TRAINERS}) AS int)").alias("trainer")
+    dealt = units.select("block", "held", "sizes", "units", trainer)
+    for turn in range(TRAINING_ROUNDS if corpus.tokens else 0):
         start = spark.sparkContext.broadcast(model)
-        rate = RATE / (1 + turn)
-
         parts = dealt.groupBy("trainer").applyInPandas(
-            training_task(start, noise, turn, rate), "trainer int, n long, model binary"
-        ).collect()
-        parts.sort(key=lambda r: r["trainer"])
-        weights = np.array([r["n"] for r in parts], float)
-        flat = np.stack([np.frombuffer(r["model"]) for r in parts])
-        model = model.replaced(weights / weights.sum() @ flat)
+            training_task(start, noise, turn), "piece int, n long, numbers binary"
+        )
+        pieces = parts.groupBy("piece").applyInPandas(averaged, "piece int, numbers binary").collect()
+        pieces.sort(key=lambda r: r["piece"])
+        model = model.replaced(np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in pieces]))
     return model
 
 
 # --- scoring ------------------------------------------------------------------------------------
 
 UNIT_BLOCK = (
-    "block long, doc_ids array<long>, sizes binary, units binary, known binary, base binary, "
-    "inner binary"
+    "block long, doc_ids array<long>, held binary, sizes binary, units binary, known binary, "
+    "base binary, inner binary"
 )
 
 
-def unit_codes(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Code of each token with the two units before it; a text begins after two ENDs, the last
+def unit_codes(units: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Code of each token with the two of `size` units before it; a text begins after two ENDs, the last
     token of every text."""
     if not len(units):
         return np.empty(0, np.int64)
@@ -337,20 +451,24 @@ def unit_codes(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     before[starts] = end
     further = np.append(u[-1], before[:-1])
     further[starts] = end
-    return (further * UNITS + before) * UNITS + u
+    return (further * size + before) * size + u
 
 
-def unit_blocks(blocks: DataFrame, answers: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
+def unit_blocks(
+    blocks: DataFrame, answers: DataFrame, corpus: Corpus, shards: int, split: Split
+) -> DataFrame:
     """Blocks as unit sequences, each text with its END, and per text what needs no model."""
+    said = blocks.sparkSession.sparkContext.broadcast(corpus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = said.value
         for number, block, row in blocks_in(batches):
             words, hashes, order = word_order(block)
-            counts = np.zeros(len(words), np.int64)
+            counts, units = np.zeros((2, len(words)), np.int64)
             got = {a["shard"]: a["answer"] for a in row["answers"] or []}
             for shard, part in shard_slices(hashes, shards):
-                counts[order[part]] = unpacked(got[shard], np.int64)
-            units = corpus.units(words, counts)
+                answer = unpacked(got[shard], np.int64).reshape(2, -1)
+                counts[order[part]], units[order[part]] = answer[0], corpus.numbers[answer[1]]
             sizes = block.sizes + 1
             starts = np.cumsum(sizes) - sizes
             numbers = np.full(int(sizes.sum()), len(words) - 1, np.int64)
@@ -363,8 +481,9 @@ def unit_blocks(blocks: DataFrame, answers: DataFrame, corpus: Corpus, shards: i
                 {
                     "block": [number],
                     "doc_ids": pa.array([block.doc_ids], pa.list_(pa.int64())),
+                    "held": [packed(split.is_held(block.doc_ids))],
                     "sizes": [packed(sizes)],
-                    "units": [packed(tokens)],
+                    "units": [packed(tokens.astype(np.uint32))],
                     "known": [per_text((counts > 0).astype(np.int64))],
                     "base": [per_text(corpus.base_logs(counts))],
                     "inner": [per_text(corpus.inner_logs(units, counts))],
@@ -374,14 +493,6 @@ def unit_blocks(blocks: DataFrame, answers: DataFrame, corpus: Corpus, shards: i
     return keep(with_answers(blocks, answers).mapInArrow(run, UNIT_BLOCK), "unit-blocks")
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            row["sizes"] = unpacked(row["sizes"], np.int64)
-            row["codes"] = unit_codes(unpacked(row["units"], np.uint8), row["sizes"])
-            yield row
-
-
 def score_texts(docs: DataFrame, split: Split = Split()) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -392,8 +503,9 @@ def score_texts(docs: DataFrame, split: Split = Split()) -> DataFrame:
     are left behind. An empty table gives no rows; without training texts every word is unknown.
     """
     blocks = word_blocks(docs, folded=True)
-    distinct = blocks.agg(F.sum("n_distinct").alias("n")).head()["n"] or 0
-    shards = shard_count(4 * distinct)
+    sums = blocks.agg(F.sum("n_distinct").alias("distinct"), F.sum("n_words").alias("words")).head()
+    shards = shard_count(4 * (sums["distinct"] or 0))
+    words_in_all = sums["words"] or 0
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, _ in blocks_in(batches):
@@ -413,41 +525,36 @@ def score_texts(docs: DataFrame, split: Split = Split()) -> DataFrame:
     sent = blocks.mapInArrow(send, "shard int, block long, words binary, counts binary")
     answers = keep(
         sent.groupBy("shard").applyInPandas(
-            sum_words,
+            sum_words(own_count(words_in_all), shards),
             "block long, shard int, answer binary, known long, tokens long, shares array<long>, "
-            "once long, twice long, top_words array<binary>, top_counts array<long>",
+            "once long, twice long, own array<long>",
         ),
         "word-counts",
     )
-    corpus = Corpus.gathered(answers)
-    units = unit_blocks(blocks, answers, corpus, shards)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in unit_rows(batches):
-            training = np.repeat(~split.is_held(row["doc_ids"]), row["sizes"])
-            codes, counts = np.unique(row["codes"][training], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"code": codes, "n": counts})
-
-    counted = units.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    model = fit(keep(counted, "unit-triples"))
-    table = docs.sparkSession.sparkContext.broadcast(model.log_table())
+    corpus = Corpus.gathered(answers, shards)
+    units = unit_blocks(blocks, answers, corpus, shards, split)
+    model = docs.sparkSession.sparkContext.broadcast(fit(units, corpus))
+    size, train_tokens = len(corpus.frequency), corpus.tokens
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in unit_rows(batches):
-            sizes = row["sizes"]
-            logs = table.value[row["codes"]].astype(np.float64)
-            scores = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "held_out": split.is_held(row["doc_ids"]),
-                    "n_tokens": sizes,
-                    "n_known": unpacked(row["known"], np.int64),
-                    "train_tokens": np.full(len(sizes), corpus.tokens, np.int64),
-                    "base_score": unpacked(row["base"], np.float64),
-                    "score": scores + unpacked(row["inner"], np.float64),
-                }
-            )
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = unpacked(row["sizes"], np.int64)
+                codes = unit_codes(unpacked(row["units"], np.uint32), sizes, size)
+                code, places = np.unique(codes, return_inverse=True)
+                logs = model.value.log_probabilities(code // size**2, code // size % size, code % size)
+                scores = np.add.reduceat(logs[places], np.cumsum(sizes) - sizes)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                        "held_out": unpacked(row["held"], bool),
+                        "n_tokens": sizes,
+                        "n_known": unpacked(row["known"], np.int64),
+                        "train_tokens": np.full(len(sizes), train_tokens, np.int64),
+                        "base_score": unpacked(row["base"], np.float64),
+                        "score": scores + unpacked(row["inner"], np.float64),
+                    }
+                )
 
     return units.mapInArrow(
         score,

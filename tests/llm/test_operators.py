@@ -15,7 +15,7 @@ from flowgauge.llm.blocks import Block, packed
 from flowgauge.llm.bpe import Encoder, bpe_digests
 from flowgauge.llm.decontamination import build_index, drop_contaminated, find_contamination, proximity_matches, stored_texts
 from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each, shingle_sets
-from flowgauge.llm.lm_scoring import UNITS, Model, score_texts
+from flowgauge.llm.lm_scoring import UNITS, Model, Split, score_texts
 from flowgauge.llm.quality_rules import judge_quality, keep_good
 from flowgauge.llm.secret_scan import redact_secrets, scan_secrets, trigram_query
 from flowgauge.llm.sharding import communication_matrix, hypergeometric, permuted, shuffle_to_shards
@@ -227,6 +227,27 @@ def test_probabilities_add_up():
     assert np.abs(table.sum(axis=1) - 1).max() < 1e-4
 
 
+def test_probabilities_add_up_over_classes():
+    size = 2 * UNITS + 5
+    model = Model.fresh(np.arange(1, size + 1) / (size * (size + 1) / 2))
+    first, second = np.repeat([3, 200], size), np.repeat([260, 7], size)
+    logs = model.log_probabilities(first, second, np.tile(np.arange(size), 2))
+    assert np.abs((10.0**logs).reshape(2, -1).sum(axis=1) - 1).max() < 1e-4
+
+
+def test_frequent_words_are_told_apart(spark):
+    """Far more equally frequent words than a hundred: each is expected after its own partner."""
+    rng = np.random.default_rng(1)
+    pairs = 150
+    text = lambda shift: " ".join(f"a{i} b{(i + shift) % pairs}" for i in rng.permutation(pairs))
+    rows = [(i, text(0)) for i in range(400)]
+    fits = [i for i in range(1000, 1200) if Split().is_held([i])[0]]
+    rows += [(i, text(place % 2)) for place, i in enumerate(fits)]
+    found = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    score = {r["doc_id"]: r["score"] for r in found}
+    assert min(score[i] for i in fits[::2]) > max(score[i] for i in fits[1::2])
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 
 
