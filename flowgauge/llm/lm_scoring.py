@@ -5,8 +5,7 @@ corpus; the others share one with words about as frequent. The model gives the n
 two before it: context vectors, each turned by the matrix of its place, add up to a prediction whose
 product with a unit's vector, plus the unit's bias, is its score. Units are cut into classes: the
 prediction gives the class, then the unit among its class, so no step goes over all units. A token's
-probability is its unit's times its share of the unit. Training needs
-only how often each three units follow each other in each block.
+probability is its unit's times its share of the unit. Every pass goes over all training texts.
 """
 
 from __future__ import annotations
@@ -48,12 +47,11 @@ OWN_SHARE = 0.125
 # The least units of a class; where there are many, classes hold as many units as there are classes.
 UNITS = 128
 
-# Model and training. Texts are dealt over TRAINERS tasks, which train from the same start and are
-# averaged after each round; a batch is drawn by count from a block.
+# Model and training. Texts are dealt over tasks of about TRAINER_WORDS, which train from the same
+# start on all they have and are averaged after each round; a batch is so many counted triples.
 WIDTH = 24
-TRAINERS = 4
-TRAINING_ROUNDS = 3
-STEPS = 80
+TRAINER_WORDS = 4_000_000
+TRAINING_ROUNDS = 2
 BATCH = 4096
 NOISE = 20
 RATE = 0.02
@@ -353,8 +351,8 @@ def gradients(
 def train(
     model: Model, counted: Iterator[tuple[np.ndarray, np.ndarray]], noise: np.ndarray, seed: int, rate: float
 ) -> int:
-    """STEPS batches of each block's counted unit triples, drawn by count; gives how many tokens
-    were drawn. Changes the model."""
+    """One pass over all counted unit triples, in batches, each triple weighted by its count; gives
+    how many tokens it went over. Changes the model."""
     rng = np.random.default_rng(seed)
     adam = Adam(model.arrays())
     size = len(noise)
@@ -362,10 +360,10 @@ def train(
     noise = noise.astype(np.float32)
     tokens = 0
     for codes, counts in counted:
-        ends = np.cumsum(counts)
-        for _ in range(STEPS if len(codes) else 0):
-            code = codes[np.searchsorted(ends, rng.random(BATCH) * ends[-1], "right")]
-            n = np.ones(BATCH, np.int64)
+        order = rng.permutation(len(codes))
+        for start in range(0, len(order), BATCH):
+            some = order[start : start + BATCH]
+            code, n = codes[some], counts[some]
             weights = (n / n.sum()).astype(np.float32)
             made = gradients(
                 model, noise, head_noise, code // size**2, code // size % size, code % size, weights
@@ -409,16 +407,17 @@ def averaged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": rows["piece"].iloc[:1], "numbers": [mean.tobytes()]})
 
 
-def fit(units: DataFrame, corpus: Corpus) -> Model:
-    """Train on unit blocks: rounds of tasks that train on their texts, then average.
+def fit(units: DataFrame, corpus: Corpus, words: int) -> Model:
+    """Train on unit blocks: rounds of tasks that go over all their training texts, then average.
 
-    The driver holds one model, the tasks' are averaged in
+    Tasks grow with the corpus's `words`; the driver holds one model, the tasks' are averaged in
     pieces where they are.
     """
     spark = units.sparkSession
     model = Model.fresh(corpus.noise())
     noise = spark.sparkContext.broadcast(corpus.noise())
-    trainer = F.expr(f"cast(pmod(xxhash64(block), {TRAINERS}) AS int)").alias("trainer")
+    trainers = -(-words // TRAINER_WORDS)
+    trainer = F.expr(f"cast(pmod(xxhash64(block), {max(trainers, 1)}) AS int)").alias("trainer")
     dealt = units.select("block", "held", "sizes", "units", trainer)
     for turn in range(TRAINING_ROUNDS if corpus.tokens else 0):
         start = spark.sparkContext.broadcast(model)
@@ -533,7 +532,7 @@ def score_texts(docs: DataFrame, split: Split = Split()) -> DataFrame:
     )
     corpus = Corpus.gathered(answers, shards)
     units = unit_blocks(blocks, answers, corpus, shards, split)
-    model = docs.sparkSession.sparkContext.broadcast(fit(units, corpus))
+    model = docs.sparkSession.sparkContext.broadcast(fit(units, corpus, words_in_all))
     size, train_tokens = len(corpus.frequency), corpus.tokens
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from flowgauge.llm.blocks import Block, packed
 from flowgauge.llm.bpe import Encoder, bpe_digests
 from flowgauge.llm.decontamination import build_index, drop_contaminated, find_contamination, proximity_matches, stored_texts
 from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each, shingle_sets
-from flowgauge.llm.lm_scoring import UNITS, Model, Split, score_texts
+from flowgauge.llm.lm_scoring import UNITS, Model, Split, score_texts, train
 from flowgauge.llm.quality_rules import judge_quality, keep_good
 from flowgauge.llm.secret_scan import redact_secrets, scan_secrets, trigram_query
 from flowgauge.llm.sharding import communication_matrix, hypergeometric, permuted, shuffle_to_shards
@@ -248,6 +248,22 @@ def test_frequent_words_are_told_apart(spark):
     assert min(score[i] for i in fits[::2]) > max(score[i] for i in fits[1::2])
 
 
+def test_a_pass_goes_over_every_triple():
+    """More tokens than any fixed number of batches would draw, the last of them rare."""
+    size = 150
+    noise = np.full(size, 1 / size)
+    codes = np.arange(149 * size * size)  # all but those after unit 149
+    counts = np.where(codes == codes[-1], 1, 1000)
+    codes[-1] = size**3 - 1
+    model = Model.fresh(noise)
+    before = model.context[149].copy()
+    some = slice(-3 * size * size, None)
+    assert train(model, iter([(codes[some], counts[some])]), noise, 1, 0.02) == counts[some].sum()
+    once = Model.fresh(noise)
+    assert train(once, iter([(codes[-1:], counts[-1:])] * 3), noise, 1, 0.02) == 3
+    assert (model.context[149] != before).any() and (once.context[149] != before).any()
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 
 
