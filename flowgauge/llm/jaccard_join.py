@@ -220,7 +220,7 @@ def runs(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
     """Sets by signature: (first of each run, run lengths), with keys, ids and roles in order."""
     order = np.lexsort((ids, keys))
     keys, ids, roles = keys[order], ids[order], roles[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1]))
     return keys, ids, roles, first, np.diff(np.append(first, len(keys)))
 
 
@@ -235,6 +235,31 @@ def merged_in_block(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
     return keys[first], ids[first], np.bitwise_or.reduceat(roles, first), pairs
 
 
+def shard_rows(
+    number: int, keys: np.ndarray, places: np.ndarray, roles: np.ndarray, pairs: np.ndarray, shards: int
+) -> Iterator[pa.RecordBatch]:
+    """What a block sends: each shard its slice of the ascending keys, and the block's own pairs
+    dealt over all shards by a hash of the set."""
+    slices = dict(shard_slices(keys, shards))
+    to = scrambled(row_ids(number, pairs[:, 0]), 41) % np.uint64(shards)
+    order = np.argsort(to, kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(shards + 1, dtype=np.uint64)).tolist()
+    for shard, (start, stop) in enumerate(zip(bounds, bounds[1:])):
+        part = slices.get(shard, slice(0, 0))
+        if part.start == part.stop and start == stop:
+            continue
+        yield pa.RecordBatch.from_pydict(
+            {
+                "shard": pa.array([shard], pa.int32()),
+                "block": pa.array([number], pa.int64()),
+                "keys": [packed_ascending(keys[part])],
+                "places": [packed(places[part].astype(np.uint32))],
+                "roles": [packed(roles[part])],
+                "pairs": [packed(pairs[order[start:stop]].astype(np.uint32))],
+            }
+        )
+
+
 def stars(rows: pd.DataFrame) -> pd.DataFrame:
     """Edges that connect the sets which share a signature some of them index and others probe:
     each to the least of them, every edge once. The blocks' own pairs come as they are: a pair too
@@ -247,7 +272,8 @@ def stars(rows: pd.DataFrame) -> pd.DataFrame:
         np.concatenate(ids_of(rows["places"])),
         np.concatenate([unpacked(x, np.uint8) for x in rows["roles"]]),
     )
-    joint = np.bitwise_or.reduceat(roles, first) == INDEXED | PROBED
+    # A shard may have got pairs alone.
+    joint = np.bitwise_or.reduceat(roles, first) == INDEXED | PROBED if len(first) else first > 0
     least = np.repeat(ids[first], sizes)
     edge = np.repeat(joint, sizes) & (ids != least)
     own = np.concatenate(ids_of(rows["pairs"])).reshape(-1, 2)
@@ -476,18 +502,7 @@ def near_rows(
                 places,
                 np.concatenate([r for _, _, r in made]),
             )
-            for shard, part in shard_slices(keys, shards):
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array([shard], pa.int32()),
-                        "block": pa.array([number], pa.int64()),
-                        "keys": [packed_ascending(keys[part])],
-                        "places": [packed(places[part].astype(np.uint32))],
-                        "roles": [packed(roles[part])],
-                        "pairs": [packed(pairs.astype(np.uint32))],
-                    }
-                )
-                pairs = pairs[:0]
+            yield from shard_rows(number, keys, places, roles, pairs, shards)
 
     sent = blocks.mapInArrow(
         send, "shard int, block long, keys binary, places binary, roles binary, pairs binary"

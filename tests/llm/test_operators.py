@@ -4,6 +4,8 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import tokenizers
 import zstandard
@@ -11,10 +13,10 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from flowgauge.llm import queries
-from flowgauge.llm.blocks import Block, packed
+from flowgauge.llm.blocks import Block, packed, unpacked
 from flowgauge.llm.bpe import Encoder, bpe_digests
 from flowgauge.llm.decontamination import build_index, drop_contaminated, find_contamination, proximity_matches, stored_texts
-from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each, shingle_sets
+from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each, row_ids, shard_rows, shingle_sets, stars
 from flowgauge.llm.lm_scoring import UNITS, Model, Split, score_texts, train
 from flowgauge.llm.quality_rules import judge_quality, keep_good
 from flowgauge.llm.secret_scan import redact_secrets, scan_secrets, trigram_query
@@ -96,6 +98,20 @@ def test_near_groups_in_chunks(spark, monkeypatch):
     H.same(found, H.near_groups(H.pairs(docs)))
 
 
+def test_block_pairs_are_dealt_over_shards():
+    """A block's own pairs go to all shards alike, also to those that get no keys, and none is lost."""
+    keys = np.arange(1, 9, dtype=np.uint64)  # all in shard 0
+    pairs = np.stack([np.arange(1, 4001), np.zeros(4000, int)], axis=1)
+    sent = pa.Table.from_batches(
+        shard_rows(5, keys, np.arange(8), np.full(8, 3, np.uint8), pairs, 4)
+    ).to_pandas()
+    each = [len(unpacked(x, np.uint32)) // 2 for x in sent["pairs"]]
+    assert sent["shard"].tolist() == [0, 1, 2, 3] and min(each) > 800 and sum(each) == 4000
+    found = pd.concat([stars(rows) for _, rows in sent.groupby("shard")])
+    wanted = {(a, b) for a, b in zip(row_ids(5, pairs[:, 0]), row_ids(5, pairs[:, 1]))}
+    assert set(zip(found["a"], found["b"])) == wanted and len(found) == 4000
+
+
 def test_one_of_each(docs):
     rows = H.pairs(docs)
     sets = [H.shingles(t, 5) for _, t in rows]
