@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from flowgauge.llm.bpe import bpe_digests
 from flowgauge.llm.common import table
 from flowgauge.llm.decontamination import find_contamination
+from flowgauge.llm.fill_middle import fill_in_middle, restored
 from flowgauge.llm.jaccard_join import near_groups
 from flowgauge.llm.lm_scoring import score_texts
 from flowgauge.llm.quality_rules import judge_quality
 from flowgauge.llm.secret_scan import scan_secrets
 from flowgauge.llm.sharding import shuffle_to_shards
+from flowgauge.llm.simhash import simhash_groups
 from flowgauge.llm.substring_dedup import remove_repeats
 from flowgauge.llm.token_counts import TokenCache, count_tokens
 from flowgauge.llm.url_filters import (
@@ -27,6 +29,7 @@ from flowgauge.llm.url_filters import (
     RULES,
     filter_urls,
 )
+from flowgauge.llm.whitening import whiten
 from flowgauge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,3 +310,65 @@ SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM q JOIN t USING (host, path) JOIN rejected USING (host, template)
 """
+
+
+@registered
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first components of all, scaled to unit variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in four bits or fewer."""
+    return simhash_groups(table(spark, sf_dir, "documents")).drop("n_copies")
+
+
+@registered
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of every document, and the texts rebuilt from them."""
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE_SQL["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents)
+, t AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         list_transform([1, 9, 17, 25], lambda p: list_reduce(
+           list_transform(range(p, p + 8), lambda i:
+             CAST(strpos('0123456789abcdef', substr(digest, i, 1)) - 1 AS BIGINT)),
+           lambda x, y: 16 * x + y)) AS h
+  FROM d)
+, c AS (
+  SELECT *, len(tokens) AS n, least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS a,
+         greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t)
+, p AS (
+  SELECT *, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix,
+         coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix
+  FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
