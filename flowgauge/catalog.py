@@ -24,7 +24,7 @@ from flowgauge.operators.windows import window_congestion
 from flowgauge.plans.report import CongestionReport, congestion_report
 from flowgauge.session import in_utc, materialise, scratch_path
 from flowgauge.sinks.batches import quarantine_parquet, raw_parquet, window_parquet
-from flowgauge.sinks.compaction import committed_batch, compact_day
+from flowgauge.sinks.compaction import compact_day
 from flowgauge.sinks.report_files import read_csv, write_csv
 from flowgauge.sources.messages import MessageFiles
 from flowgauge.sources.tables import (
@@ -36,13 +36,8 @@ from flowgauge.sources.tables import (
     trailing_raw,
     window_table,
 )
-from flowgauge.streaming.queries import (
-    Pace,
-    query_id,
-    start_alerts,
-    start_landing,
-    start_windows,
-)
+from flowgauge.sources.visibility import own_log
+from flowgauge.streaming.queries import Pace, start_alerts, start_landing, start_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -282,16 +277,14 @@ def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def report_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report from the raw table that the stream wrote, older dates compacted before."""
+    """The report from the raw table that the stream wrote, its newest dates compacted before."""
     place = scratch_path(spark, "lake")
     start_landing(
         wire_stream(spark, sf_dir), raw_parquet(f"{place}/raw"), f"{place}/checkpoint", pace=ONCE
     ).awaitTermination()
-    newest = raw_dates(spark, f"{place}/raw")[-2:]
-    for day in newest:
-        table, done = raw_parquet(f"{place}/raw"), committed_batch(spark, f"{place}/checkpoint")
-        committed = {query_id(spark, f"{place}/checkpoint"): done}
-        compact_day(spark, table, schemas.RAW_TABLE, day, committed)
+    committed = own_log(f"{place}/raw").committed(spark)
+    for day in raw_dates(spark, f"{place}/raw")[-2:]:
+        compact_day(spark, raw_parquet(f"{place}/raw"), schemas.RAW_TABLE, day, committed)
     rows, latest = trailing_raw(spark, f"{place}/raw")
     report = congestion_report(rows, date_column="event_date", newest=latest)
     return rounded(report.rows, "avg_speed", "congestion_score")

@@ -1,7 +1,6 @@
-"""Compacts the closed dates of a raw or window table, between two runs of its query.
+"""Compacts the closed dates of a raw or window table, also while its query runs.
 
-    spark-submit flowgauge/jobs/compact_job.py --raw s3a://lake/raw \
-        --checkpoint s3a://lake/checkpoints/raw --before 2026-05-09
+    spark-submit flowgauge/jobs/compact_job.py --raw s3a://lake/raw --before 2026-05-09
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from flowgauge import schemas
 from flowgauge.folders import Folder
 from flowgauge.session import BATCH_DEFAULTS, job_session
 from flowgauge.sinks.batches import raw_parquet, window_parquet
-from flowgauge.sinks.compaction import committed_batch, compact_day
+from flowgauge.sinks.compaction import GRACE_SECONDS, committed_batch, compact_day, sweep_day
+from flowgauge.sources.visibility import own_log
 from flowgauge.streaming.queries import query_id
 
 
@@ -25,24 +25,32 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     table.add_argument("--raw", help="directory of the raw table")
     table.add_argument("--windows", help="directory of the window table")
     parser.add_argument(
-        "--checkpoint", action="append", required=True, help="of each query that writes the table"
+        "--checkpoint", action="append", default=[], help="of a query whose batches no log has"
     )
     parser.add_argument("--before", type=date.fromisoformat, required=True, help="first open date")
+    parser.add_argument(
+        "--grace-hours",
+        type=float,
+        default=GRACE_SECONDS / 3600,
+        help="how long replaced files stay for readers that began before",
+    )
     return parser.parse_args(argv)
 
 
 def compact(spark: SparkSession, chosen: argparse.Namespace) -> list[date]:
-    """The dates that were compacted."""
+    """The dates that were compacted. What earlier runs replaced is removed, where it is old enough."""
     if chosen.raw:
         table, schema = raw_parquet(chosen.raw), schemas.RAW_TABLE
     else:
         table, schema = window_parquet(chosen.windows), schemas.WINDOW_TABLE
     committed = {query_id(spark, c): committed_batch(spark, c) for c in chosen.checkpoint}
-    root = Folder(spark, table.path)
-    # Dates that an interrupted run had set aside count too.
-    names = root.values(table.date_column) + (root / "_replaced").values(table.date_column)
-    closed = sorted({d for d in map(date.fromisoformat, names) if d < chosen.before})
-    return [d for d in closed if compact_day(spark, table, schema, d, committed)]
+    committed |= own_log(table.path).committed(spark)
+    names = Folder(spark, table.path).values(table.date_column)
+    closed = [d for d in map(date.fromisoformat, names) if d < chosen.before]
+    done = [d for d in closed if compact_day(spark, table, schema, d, committed)]
+    for day in closed:
+        sweep_day(spark, table, day, 3600 * chosen.grace_hours)
+    return done
 
 
 def main(argv: list[str] | None = None) -> None:

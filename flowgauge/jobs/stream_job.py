@@ -27,6 +27,7 @@ from flowgauge.sinks.batches import (
 )
 from flowgauge.sources.messages import MessageFiles, Topic
 from flowgauge.sources.tables import jdbc_options
+from flowgauge.sources.visibility import own_log
 from flowgauge.streaming.queries import Pace, await_any, start_alerts, start_landing, start_windows
 
 
@@ -114,6 +115,7 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
             alerts=shared,
             pace=pace,
             name="raw",
+            log=own_log(chosen.raw or chosen.quarantine),
         ),
         start_windows(
             parsed, windows, f"{chosen.checkpoints}/windows", pace=pace, name="windows"

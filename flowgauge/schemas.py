@@ -17,6 +17,8 @@ RAW_TABLE = f"{READING}, event_date DATE, query_id STRING, batch_id BIGINT"
 
 QUARANTINE_TABLE = "value STRING, missing STRING, query_id STRING, batch_id BIGINT"
 
+ALERT_TABLE = "value STRING, query_id STRING, batch_id BIGINT"
+
 WINDOW = (
     "sensor_id STRING, window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ, "
     "avg_speed DOUBLE, total_vehicles BIGINT, congestion_index DOUBLE"

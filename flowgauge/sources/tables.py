@@ -11,6 +11,7 @@ from flowgauge import rules, schemas
 from flowgauge.folders import Folder
 from flowgauge.functions.wire import json_int, reading_json
 from flowgauge.operators.rollup import newest_reading
+from flowgauge.sources.visibility import Snapshot, own_log, snapshot
 
 EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
@@ -63,13 +64,22 @@ def raw_dates(spark: SparkSession, path: str) -> list[date]:
     return sorted(date.fromisoformat(v) for v in Folder(spark, path).values("event_date"))
 
 
-def raw_table(spark: SparkSession, path: str, dates: list[date] | None = None) -> DataFrame:
-    """The raw table, with its partition columns event_date, query_id and batch_id; of the dates
-    alone if some are given, so that no other folder is listed."""
+def raw_table(
+    spark: SparkSession,
+    path: str,
+    dates: list[date] | None = None,
+    seen: Snapshot | None = None,
+) -> DataFrame:
+    """The rows of the raw table that count, with its partition columns event_date, query_id and
+    batch_id; of the dates alone if some are given, so that no other folder is listed. `seen` reads
+    it as it was when the snapshot was taken."""
+    seen = seen or snapshot(spark, path, days=dates)
     reader = spark.read.schema(schemas.RAW_TABLE).option("basePath", path)
     if dates is None:
-        return reader.parquet(path)
-    return reader.parquet(*[f"{path}/event_date={d.isoformat()}" for d in dates])
+        rows = reader.parquet(path)
+    else:
+        rows = reader.parquet(*[f"{path}/event_date={d.isoformat()}" for d in dates])
+    return rows.filter(seen.visible("event_date"))
 
 
 def trailing_raw(
@@ -77,25 +87,40 @@ def trailing_raw(
 ) -> tuple[DataFrame, datetime | None]:
     """(rows of the dates that the trailing hours touch, newest event time).
 
-    The newest date is known by its folder's name; its times alone are read for the newest of them,
-    and older dates are not even listed.
+    The log of the landing query knows the newest time. Without it the newest date is known by its
+    folder's name, and its times alone are read for the newest of them. Older dates are not even
+    listed.
     """
     dates = raw_dates(spark, path)
-    while dates:
+    newest = own_log(path).newest(spark)
+    while dates and newest is None:
         newest = newest_reading(raw_table(spark, path, dates[-1:]))
-        if newest is not None:
-            first = (newest - timedelta(hours=hours)).date()
-            return raw_table(spark, path, [d for d in dates if d >= first]), newest
-        dates.pop()
-    return no_readings(spark).withColumn("event_date", F.lit(None).cast("date")), None
+        if newest is None:
+            dates.pop()
+    if not dates or newest is None:
+        return no_readings(spark).withColumn("event_date", F.lit(None).cast("date")), None
+    first = (newest - timedelta(hours=hours)).date()
+    return raw_table(spark, path, [d for d in dates if d >= first]), newest
+
 
+def window_table(spark: SparkSession, path: str, seen: Snapshot | None = None) -> DataFrame:
+    """The windows that count."""
+    seen = seen or snapshot(spark, path)
+    return spark.read.schema(schemas.WINDOW_TABLE).parquet(path).filter(seen.visible("window_date"))
 
-def window_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.WINDOW_TABLE).parquet(path)
+
+def quarantine_table(
+    spark: SparkSession, path: str, seen: Snapshot | None = None
+) -> DataFrame:
+    """Messages set aside; with the raw table's snapshot, those of the batches that it shows."""
+    rows = spark.read.schema(schemas.QUARANTINE_TABLE).parquet(path)
+    return rows.filter((seen or Snapshot()).visible())
 
 
-def quarantine_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.QUARANTINE_TABLE).parquet(path)
+def alert_table(spark: SparkSession, path: str, seen: Snapshot | None = None) -> DataFrame:
+    """Alert messages that the landing query sent to files, with query_id and batch_id."""
+    rows = spark.read.schema(schemas.ALERT_TABLE).text(path)
+    return rows.filter((seen or Snapshot()).visible())
 
 
 def jdbc_options(url: str, table: str, **login: str) -> dict[str, str]:

@@ -1,11 +1,7 @@
-from datetime import date
-
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
-from flowgauge.folders import Folder
-from flowgauge.jobs import compact_job
 from flowgauge.operators.alerts import parse_alerts
 from flowgauge.operators.ingest import parse_messages
 from flowgauge.operators.windows import window_congestion
@@ -269,66 +265,6 @@ def test_windows_count_valid_messages_only(spark, tmp_path):
     same_rows(tuples(windows_of(spark, path)), [("a", at("10:00:00"), at("10:05:00"), 20.0, 10, 0.5)])
 
 
-def landed(spark, tmp_path, batches):
-    """A raw table that a query wrote in so many micro-batches, its path and its checkpoint."""
-    files = MessageDir(tmp_path / "messages")
-    for n in range(batches):
-        files.add([message(f"s{k}", f"10:{n:02d}:00", n, 1.0 + k, day) for k in range(5) for day in ("2026-05-08", "2026-05-09")])
-    path, checkpoint = str(tmp_path / "raw"), str(tmp_path / "checkpoint")
-    run(start_landing(parsed_stream(spark, files), raw_parquet(path), checkpoint, pace=ONCE))
-    return files, path, checkpoint
-
-
-def compacted(spark, path, checkpoint, before="2026-05-09"):
-    argv = ["--raw", path, "--checkpoint", checkpoint, "--before", before]
-    return [str(d) for d in compact_job.compact(spark, compact_job.arguments(argv))]
-
-
-def test_compaction_keeps_the_rows(spark, tmp_path):
-    files, path, checkpoint = landed(spark, tmp_path, 6)
-    before = tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS))
-    count = lambda: len(list((tmp_path / "raw/event_date=2026-05-08").rglob("*.parquet")))
-    assert count() >= 6
-    assert compacted(spark, path, checkpoint) == ["2026-05-08"]
-    assert count() == 1
-    same_rows(tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS)), before)
-    assert compacted(spark, path, checkpoint) == []
-    late = message("late", "12:00:00", 1, 1.0, "2026-05-08")
-    files.add([late])
-    run(start_landing(parsed_stream(spark, files), raw_parquet(path), checkpoint, pace=ONCE))
-    assert compacted(spark, path, checkpoint) == ["2026-05-08"]
-    same_rows(
-        tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS)),
-        [*before, ("late", at("12:00:00", "2026-05-08"), 1, 1.0)],
-    )
-
-
-def test_compaction_waits_for_open_batches(spark, tmp_path):
-    _, path, checkpoint = landed(spark, tmp_path, 2)
-    raw_parquet(path).for_query("another")(readings(spark, ("z", at("10:00:00", "2026-05-08"), 1, 1.0)), 7)
-    assert compacted(spark, path, checkpoint) == []
-
-
-@pytest.mark.parametrize("cut", ["while building", "old aside", "both there"])
-def test_an_interrupted_compaction_is_finished(spark, tmp_path, cut):
-    _, path, checkpoint = landed(spark, tmp_path, 3)
-    before = tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS))
-    place, name = Folder(spark, path), "event_date=2026-05-08"
-    stored = raw_table(spark, path, [date(2026, 5, 8)]).drop("event_date", "query_id", "batch_id")
-    built = place / "_compacting" / name
-    if cut != "while building":
-        stored.write.parquet(f"{built.path}/query_id=compacted/batch_id=0")
-        (place / name).move_to((place / "_replaced" / name).path)
-    else:
-        stored.limit(1).write.parquet(f"{built.path}/query_id=compacted/batch_id=0")
-    if cut == "both there":
-        built.move_to((place / name).path)
-    compacted(spark, path, checkpoint)
-    same_rows(tuples(raw_table(spark, path).select(*schemas.READING_COLUMNS)), before)
-    assert compacted(spark, path, checkpoint) == []
-    assert not (place / "_replaced").names() and not (place / "_compacting").names()
-
-
 def test_pace_and_end_of_the_application(spark, replay, tmp_path):
     """With an interval the queries go on until one of them ends; then all are stopped."""
     spark.streams.resetTerminated()
