@@ -18,15 +18,6 @@ def congestion_score(total: Column, speed: Column) -> Column:
     return F.when(standstill, F.lit(float("inf"))).otherwise(F.try_divide(total, speed))
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean whose last digit does not depend on the order of addition: the sum is one of decimals
-    with 18 places. Where a value is no number, or too large for that, it is the plain mean."""
-    digits = value.try_cast("decimal(38,18)")
-    odd = F.count_if(value.isNotNull() & digits.isNull()) > 0
-    mean = F.try_divide(F.try_sum(digits).cast("double"), F.count(digits))
-    return F.when(odd, F.avg(value)).otherwise(F.coalesce(mean, F.avg(value)))
-
-
 def round_cents(value: Column) -> Column:
     """Two places, half to even, by the exact value of the double: 0.125 gives 0.12, and 2.675,
     which is stored a little below, 2.67.

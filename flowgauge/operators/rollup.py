@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge import rules
-from flowgauge.functions.measures import exact_mean
 from flowgauge.functions.timestamps import hour_of, literal_date, literal_time
+from flowgauge.operators.exact_sums import accumulated, with_means
+
+HOUR = ["sensor_id", "hour_bucket"]
+HOUR_SUMS = ["total_vehicles", "digits", "undecided"]
+
+# Speeds below are summed as decimals; of 10^11 of them the sum still fits.
+MOST_DECIMAL = 1e9
 
 
 def latest_event_time(readings: DataFrame) -> DataFrame:
@@ -46,10 +52,37 @@ def trailing_readings(
     return kept
 
 
+def hourly_partials(readings: DataFrame) -> DataFrame:
+    """What the hourly rollup is merged from: per sensor, hour and band of speeds, the vehicle sum and
+    exact sums of the speeds. Partials of any parts of the readings add up to those of the whole.
+
+    Speeds are summed as the decimals they are written as, so that hours whose speeds add up to the
+    same have the same mean; `undecided` counts those that no decimal of 18 places stands for.
+    """
+    speed = F.col("avg_speed")
+    digits = F.when(F.abs(speed) < MOST_DECIMAL, speed.try_cast("decimal(38,18)"))
+    decided = digits.cast("double") == speed
+    hours = readings.withColumn("hour_bucket", hour_of(F.col("event_time")))
+    return accumulated(
+        hours,
+        HOUR,
+        "avg_speed",
+        total_vehicles=F.sum("vehicle_count"),
+        digits=F.sum(F.when(decided, digits)),
+        undecided=F.count_if(speed.isNotNull() & ~F.coalesce(decided, F.lit(False))),
+    )
+
+
+def hourly_from(partials: DataFrame) -> DataFrame:
+    """Vehicle sum and unweighted mean speed per sensor and hour, of one partial for each band. Where
+    some speed is no decimal, the mean is that of the doubles."""
+    sums = with_means(partials, HOUR, "exact", *HOUR_SUMS)
+    decimal = F.try_divide(F.col("digits").cast("double"), F.col("n_values"))
+    mean = F.when(F.col("undecided") == 0, decimal).otherwise(F.col("exact"))
+    return sums.select(*HOUR, "total_vehicles", mean.alias("avg_speed"))
+
+
 def hourly_traffic(readings: DataFrame) -> DataFrame:
     """Vehicle sum and unweighted mean speed per sensor and hour. The mean is the exact one: its last
     digit decides ties of the ranking."""
-    return readings.groupBy("sensor_id", hour_of(F.col("event_time")).alias("hour_bucket")).agg(
-        F.sum("vehicle_count").alias("total_vehicles"),
-        exact_mean(F.col("avg_speed")).alias("avg_speed"),
-    )
+    return hourly_from(hourly_partials(readings))

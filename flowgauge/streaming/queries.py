@@ -1,25 +1,30 @@
 """Raw history, window aggregates and alerts as streaming queries over one parsed stream.
 
-Each query has its own checkpoint and offsets, as the outputs are independent of each other.
+Each query has its own checkpoint and offsets; what one query writes in a micro-batch becomes visible
+together.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.storagelevel import StorageLevel
 
 from flowgauge import rules
+from flowgauge.folders import Folder
 from flowgauge.operators.alerts import alert_messages
 from flowgauge.operators.ingest import keeps_contract, quarantined, valid_readings, with_watermark
-from flowgauge.operators.windows import window_congestion
-from flowgauge.sinks.batches import BatchSink
+from flowgauge.operators.windows import window_partials, windows_from
+from flowgauge.sinks.batch_log import BatchLog
+from flowgauge.sinks.batches import BatchSink, ParquetTable
+from flowgauge.sources.visibility import own_log
 
 WINDOW_SETTINGS = {
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",
@@ -54,28 +59,36 @@ def start_landing(
     alerts: BatchSink | None = None,
     pace: Pace = Pace(),
     name: str | None = None,
+    log: BatchLog | None = None,
 ) -> StreamingQuery:
     """Store every valid reading, late ones included, and set the others aside.
 
     With an alert sink the alerts leave in the same query. Each micro-batch is parsed once and kept
     while its outputs are written; a lost executor's part is read and parsed again. The source's
     limit per trigger bounds what is kept.
+
+    The log (the raw table's own, if it is a table of files) gets its entry when all outputs are
+    written, and with it they become visible together. What it tells of a batch is counted while
+    the outputs are written.
     """
+    entered = Entered(checkpoint, log or log_of(raw))
+    outputs = [
+        (raw, valid_readings, "valid", {"least": F.min("event_time"), "greatest": F.max("event_time")}),
+        (quarantine, quarantined, "broken", {}),
+        (alerts, alert_messages, "alerts", {}),
+    ]
+    wanted = [output for output in outputs if output[0] is not None]
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        own = lambda sink: of_query(sink, batch.sparkSession, checkpoint)
-        if quarantine is None and alerts is None:
-            own(raw)(valid_readings(batch), batch_id)
+        if entered.holds(batch.sparkSession, batch_id):
             return
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        if len(wanted) > 1:
+            batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            own(raw)(valid_readings(batch), batch_id)
-            if quarantine is not None:
-                own(quarantine)(quarantined(batch), batch_id)
-            if alerts is not None:
-                own(alerts)(alert_messages(batch), batch_id)
+            entered.write(batch, batch_id, wanted)
         finally:
-            batch.unpersist()
+            if len(wanted) > 1:
+                batch.unpersist()
 
     writer = parsed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land)
     return pace.apply(writer).start(queryName=name)
@@ -89,6 +102,7 @@ def start_windows(
     width: str = rules.WINDOW_WIDTH,
     pace: Pace = Pace(),
     name: str | None = None,
+    log: BatchLog | None = None,
 ) -> StreamingQuery:
     """Emit each window once, when the watermark has passed its end; later rows for it are dropped.
 
@@ -96,10 +110,13 @@ def start_windows(
     the stored history. The index of a window at a standstill is NULL, as no number would be right.
     """
     valid = parsed.filter(keeps_contract())
-    closed = window_congestion(with_watermark(valid, delay), width)
+    closed = window_partials(with_watermark(valid, delay), width)
+
+    entered = Entered(checkpoint, log or log_of(sink))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        of_query(sink, batch.sparkSession, checkpoint)(batch, batch_id)
+        if not entered.holds(batch.sparkSession, batch_id):
+            entered.write(batch, batch_id, [(sink, windows_from, "windows", {})])
 
     writer = (
         closed.writeStream.outputMode("append")
@@ -133,14 +150,50 @@ def start_alerts(
 
 def query_id(spark: SparkSession, checkpoint: str) -> str:
     """The id a query keeps over restarts, from its checkpoint."""
-    return json.loads(spark.read.text(f"{checkpoint}/metadata").head()[0])["id"]
-
-
-def of_query(sink: BatchSink, spark: SparkSession, checkpoint: str) -> BatchSink:
-    """The sink with the query's id, if it tells queries apart."""
-    if not hasattr(sink, "for_query"):
-        return sink
-    return sink.for_query(query_id(spark, checkpoint))
+    return json.loads(Folder(spark, checkpoint).text("metadata"))["id"]
+
+
+def log_of(sink: BatchSink) -> BatchLog | None:
+    """The log that readers of a table of files go by; other sinks have none."""
+    return own_log(sink.path) if isinstance(sink, ParquetTable) else None
+
+
+Output = tuple[BatchSink, Callable[[DataFrame], DataFrame], str, dict[str, Column]]
+
+
+@dataclass
+class Entered:
+    """A query's outputs and the log that they are entered in. The query's id is read once, from the
+    checkpoint, at the first batch."""
+
+    checkpoint: str
+    log: BatchLog | None
+    id: str | None = None
+
+    def query(self, spark: SparkSession) -> str:
+        self.id = self.id or query_id(spark, self.checkpoint)
+        return self.id
+
+    def holds(self, spark: SparkSession, batch_id: int) -> bool:
+        """Whether the batch was entered before the query was restarted."""
+        return self.log is not None and self.log.entry(spark, self.query(spark), batch_id) is not None
+
+    def write(self, batch: DataFrame, batch_id: int, outputs: list[Output]) -> None:
+        """Write the batch's outputs, each a sink, what makes its rows, and under which name they are
+        counted, with further facts; then enter the batch."""
+        spark, seen = batch.sparkSession, []
+        for sink, rows, name, facts in outputs:
+            counted = Observation()
+            found = rows(batch).observe(
+                counted, F.count(F.lit(1)).alias(name), *[c.alias(n) for n, c in facts.items()]
+            )
+            if hasattr(sink, "for_query"):
+                sink = sink.for_query(self.query(spark))
+            sink(found, batch_id)
+            seen.append(counted)
+        if self.log is not None:
+            facts = {key: value for counted in seen for key, value in counted.get.items()}
+            self.log.commit(spark, self.query(spark), batch_id, facts)
 
 
 @contextmanager
