@@ -128,6 +128,25 @@ SELECT sensor_id, hour_bucket, total_vehicles, round(mean_speed, 6) AS avg_speed
 """
 
 
+# The replay's slices: equal parts of the time span, but for one sensor's late readings. With slow
+# readings' messages broken in a way that their sensor decides.
+SLICED = """
+, span AS (SELECT min(event_time) AS a, max(event_time) AS b FROM s)
+, timed AS (
+  SELECT s.*, CAST(least(floor(date_diff('microsecond', a, event_time) / 1e6
+                               / (date_diff('microsecond', a, b) / 1e6 / 6)), 5) AS BIGINT) AS part
+  FROM s, span)
+, sliced AS (
+  SELECT * EXCLUDE (part), CASE WHEN part = 1 AND sensor_id = 'view' THEN 4 ELSE part END AS batch_id
+  FROM timed)
+"""
+
+BROKEN = """
+CASE sensor_id WHEN 'purchase' THEN 'vehicle_count' WHEN 'click' THEN 'vehicle_count'
+               WHEN 'view' THEN 'event_time'
+               ELSE 'sensor_id,event_time,vehicle_count,avg_speed' END"""
+
+
 def _matrix_columns() -> str:
     sensors = ["click", "error", "purchase", "signup", "view"]
     return ", ".join(
@@ -219,7 +238,45 @@ WHERE window_end <= (SELECT max(event_time) FROM kept) - INTERVAL '10 minutes'""
              AND time_bucket(INTERVAL '5 minutes', event_time) + INTERVAL '5 minutes' <= closed))
 SELECT * FROM ({WINDOWS.replace("FROM s", "FROM kept AS s")})
 WHERE window_end <= (SELECT max(event_time) FROM s) - INTERVAL '10 minutes'""",
+        "windows_closed_and_open": S
+        + f"""
+, span AS (SELECT min(event_time) AS a, max(event_time) AS b FROM s)
+, sliced AS (
+  SELECT s.*, least(floor(date_diff('microsecond', a, event_time) / 1e6
+                          / (date_diff('microsecond', a, b) / 1e6 / 6)), 5) AS part
+  FROM s, span)
+, mark AS (
+  SELECT max(event_time) - INTERVAL '10 minutes' AS closed FROM sliced WHERE part <= 3)
+, kept AS (
+  SELECT sliced.* FROM sliced, mark
+  WHERE NOT (part = 1 AND sensor_id = 'view'
+             AND time_bucket(INTERVAL '5 minutes', event_time) + INTERVAL '5 minutes' <= closed))
+SELECT *, window_end <= (SELECT max(event_time) FROM s) - INTERVAL '10 minutes' AS closed
+FROM ({WINDOWS.replace("FROM s", "FROM kept AS s")})""",
+        "landed_outputs": S
+        + SLICED
+        + f"""
+SELECT 'raw' AS output, batch_id, sensor_id AS name, count(*) AS n
+FROM sliced WHERE avg_speed >= 10 GROUP BY ALL
+UNION ALL
+SELECT 'quarantine' AS output, batch_id, {BROKEN} AS name, count(*) AS n
+FROM sliced WHERE avg_speed < 10 AND sensor_id <> 'signup' GROUP BY ALL
+UNION ALL
+SELECT 'alerts' AS output, batch_id, sensor_id AS name, count(*) AS n
+FROM sliced WHERE avg_speed < 10 AND sensor_id NOT IN ('signup', 'error') GROUP BY ALL""",
+        "batch_counts": S
+        + SLICED
+        + """
+, counted AS (
+  SELECT batch_id, count(*) FILTER (WHERE avg_speed >= 10) AS valid,
+         count(*) FILTER (WHERE avg_speed < 10 AND sensor_id <> 'signup') AS broken,
+         count(*) FILTER (WHERE avg_speed < 10 AND sensor_id NOT IN ('signup', 'error')) AS alerts,
+         min(event_time) FILTER (WHERE avg_speed >= 10) AS least,
+         max(event_time) FILTER (WHERE avg_speed >= 10) AS greatest
+  FROM sliced GROUP BY batch_id)
+SELECT *, max(greatest) OVER (ORDER BY batch_id) AS newest FROM counted""",
         "report_from_raw": R + REPORT_SELECT,
+        "report_from_partials": R + REPORT_SELECT,
         "critical_alerts": S + f"SELECT {ALERT_VALUE} AS value FROM s WHERE avg_speed < 10",
         "critical_alerts_stream": S + f"SELECT {ALERT_VALUE} AS value FROM s WHERE avg_speed < 10",
         "alerts_readback": S

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,24 +21,43 @@ from flowgauge.operators.ingest import (
     valid_readings,
 )
 from flowgauge.operators.ranking import dense_rank_by_score, scored
-from flowgauge.operators.rollup import hourly_traffic, latest_event_time, trailing_readings
+from flowgauge.operators.rollup import (
+    hourly_traffic,
+    latest_event_time,
+    merged_partials,
+    trailing_readings,
+)
 from flowgauge.operators.windows import window_congestion
 from flowgauge.plans.report import CongestionReport, congestion_report
+from flowgauge.plans.report import report_from_partials as report_of_partials
 from flowgauge.session import in_utc, materialise, scratch_path
-from flowgauge.sinks.batches import quarantine_parquet, raw_parquet, window_parquet
+from flowgauge.sinks.batch_log import BatchLog
+from flowgauge.sinks.batches import (
+    BatchSink,
+    TextMessages,
+    partials_parquet,
+    quarantine_parquet,
+    raw_parquet,
+    window_parquet,
+)
 from flowgauge.sinks.compaction import compact_day
 from flowgauge.sinks.report_files import read_csv, write_csv
 from flowgauge.sources.messages import MessageFiles
+from flowgauge.sources.state import open_windows
 from flowgauge.sources.tables import (
+    alert_table,
     as_messages,
     event_readings,
+    newest_of,
+    quarantine_table,
     raw_dates,
     raw_table,
     stream_event_readings,
+    trailing_partials,
     trailing_raw,
     window_table,
 )
-from flowgauge.sources.visibility import own_log
+from flowgauge.sources.visibility import own_log, snapshot
 from flowgauge.streaming.queries import Pace, start_alerts, start_landing, start_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,6 +209,117 @@ def window_congestion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows, "avg_speed", "congestion_index")
 
 
+@registered
+def windows_closed_and_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of the same replay, and those that are open after it, from the query's state."""
+    place = scratch_path(spark, "open")
+    replay = Replay(spark, sf_dir, f"{place}/in")
+    for part in (range(0, 3), range(3, SLICES)):
+        replay.deliver(part)
+        start_windows(
+            parse_messages(MessageFiles(f"{place}/in", max_files_per_trigger=FILES).stream(spark)),
+            window_parquet(f"{place}/windows"),
+            f"{place}/checkpoint",
+            pace=ONCE,
+        ).awaitTermination()
+    closed = window_table(spark, f"{place}/windows").select(*schemas.WINDOW_COLUMNS)
+    still_open = open_windows(spark, f"{place}/checkpoint")
+    both = closed.withColumn("closed", F.lit(True)).unionByName(
+        still_open.withColumn("closed", F.lit(False))
+    )
+    return rounded(both, "avg_speed", "congestion_index")
+
+
+# --- micro-batches ------------------------------------------------------------------------------
+
+
+class Fails:
+    """A sink that fails in one batch after it has written it, as a driver may between two outputs."""
+
+    def __init__(self, sink: BatchSink, batch: int) -> None:
+        self.sink, self.batch = sink, batch
+
+    def for_query(self, query_id: str) -> Fails:
+        return Fails(self.sink.for_query(query_id), self.batch)
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        self.sink(rows, batch_id)
+        if batch_id == self.batch:
+            raise InterruptedError(f"batch {batch_id} is cut off")
+
+
+def landed_over_a_crash(spark: SparkSession, sf_dir: str, place: str) -> BatchLog:
+    """Faulty messages in order of time, a slice per micro-batch. The driver goes down in the third
+    batch when its messages set aside, but neither its alerts nor its partials, are written."""
+    replay = Replay(spark, sf_dir, f"{place}/in", faulty)
+    replay.deliver(range(SLICES))
+    log = own_log(f"{place}/raw")
+    for quarantine in (Fails(quarantine_parquet(f"{place}/quarantine"), 2), quarantine_parquet(f"{place}/quarantine")):
+        query = start_landing(
+            parse_messages(MessageFiles(f"{place}/in", max_files_per_trigger=FILES).stream(spark)),
+            raw_parquet(f"{place}/raw"),
+            f"{place}/checkpoint",
+            quarantine=quarantine,
+            alerts=TextMessages(f"{place}/alerts"),
+            partials=partials_parquet(f"{place}/partials"),
+            pace=ONCE,
+            log=log,
+        )
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            spark.streams.resetTerminated()
+    return log
+
+
+@registered
+def landed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crashed and resumed landing query has stored, set aside and alerted, as of the same
+    micro-batches: readings and alerts by sensor, broken messages by what they lack."""
+    place = scratch_path(spark, "landed")
+    landed_over_a_crash(spark, sf_dir, place)
+    seen = snapshot(spark, f"{place}/raw")
+    by_sensor = F.col("sensor_id").alias("name")
+    outputs = [
+        ("raw", raw_table(spark, f"{place}/raw", seen=seen).select("batch_id", by_sensor)),
+        ("quarantine", quarantine_table(spark, f"{place}/quarantine", seen).select("batch_id", F.col("missing").alias("name"))),
+        ("alerts", parse_alerts(alert_table(spark, f"{place}/alerts", seen), "batch_id").select("batch_id", by_sensor)),
+    ]
+    every = reduce(DataFrame.unionByName, [rows.withColumn("output", F.lit(kind)) for kind, rows in outputs])
+    return every.groupBy("output", "batch_id", "name").agg(F.count("*").alias("n"))
+
+
+@registered
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log of that query tells of every micro-batch: messages stored, set aside and alerted,
+    the least and greatest event time, and the newest so far."""
+    place = scratch_path(spark, "counted")
+    entries = landed_over_a_crash(spark, sf_dir, place).table(spark)
+    return entries.select("batch_id", "valid", "broken", "alerts", "least", "greatest", "newest")
+
+
+@registered
+def report_from_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from hourly partials that the stream keeps, over late readings and a restart, the
+    newest date's folded together before."""
+    place = scratch_path(spark, "partials")
+    replay = Replay(spark, sf_dir, f"{place}/in")
+    for part in (range(0, 3), range(3, SLICES)):
+        replay.deliver(part)
+        start_landing(
+            parse_messages(MessageFiles(f"{place}/in", max_files_per_trigger=FILES).stream(spark)),
+            raw_parquet(f"{place}/raw"),
+            f"{place}/checkpoint",
+            partials=partials_parquet(f"{place}/partials"),
+            pace=ONCE,
+        ).awaitTermination()
+    table, committed = partials_parquet(f"{place}/partials"), own_log(f"{place}/raw").committed(spark)
+    newest = newest_of(spark, f"{place}/raw")
+    compact_day(spark, table, schemas.HOURLY_PARTIALS, newest.date(), committed, merged_partials)
+    parts = trailing_partials(spark, f"{place}/raw", f"{place}/partials", newest)
+    return rounded(report_of_partials(*parts).rows, "avg_speed", "congestion_score")
+
+
 # --- alerts -------------------------------------------------------------------------------------
 
 

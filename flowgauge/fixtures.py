@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +53,22 @@ class Replay:
     """All readings as messages in order of time, a slice per micro-batch, but for one sensor's
     readings of the second slice, which come with the second last."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, place: str) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        place: str,
+        encode: Callable[[DataFrame], DataFrame] = as_messages,
+    ) -> None:
         readings = event_readings(spark, sf_dir)
         part = slice_of(readings)
         late = (part == 1) & (F.col("sensor_id") == SENSORS[-1])
         self.readings = readings.withColumn("slice", F.when(late, SLICES - 2).otherwise(part))
         self.place = place
+        self.encode = encode
 
     def deliver(self, slices: range) -> None:
         """Write slices, each as the same number of files, newer than those of the one before."""
         for n in slices:
-            rows = as_messages(self.readings.filter(F.col("slice") == n)).repartition(FILES)
-            rows.write.mode("append").text(self.place)
+            rows = self.encode(self.readings.filter(F.col("slice") == n)).repartition(FILES)
+            rows.filter("value IS NOT NULL").write.mode("append").text(self.place)

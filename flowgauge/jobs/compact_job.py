@@ -12,9 +12,17 @@ from pyspark.sql import SparkSession
 
 from flowgauge import schemas
 from flowgauge.folders import Folder
+from flowgauge.operators.rollup import merged_partials
 from flowgauge.session import BATCH_DEFAULTS, job_session
-from flowgauge.sinks.batches import raw_parquet, window_parquet
-from flowgauge.sinks.compaction import GRACE_SECONDS, committed_batch, compact_day, sweep_day
+from flowgauge.sinks.batch_log import BatchLog
+from flowgauge.sinks.batches import partials_parquet, raw_parquet, window_parquet
+from flowgauge.sinks.compaction import (
+    GRACE_SECONDS,
+    as_they_are,
+    committed_batch,
+    compact_day,
+    sweep_day,
+)
 from flowgauge.sources.visibility import own_log
 from flowgauge.streaming.queries import query_id
 
@@ -24,6 +32,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     table = parser.add_mutually_exclusive_group(required=True)
     table.add_argument("--raw", help="directory of the raw table")
     table.add_argument("--windows", help="directory of the window table")
+    table.add_argument("--partials", help="directory of the hourly partials")
+    parser.add_argument("--log", help="log of the query, if it is not in the table's directory")
     parser.add_argument(
         "--checkpoint", action="append", default=[], help="of a query whose batches no log has"
     )
@@ -34,20 +44,28 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         default=GRACE_SECONDS / 3600,
         help="how long replaced files stay for readers that began before",
     )
-    return parser.parse_args(argv)
+    chosen = parser.parse_args(argv)
+    if chosen.partials and not chosen.log:
+        parser.error("partials need --log, that of the raw table")
+    return chosen
 
 
 def compact(spark: SparkSession, chosen: argparse.Namespace) -> list[date]:
     """The dates that were compacted. What earlier runs replaced is removed, where it is old enough."""
+    fold = as_they_are
     if chosen.raw:
         table, schema = raw_parquet(chosen.raw), schemas.RAW_TABLE
-    else:
+    elif chosen.windows:
         table, schema = window_parquet(chosen.windows), schemas.WINDOW_TABLE
+    else:
+        table, schema = partials_parquet(chosen.partials), schemas.HOURLY_PARTIALS
+        fold = merged_partials
+    log = BatchLog(chosen.log) if chosen.log else own_log(table.path)
     committed = {query_id(spark, c): committed_batch(spark, c) for c in chosen.checkpoint}
-    committed |= own_log(table.path).committed(spark)
+    committed |= log.committed(spark)
     names = Folder(spark, table.path).values(table.date_column)
     closed = [d for d in map(date.fromisoformat, names) if d < chosen.before]
-    done = [d for d in closed if compact_day(spark, table, schema, d, committed)]
+    done = [d for d in closed if compact_day(spark, table, schema, d, committed, fold)]
     for day in closed:
         sweep_day(spark, table, day, 3600 * chosen.grace_hours)
     return done

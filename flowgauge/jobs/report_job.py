@@ -15,14 +15,16 @@ from pyspark.sql import SparkSession
 
 from flowgauge import rules
 from flowgauge.folders import Folder
-from flowgauge.plans.report import CongestionReport, congestion_report
+from flowgauge.plans.report import CongestionReport, congestion_report, report_from_partials
 from flowgauge.session import BATCH_DEFAULTS, job_session
 from flowgauge.sinks.report_files import publish, report_dir, utc_today, write_csv
 from flowgauge.sources.tables import (
     jdbc_newest,
     jdbc_options,
     jdbc_readings,
+    newest_of,
     no_readings,
+    trailing_partials,
     trailing_raw,
 )
 
@@ -32,6 +34,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     source = parser.add_mutually_exclusive_group(required=True)
     source.add_argument("--raw", help="directory of the raw table")
     source.add_argument("--raw-table", help="database table of the raw readings")
+    parser.add_argument("--partials", help="directory of the hourly partials, to read in place of --raw")
     parser.add_argument("--out", required=True, help="reports go to <out>/report_date=<day>")
     parser.add_argument("--day", type=date.fromisoformat, help="name of the report; today in UTC")
     parser.add_argument("--sensors", nargs="+", help="write the matrix by these columns as well")
@@ -43,10 +46,17 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     chosen = parser.parse_args(argv)
     if chosen.raw_table and not chosen.jdbc_url:
         parser.error("a database table needs --jdbc-url")
+    if chosen.partials and not chosen.raw:
+        parser.error("partials need --raw, whose log they share")
     return chosen
 
 
 def report_of(spark: SparkSession, chosen: argparse.Namespace) -> CongestionReport:
+    if chosen.partials:
+        newest = newest_of(spark, chosen.raw)
+        if newest is None:
+            return congestion_report(no_readings(spark))
+        return report_from_partials(*trailing_partials(spark, chosen.raw, chosen.partials, newest))
     if chosen.raw:
         rows, newest = trailing_raw(spark, chosen.raw)
         return congestion_report(rows, date_column="event_date", newest=newest)

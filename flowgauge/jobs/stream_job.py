@@ -21,6 +21,7 @@ from flowgauge.sinks.batches import (
     JdbcTable,
     TextMessages,
     TopicMessages,
+    partials_parquet,
     quarantine_parquet,
     raw_parquet,
     window_parquet,
@@ -51,6 +52,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     alerts = parser.add_mutually_exclusive_group(required=True)
     alerts.add_argument("--alert-topic", help="Kafka topic of the alerts")
     alerts.add_argument("--alert-files", help="directory of alert text files instead of a topic")
+    parser.add_argument("--partials", help="directory of hourly partials, for reports")
     parser.add_argument("--quarantine", required=True, help="directory of rejected messages")
 
     parser.add_argument("--jdbc-url")
@@ -71,6 +73,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     chosen = parser.parse_args(argv)
     if (chosen.topic or chosen.alert_topic) and not chosen.servers:
         parser.error("a topic needs --servers")
+    if chosen.partials and not chosen.raw:
+        parser.error("partials need --raw, whose log they share")
     if (chosen.raw_table or chosen.window_table) and not chosen.jdbc_url:
         parser.error("a database table needs --jdbc-url")
     return chosen
@@ -113,6 +117,7 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
             f"{chosen.checkpoints}/raw",
             quarantine=quarantine_parquet(chosen.quarantine),
             alerts=shared,
+            partials=partials_parquet(chosen.partials) if chosen.partials else None,
             pace=pace,
             name="raw",
             log=own_log(chosen.raw or chosen.quarantine),

@@ -25,10 +25,11 @@ def alert_messages(readings: DataFrame, below: float = rules.ALERT_SPEED_BELOW)
     return critical_readings(readings, below).select(alert_json(*fields).alias("value"))
 
 
-def parse_alerts(messages: DataFrame) -> DataFrame:
-    """Alerts read back from their JSON text."""
+def parse_alerts(messages: DataFrame, *carry: str) -> DataFrame:
+    """Alerts read back from their JSON text, with the columns `carry` of the messages."""
     fields = F.inline(F.array(F.from_json(F.col("value").cast("string"), schemas.ALERT)))
-    return messages.select(fields).select(
+    return messages.select(*carry, fields).select(
+        *carry,
         "sensor_id",
         zoneless(from_iso(F.col("timestamp"))).alias("event_time"),
         "avg_speed",

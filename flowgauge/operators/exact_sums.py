@@ -23,7 +23,6 @@ LOWEST, HIGHEST = -34, 31
 # The accumulator of a group and band: sums of the three parts, of values that are no finite numbers,
 # and the number of values. `band` is null only for a group without values.
 SUMS = ["high", "middle", "low", "odd", "n_values"]
-ACCUMULATOR = "band INT, high BIGINT, middle BIGINT, low BIGINT, odd DOUBLE, n_values BIGINT"
 
 
 def power(exponent: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowgauge import rules
 from flowgauge.functions.timestamps import hour_of, literal_date, literal_time
-from flowgauge.operators.exact_sums import accumulated, with_means
+from flowgauge.operators.exact_sums import accumulated, merged, with_means
 
 HOUR = ["sensor_id", "hour_bucket"]
 HOUR_SUMS = ["total_vehicles", "digits", "undecided"]
@@ -82,6 +82,11 @@ def hourly_from(partials: DataFrame) -> DataFrame:
     return sums.select(*HOUR, "total_vehicles", mean.alias("avg_speed"))
 
 
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """Partials of several micro-batches as one for each sensor, hour and band."""
+    return merged(partials, HOUR, *HOUR_SUMS)
+
+
 def hourly_traffic(readings: DataFrame) -> DataFrame:
     """Vehicle sum and unweighted mean speed per sensor and hour. The mean is the exact one: its last
     digit decides ties of the ranking."""

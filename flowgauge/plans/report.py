@@ -12,7 +12,14 @@ from flowgauge import rules, schemas
 from flowgauge.operators.charts import display_table, hour_ticks, hourly_matrix, sensor_matrix
 from flowgauge.operators.labels import with_labels
 from flowgauge.operators.ranking import dense_rank_by_score, peak_hours, scored
-from flowgauge.operators.rollup import hourly_traffic, newest_reading, trailing_readings
+from flowgauge.operators.rollup import (
+    hourly_from,
+    hourly_partials,
+    hourly_traffic,
+    merged_partials,
+    newest_reading,
+    trailing_readings,
+)
 from flowgauge.session import Scratch
 
 
@@ -73,3 +80,14 @@ def congestion_report(
         return CongestionReport(spark.createDataFrame([], schemas.HOURLY), hours, scratch)
     recent = trailing_readings(readings, hours, date_column, newest)
     return CongestionReport(scratch.keep(hourly_traffic(recent)), hours, scratch)
+
+
+def report_from_partials(
+    partials: DataFrame, edge: DataFrame, hours: int = rules.TRAILING_HOURS
+) -> CongestionReport:
+    """The same report from the hourly partials of whole hours, and the readings of the hour that the
+    trailing bound cuts: what it reads grows with the sensors, not with the readings."""
+    scratch = Scratch(partials.sparkSession)
+    first = hourly_partials(edge)
+    every = merged_partials(partials.select(*first.columns).unionByName(first))
+    return CongestionReport(scratch.keep(hourly_from(every)), hours, scratch)

@@ -33,6 +33,14 @@ WINDOW_COLUMNS = [
 ]
 WINDOW_TABLE = f"{WINDOW}, window_date DATE, query_id STRING, batch_id BIGINT"
 
+# Sums that an hour's rollup is merged from, one row for each micro-batch, sensor, hour and band of
+# speeds; hours are partitioned by date like the readings.
+HOURLY_PARTIALS = (
+    "sensor_id STRING, hour_bucket TIMESTAMP_NTZ, band INT, high BIGINT, middle BIGINT, low BIGINT, "
+    "odd DOUBLE, n_values BIGINT, total_vehicles BIGINT, digits DECIMAL(38,18), undecided BIGINT, "
+    "hour_date DATE, query_id STRING, batch_id BIGINT"
+)
+
 HOURLY = "sensor_id STRING, hour_bucket TIMESTAMP_NTZ, total_vehicles BIGINT, avg_speed DOUBLE"
 
 REPORT = (

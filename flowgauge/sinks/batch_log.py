@@ -21,7 +21,7 @@ PER_FOLDER = 1000
 
 ENTRY = (
     "query_id STRING, batch_id BIGINT, since BIGINT, valid BIGINT, broken BIGINT, alerts BIGINT, "
-    "windows BIGINT, least STRING, greatest STRING, newest STRING"
+    "partials BIGINT, windows BIGINT, least STRING, greatest STRING, newest STRING"
 )
 
 

@@ -68,6 +68,10 @@ def window_parquet(path: str) -> ParquetTable:
     return ParquetTable(path, "window_start", "window_date", ("sensor_id", "window_start"))
 
 
+def partials_parquet(path: str) -> ParquetTable:
+    return ParquetTable(path, "hour_bucket", "hour_date", ("sensor_id", "hour_bucket", "band"))
+
+
 def quarantine_parquet(path: str) -> ParquetTable:
     return ParquetTable(path)
 

@@ -9,9 +9,10 @@ replaced goes in a later run, when no reader can have begun before the mark.
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.folders import Folder
@@ -28,15 +29,24 @@ def committed_batch(spark: SparkSession, checkpoint: str) -> int:
     return max((int(n) for n in done if n.isdigit()), default=-1)
 
 
+def as_they_are(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 def compact_day(
-    spark: SparkSession, table: ParquetTable, schema: str, day: date, committed: dict[str, int]
+    spark: SparkSession,
+    table: ParquetTable,
+    schema: str,
+    day: date,
+    committed: dict[str, int],
+    fold: Callable[[DataFrame], DataFrame] = as_they_are,
 ) -> bool:
     """Write one date of a table as sorted files that stand for its finished batches; False if none
     has come in since the last time, or another run was faster.
 
     `committed` says, per query id, the last finished batch: later ones, which may be being written,
     and batches of other queries are left as they are. A run that is cut off leaves files that never
-    count.
+    count. `fold` makes fewer rows that stand for the same, as of partial sums.
     """
     name, marks = day.isoformat(), Marks(spark, table.path)
     place = Folder(spark, f"{table.path}/{table.date_column}={name}")
@@ -55,7 +65,7 @@ def compact_day(
     rows = stored.filter(wanted & (F.col("query_id").isin([COMPACTED, *fresh])))
     output = secrets.randbits(62)
     built = place / f"query_id={COMPACTED}" / f"batch_id={output}"
-    rows = rows.drop(table.date_column, "query_id", "batch_id")
+    rows = fold(rows.drop(table.date_column, "query_id", "batch_id"))
     rows.orderBy(*table.sort_by).write.parquet(built.path)
     if marks.add(name, Mark(earlier.number + 1, output, earlier.folded | fresh)):
         return True

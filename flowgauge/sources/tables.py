@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from flowgauge import rules, schemas
 from flowgauge.folders import Folder
+from flowgauge.functions.timestamps import literal_time
 from flowgauge.functions.wire import json_int, reading_json
 from flowgauge.operators.rollup import newest_reading
-from flowgauge.sources.visibility import Snapshot, own_log, snapshot
+from flowgauge.sources.visibility import Snapshot, own_log, snapshot, snapshots
 
 EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
@@ -103,6 +104,36 @@ def trailing_raw(
     return raw_table(spark, path, [d for d in dates if d >= first]), newest
 
 
+def newest_of(spark: SparkSession, path: str) -> datetime | None:
+    """The newest event time of the raw table, None without readings."""
+    return own_log(path).newest(spark) or trailing_raw(spark, path)[1]
+
+
+def trailing_partials(
+    spark: SparkSession, raw: str, partials: str, newest: datetime, hours: int = rules.TRAILING_HOURS
+) -> tuple[DataFrame, DataFrame]:
+    """(hourly partials of the whole hours of the trailing ones, readings of the hour that their bound
+    cuts), as of the same micro-batches. No other reading is read, and no other date is listed."""
+    since = newest - timedelta(hours=hours)
+    cut = since.replace(minute=0, second=0, microsecond=0)
+    whole = cut if cut == since else cut + timedelta(hours=1)
+    days = [since.date() + timedelta(days=n) for n in range((newest.date() - since.date()).days + 1)]
+    seen_raw, seen = snapshots(spark, [raw, partials], own_log(raw), days)
+    reader = spark.read.schema(schemas.HOURLY_PARTIALS).option("basePath", partials)
+    stored = [f"{partials}/hour_date={d.isoformat()}" for d in days]
+    there = [path for path in stored if Folder(spark, path).exists()]
+    kept = reader.parquet(*there) if there else spark.createDataFrame([], schemas.HOURLY_PARTIALS)
+    if there:
+        kept = kept.filter(seen.visible("hour_date"))
+    kept = kept.filter(F.col("hour_bucket") >= literal_time(whole))
+    if whole == cut or since.date() not in raw_dates(spark, raw):
+        return kept, no_readings(spark)
+    edge = raw_table(spark, raw, [since.date()], seen_raw).filter(
+        (F.col("event_time") >= literal_time(since)) & (F.col("event_time") < literal_time(whole))
+    )
+    return kept, edge.select(*schemas.READING_COLUMNS)
+
+
 def window_table(spark: SparkSession, path: str, seen: Snapshot | None = None) -> DataFrame:
     """The windows that count."""
     seen = seen or snapshot(spark, path)

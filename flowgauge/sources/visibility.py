@@ -126,11 +126,19 @@ def own_log(table: str) -> BatchLog:
 def snapshot(
     spark: SparkSession, table: str, log: BatchLog | None = None, days: list[date] | None = None
 ) -> Snapshot:
-    """What counts of a table now, of some dates alone if they are given.
+    """What counts of a table now, of some dates alone if they are given."""
+    return snapshots(spark, [table], log or own_log(table), days)[0]
+
+
+def snapshots(
+    spark: SparkSession, tables: list[str], log: BatchLog, days: list[date] | None = None
+) -> list[Snapshot]:
+    """The same of tables that one query writes, so that they agree on the batches.
 
     Marks before the log: a batch that a mark replaces is then in the log as well, so that no batch
     is seen in part. Replaced batches stay for a while, so files listed later are still there.
     """
-    marks = Marks(spark, table).latest(None if days is None else [d.isoformat() for d in days])
-    log = log or own_log(table)
-    return Snapshot(log.committed(spark) if log.exists(spark) else None, marks)
+    named = None if days is None else [d.isoformat() for d in days]
+    marks = [Marks(spark, table).latest(named) for table in tables]
+    committed = log.committed(spark) if log.exists(spark) else None
+    return [Snapshot(committed, m) for m in marks]

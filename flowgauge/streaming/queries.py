@@ -21,6 +21,7 @@ from flowgauge import rules
 from flowgauge.folders import Folder
 from flowgauge.operators.alerts import alert_messages
 from flowgauge.operators.ingest import keeps_contract, quarantined, valid_readings, with_watermark
+from flowgauge.operators.rollup import hourly_partials
 from flowgauge.operators.windows import window_partials, windows_from
 from flowgauge.sinks.batch_log import BatchLog
 from flowgauge.sinks.batches import BatchSink, ParquetTable
@@ -57,13 +58,15 @@ def start_landing(
     checkpoint: str,
     quarantine: BatchSink | None = None,
     alerts: BatchSink | None = None,
+    partials: BatchSink | None = None,
     pace: Pace = Pace(),
     name: str | None = None,
     log: BatchLog | None = None,
 ) -> StreamingQuery:
     """Store every valid reading, late ones included, and set the others aside.
 
-    With an alert sink the alerts leave in the same query. Each micro-batch is parsed once and kept
+    With an alert sink the alerts leave in the same query; with one for partials, so do the sums that
+    the hourly rollup is merged from, to which late readings and replays add what they should. Each micro-batch is parsed once and kept
     while its outputs are written; a lost executor's part is read and parsed again. The source's
     limit per trigger bounds what is kept.
 
@@ -76,6 +79,7 @@ def start_landing(
         (raw, valid_readings, "valid", {"least": F.min("event_time"), "greatest": F.max("event_time")}),
         (quarantine, quarantined, "broken", {}),
         (alerts, alert_messages, "alerts", {}),
+        (partials, lambda rows: hourly_partials(valid_readings(rows)), "partials", {}),
     ]
     wanted = [output for output in outputs if output[0] is not None]
 

@@ -1,0 +1,160 @@
+"""Reports from hourly partials, and windows that are still open."""
+
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowgauge import schemas
+from flowgauge.jobs import compact_job, report_job, stream_job
+from flowgauge.operators.ingest import parse_messages
+from flowgauge.operators.rollup import hourly_from, hourly_partials, hourly_traffic, merged_partials
+from flowgauge.operators.windows import window_congestion
+from flowgauge.plans.report import congestion_report, report_from_partials
+from flowgauge.sinks.batches import partials_parquet, raw_parquet, window_parquet
+from flowgauge.sources.messages import MessageFiles
+from flowgauge.sources.state import open_windows
+from flowgauge.sources.tables import newest_of, raw_table, trailing_partials, trailing_raw
+from flowgauge.streaming.queries import Pace, start_landing, start_windows
+from tests.helpers import MessageDir, at, message, readings, same_rows, tuples
+
+ONCE = Pace(available_now=True)
+
+
+class Lake:
+    def __init__(self, spark, tmp_path):
+        self.spark, self.files = spark, MessageDir(tmp_path / "messages")
+        self.raw, self.partials = str(tmp_path / "raw"), str(tmp_path / "partials")
+        self.checkpoint = str(tmp_path / "checkpoint")
+
+    def land(self, *batches):
+        for lines in batches:
+            self.files.add(lines)
+        parsed = parse_messages(MessageFiles(str(self.files.path), max_files_per_trigger=1).stream(self.spark))
+        sinks = {"raw": raw_parquet(self.raw), "partials": partials_parquet(self.partials)}
+        start_landing(parsed, checkpoint=self.checkpoint, pace=ONCE, **sinks).awaitTermination()
+
+    def reports(self):
+        """(from partials, from the readings)"""
+        newest = newest_of(self.spark, self.raw)
+        parts = report_from_partials(*trailing_partials(self.spark, self.raw, self.partials, newest))
+        rows, latest = trailing_raw(self.spark, self.raw)
+        whole = congestion_report(rows, date_column="event_date", newest=latest)
+        assert latest == newest
+        return [(tuples(r.hourly), tuples(r.rows)) for r in (parts, whole)]
+
+    def agree(self):
+        parts, whole = self.reports()
+        same_rows(parts[0], whole[0])
+        same_rows(parts[1], whole[1])
+        return parts
+
+
+DAY, NEXT = "2026-05-08", "2026-05-09"
+
+
+@pytest.mark.parametrize("newest", ["17:20:00", "17:00:00", "00:00:00", "17:59:59.999999"])
+def test_reports_agree_wherever_the_bound_cuts(spark, tmp_path, newest):
+    """The bound lies within an hour, on an hour, or on midnight; the second batch is late."""
+    lake = Lake(spark, tmp_path)
+    times = ["16:59:59", "17:00:00", "17:19:59.999999", "17:20:00", "17:40:00", "18:10:00", "23:59:59", "00:00:00"]
+    early = [message(s, t, n, 20.1 + n / 3, DAY) for n, t in enumerate(times) for s in ("a", "b")]
+    lake.land(early[::2], [message("a", newest, 9, 33.3, NEXT), message("b", "00:30:00", 4, 0.0, DAY)])
+    lake.agree()
+    lake.land(early[1::2], [message("a", "18:30:00", 1, 7.7, DAY)])
+    hourly, _ = lake.agree()
+    assert len(hourly) > 3
+
+
+def test_reports_agree_after_compaction_and_a_lost_note(spark, tmp_path):
+    lake = Lake(spark, tmp_path)
+    for n in range(3):
+        lake.files.add([message("a", f"1{n}:3{n}:00", n, 10.1 * n, d) for d in (DAY, NEXT)])
+    lake.land()
+    before = lake.agree()
+    for name in ("2", ".2.crc"):
+        (tmp_path / "checkpoint/commits" / name).unlink()
+    argv = ["--partials", lake.partials, "--log", f"{lake.raw}/_log", "--before", "2026-05-10", "--grace-hours", "0"]
+    for _ in range(2):
+        compact_job.compact(spark, compact_job.arguments(argv))
+    assert len(list((tmp_path / f"partials/hour_date={DAY}").rglob("*.parquet"))) == 1
+    lake.land()
+    after = lake.agree()
+    same_rows(after[0], before[0])
+    lake.land([message("late", "23:00:00", 5, 5.0, DAY)])
+    assert len(lake.agree()[0]) == len(before[0]) + 1
+
+
+def test_only_the_readings_of_one_hour_are_read(spark, tmp_path):
+    lake = Lake(spark, tmp_path)
+    lake.land([message("a", f"{h:02d}:30:00", h, 1.0, d) for h in range(24) for d in ("2026-05-07", DAY, NEXT)])
+    newest = newest_of(spark, lake.raw)
+    partials, edge = trailing_partials(spark, lake.raw, lake.partials, newest)
+    assert "/raw/" not in "".join(partials.inputFiles())
+    assert {f.split("event_date=")[1][:10] for f in edge.inputFiles()} == {DAY}
+    plan = edge._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_time,2026" in plan
+    assert [r.event_time for r in edge.collect()] == [at("23:30:00", DAY)]
+    assert {str(d)[:10] for d in partials.select("hour_date").distinct().toPandas()["hour_date"]} == {NEXT}
+
+
+def test_reports_without_partials_of_a_date(spark, tmp_path):
+    lake = Lake(spark, tmp_path)
+    lake.land([message("a", "10:00:00", 1, 2.0)])
+    lake.agree()
+    chosen = report_job.arguments(["--raw", lake.raw, "--partials", lake.partials, "--out", "unused"])
+    assert tuples(report_job.report_of(spark, chosen).rows) == lake.reports()[1][1]
+    empty = report_job.arguments(["--raw", str(tmp_path / "no"), "--partials", lake.partials, "--out", "unused"])
+    assert report_job.report_of(spark, empty).is_empty()
+
+
+def test_job_writes_partials(spark, tmp_path):
+    files = MessageDir(tmp_path / "messages")
+    files.add([message("a", "10:00:00", 1, 2.0), message("a", "10:30:00", 3, 4.0)])
+    argv = ["--message-files", str(files.path), "--raw", str(tmp_path / "raw"), "--windows", str(tmp_path / "w"),
+            "--alert-files", str(tmp_path / "a"), "--quarantine", str(tmp_path / "q"), "--share-parse", "--available-now",
+            "--checkpoints", str(tmp_path / "c"), "--partials", str(tmp_path / "partials")]
+    for query in stream_job.start(spark, stream_job.arguments(argv)):
+        query.awaitTermination()
+    chosen = report_job.arguments(["--raw", str(tmp_path / "raw"), "--partials", str(tmp_path / "partials"), "--out", "o"])
+    assert [tuple(r)[:4] for r in report_job.report_of(spark, chosen).hourly.collect()] == [("a", at("10:00:00"), 4, 3.0)]
+
+
+def test_partials_of_any_parts_add_up(spark):
+    """Speeds with and without a decimal of 18 places, null counts and speeds, hours without either."""
+    rows = [("a", f"10:0{n}:00", n, v) for n, v in enumerate([0.1, 0.2, 1e-30, 3e20, float("inf")])]
+    rows += [("b", "10:00:00", None, 2.5), ("b", "10:01:00", 3, None), ("c", "11:00:00", None, None), ("d", "10:00:00", 1, 1 / 3)]
+    rows += [("e", f"12:{n:02d}:00", 1, 0.1 * n) for n in range(30)]
+    whole = tuples(hourly_traffic(readings(spark, *rows)))
+    for cut in (1, 4, 7, 20):
+        parts = [hourly_partials(readings(spark, *part)) for part in (rows[:cut], rows[cut:])]
+        same_rows(tuples(hourly_from(merged_partials(parts[1].unionByName(parts[0])))), whole)
+    found = {r[0]: r[2:] for r in whole}
+    assert found["b"] == (3, 2.5) and found["c"] == (None, None) and found["d"] == (1, 1 / 3)
+    assert found["a"] == (10, float("inf"))
+
+
+def test_open_windows(spark, tmp_path):
+    files = MessageDir(tmp_path / "messages")
+    files.add([message("a", "10:01:00", 1, 0.1), message("a", "10:02:00", 2, 1e12), message("b", "10:03:00", 4, 0.0)])
+    files.add([message("a", "10:16:00", 5, 10.0), message("a", "10:03:00", 7, 3.0)])
+    files.add([message("a", "10:17:00", 6, 20.0), message("a", "10:04:00", 9, 9.0)])  # the last is late
+
+    def run():
+        parsed = parse_messages(MessageFiles(str(files.path), max_files_per_trigger=1).stream(spark))
+        start_windows(parsed, window_parquet(str(tmp_path / "w")), str(tmp_path / "c"), pace=ONCE).awaitTermination()
+
+    run()
+    assert tuples(open_windows(spark, str(tmp_path / "c"))) == [("a", at("10:15:00"), at("10:20:00"), 15.0, 11, 11 / 15.0)]
+    first = tuples(open_windows(spark, str(tmp_path / "c"), 0))
+    want = readings(spark, ("a", "10:01:00", 1, 0.1), ("a", "10:02:00", 2, 1e12), ("b", "10:03:00", 4, 0.0))
+    same_rows(first, tuples(window_congestion(want)))
+
+
+def test_dates_are_named(spark, tmp_path):
+    lake = Lake(spark, tmp_path)
+    lake.land([message("a", "10:00:00", 1, 2.0)])
+    stored = spark.read.schema(schemas.HOURLY_PARTIALS).parquet(lake.partials)
+    assert [r["hour_date"] for r in stored.collect()] == [date(2026, 5, 9)]
+    assert newest_of(spark, lake.raw) - timedelta(hours=10) == at("00:00:00")
+    assert raw_table(spark, lake.raw).filter(F.col("sensor_id") == "a").count() == 1

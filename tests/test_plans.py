@@ -13,6 +13,7 @@ EAGER_STREAMS = {
     "window_congestion_stream",
     "window_congestion_faulty_stream",
     "window_congestion_replay",
+    "windows_closed_and_open",
     "critical_alerts_stream",
 }
 
