@@ -281,25 +281,44 @@ def class_size(units: int) -> int:
 
 
 def chosen_logs(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the softmax of each row's chosen score."""
+    """Natural logarithm of the softmax of each row's chosen score. Uses the scores up."""
+    rows = np.arange(len(chosen))
+    own = scores[rows, chosen].astype(np.float64)
     top = scores.max(axis=1)
-    total = np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64)
-    return scores[np.arange(len(chosen)), chosen].astype(np.float64) - top - np.log(total)
+    # In place: the scores are not looked at again.
+    np.subtract(scores, top[:, None], out=scores)
+    np.exp(scores, out=scores)
+    return own - top - np.log(scores.sum(axis=1).astype(np.float64))
 
 
 class Adam:
+    """Steps in place, with one spare array a parameter: temporary arrays of this size would cost
+    more than the arithmetic."""
+
     def __init__(self, arrays: list[np.ndarray]) -> None:
         self.first = [np.zeros_like(a) for a in arrays]
         self.second = [np.zeros_like(a) for a in arrays]
+        self.spare = [np.zeros_like(a) for a in arrays]
         self.step = 0
 
     def apply(self, arrays: list[np.ndarray], gradients: list[np.ndarray], rate: float) -> None:
         self.step += 1
-        for a, g, m, v in zip(arrays, gradients, self.first, self.second):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            scale = np.sqrt(v / (1 - 0.999**self.step)) + 1e-8
-            a -= rate * (m / (1 - 0.9**self.step)) / scale
+        rate /= 1 - 0.9**self.step
+        grown = 1 / math.sqrt(1 - 0.999**self.step)
+        for a, g, m, v, x in zip(arrays, gradients, self.first, self.second, self.spare):
+            np.multiply(m, 0.9, out=m)
+            np.multiply(g, 0.1, out=x)
+            m += x
+            np.multiply(v, 0.999, out=v)
+            np.multiply(g, g, out=x)
+            x *= 0.001
+            v += x
+            np.sqrt(v, out=x)
+            x *= grown
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate
+            a -= x
 
 
 def contrast(
@@ -312,12 +331,16 @@ def contrast(
     expectation over all that can be drawn, which one matrix product gives.
     """
     drawn = NOISE * noise
-    odds = 1 / (1 + np.exp(np.log(drawn) - (ahead @ vectors.T + bias)))  # of data, not noise
-    pull = drawn * odds
     rows = np.arange(len(token))
-    pull[rows, token] -= 1 - odds[rows, token]
-    pull *= weights[:, None]
-    return pull @ vectors, pull.T @ ahead, pull.sum(axis=0)
+    # In one array, step by step: drawn times the odds that a unit comes from the data.
+    pull = ahead @ vectors.T
+    np.subtract(np.log(drawn) - bias, pull, out=pull)
+    np.exp(pull, out=pull)
+    pull += 1
+    np.divide(drawn, pull, out=pull)
+    pull[rows, token] -= 1 - pull[rows, token] / drawn[token]
+    column = weights[:, None]
+    return (pull @ vectors) * column, pull.T @ (ahead * column), weights @ pull
 
 
 def gradients(
