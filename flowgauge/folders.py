@@ -25,6 +25,10 @@ class Folder:
     def __truediv__(self, name: str) -> Folder:
         return Folder(self.spark, f"{self.path}/{name}")
 
+    @property
+    def name(self) -> str:
+        return self.path.rsplit("/", 1)[-1]
+
     def exists(self) -> bool:
         return self._files().exists(self._place())
 
@@ -42,13 +46,6 @@ class Folder:
     def delete(self) -> None:
         self._files().delete(self._place(), True)
 
-    def move_to(self, path: str) -> None:
-        """Rename; what is at `path` must have been moved or deleted before."""
-        target = self._place(path)
-        self._files().mkdirs(target.getParent())
-        if not self._files().rename(self._place(), target):
-            raise OSError(f"could not rename {self.path} to {path}")
-
     def age_seconds(self) -> float:
         """Seconds since the folder or file was last changed, by the file system's clock."""
         changed = self._files().getFileStatus(self._place()).getModificationTime()

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import argparse
 import os
-import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import SparkSession
 
 from flowgauge import rules
-from flowgauge.folders import Folder
 from flowgauge.plans.report import CongestionReport, congestion_report, report_from_partials
 from flowgauge.session import BATCH_DEFAULTS, job_session
-from flowgauge.sinks.report_files import publish, report_dir, utc_today, write_csv
+from flowgauge.sinks.report_files import (
+    current_report,
+    new_version,
+    publish,
+    sweep_versions,
+    utc_today,
+    write_csv,
+)
 from flowgauge.sources.tables import (
     jdbc_newest,
     jdbc_options,
@@ -35,7 +40,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     source.add_argument("--raw", help="directory of the raw table")
     source.add_argument("--raw-table", help="database table of the raw readings")
     parser.add_argument("--partials", help="directory of the hourly partials, to read in place of --raw")
-    parser.add_argument("--out", required=True, help="reports go to <out>/report_date=<day>")
+    parser.add_argument("--out", required=True, help="reports go to <out>/report_date=<day>, the current version named in _current")
     parser.add_argument("--day", type=date.fromisoformat, help="name of the report; today in UTC")
     parser.add_argument("--sensors", nargs="+", help="write the matrix by these columns as well")
     parser.add_argument("--jdbc-url")
@@ -77,21 +82,22 @@ def write_report(
     """Write the report and the data of its chart and table; nothing when there are no readings.
 
     The matrix has a row per sensor; with `sensors`, which must name them all, it is written with a
-    column per sensor as well. All parts are written aside and take the day's place together, in
-    which nothing of an earlier run is left. What the report kept is removed.
+    column per sensor as well. All parts are a version of the day's report, which counts from when
+    it is whole; `current_report` says where it is. What the report kept is removed.
     """
     try:
         if report.is_empty():
             return False
         spark = report.hourly.sparkSession
-        built = Folder(spark, f"{out_dir}/_building-{uuid.uuid4().hex}")
+        built = new_version(spark, out_dir, day)
         write_csv(report.rows, f"{built.path}/report", ["sensor_id", "hour_bucket"])
         write_csv(report.display(), f"{built.path}/display", ["sensor_id", "hour_bucket"])
         write_csv(report.matrix_by_sensor(), f"{built.path}/matrix_by_sensor", ["sensor_id"])
         if sensors:
             write_csv(report.matrix(sensors), f"{built.path}/matrix", ["hour_bucket"])
         write_csv(report.ticks(), f"{built.path}/ticks", ["position"])
-        publish(built, report_dir(out_dir, day))
+        publish(built, out_dir, day)
+        sweep_versions(spark, out_dir, day)
         return True
     finally:
         report.release()
@@ -103,7 +109,7 @@ def main(argv: list[str] | None = None) -> None:
     report = report_of(spark, chosen)
     day = chosen.day or utc_today()
     if write_report(report, chosen.out, day, chosen.sensors):
-        print(f"report written to {report_dir(chosen.out, day)}")
+        print(f"report written to {current_report(spark, chosen.out, day)}")
     else:
         print("no readings, no report")
 

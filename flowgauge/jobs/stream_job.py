@@ -30,6 +30,7 @@ from flowgauge.sources.messages import MessageFiles, Topic
 from flowgauge.sources.tables import jdbc_options
 from flowgauge.sources.visibility import own_log
 from flowgauge.streaming.queries import Pace, await_any, start_alerts, start_landing, start_windows
+from flowgauge.streaming.supervision import Ledger, Supervisor
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -95,7 +96,12 @@ def database(chosen: argparse.Namespace, table: str) -> JdbcTable:
 
 
 def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuery]:
-    """Start the queries: three, or two when the raw query also sends the alerts."""
+    """Start the queries: three, or two when the raw query also sends the alerts. What they go through
+    is entered beside their checkpoints."""
+    names = ("raw", "windows", "alerts")
+    ledger = Ledger(f"{chosen.checkpoints}/events")
+    places = {name: f"{chosen.checkpoints}/{name}" for name in names}
+    spark.streams.addListener(Supervisor(spark, ledger, places))
     parsed = parse_messages(messages(spark, chosen))
     pace = Pace(chosen.interval, chosen.available_now)
     raw = raw_parquet(chosen.raw) if chosen.raw else database(chosen, chosen.raw_table)

@@ -12,7 +12,7 @@ from flowgauge.operators.rollup import trailing_readings
 from flowgauge.plans.report import congestion_report
 from flowgauge.session import BATCH_DEFAULTS, job_session, scratch_path, shared_dir
 from flowgauge.sinks.batches import JdbcTable, TopicMessages, raw_parquet
-from flowgauge.sinks.report_files import read_csv
+from flowgauge.sinks.report_files import current_report, read_csv
 from flowgauge.sources.messages import MessageFiles, Topic
 from flowgauge.sources.tables import (
     as_messages,
@@ -56,7 +56,7 @@ def test_stream_job_then_report_job(spark, sf_dir, tmp_path, share):
     report = report_job.report_of(spark, chosen)
     day = datetime(2024, 1, 30).date()
     assert report_job.write_report(report, str(tmp_path / "out"), day)
-    written = read_csv(spark, str(tmp_path / "out/report_date=2024-01-30/report"), schemas.REPORT)
+    written = read_csv(spark, f"{current_report(spark, str(tmp_path / 'out'), day)}/report", schemas.REPORT)
 
     def comparable(df):
         return tuples(df.withColumns({c: F.round(c, 6) for c in ("avg_speed", "congestion_score")}))

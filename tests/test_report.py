@@ -3,6 +3,7 @@ import os
 import random
 from datetime import date, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from flowgauge.operators.labels import with_labels
 from flowgauge.operators.ranking import dense_rank_by_score, peak_hours, scored
 from flowgauge.operators.rollup import hourly_traffic, latest_event_time, trailing_readings
 from flowgauge.plans.report import congestion_report
-from flowgauge.sinks.report_files import read_csv, report_dir, write_csv
+from flowgauge.sinks.report_files import current_report, read_csv, write_csv
 from tests.helpers import at, hourly, readings, same_rows, tuples
 
 HEADER = (
@@ -145,7 +146,8 @@ def test_report_files_replace_a_rerun(spark, tmp_path):
     for _ in range(2):
         report = congestion_report(rows)
         assert write_report(report, str(tmp_path), day, ["a", "b"])
-    place = tmp_path / "report_date=2026-05-09"
+    place = Path(current_report(spark, str(tmp_path), day))
+    assert place.parent == tmp_path / "report_date=2026-05-09"
     assert csv_text(place / "report") == HEADER + (
         "a,2026-05-09 10:00:00,10,2.5,4.0,2,Yes,Deploy if speeds drop below 15 km/h\n"
         "b,2026-05-09 11:00:00,10,0.0,Infinity,1,Yes,Priority police deployment\n"
@@ -154,10 +156,11 @@ def test_report_files_replace_a_rerun(spark, tmp_path):
         "hour_bucket,a,b\n2026-05-09 10:00:00,10,0\n2026-05-09 11:00:00,0,10\n"
     )
     assert csv_text(place / "ticks") == "position,label\n0,2026-05-09 10:00\n1,2026-05-09 11:00\n"
-    back = read_csv(spark, f"{report_dir(str(tmp_path), day)}/report", schemas.REPORT)
+    back = read_csv(spark, f"{place}/report", schemas.REPORT)
     same_rows(tuples(back), tuples(congestion_report(rows).rows))
     assert write_report(congestion_report(rows), str(tmp_path), day)
-    assert not (place / "matrix").exists()
+    assert not (Path(current_report(spark, str(tmp_path), day)) / "matrix").exists()
+    assert (place / "matrix").exists()  # for readers that had begun
 
 
 def test_csv_parts_keep_the_order(spark, tmp_path):
