@@ -62,11 +62,15 @@ def in_utc(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, else one of this application's
-    own in the warehouse, which is shared as tables are."""
+    own in the warehouse, which is shared as tables are. A warehouse on the driver's own disk will do
+    for a local master alone."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    return _own_dir(spark.conf.get(WAREHOUSE_CONF).rstrip("/"), spark.sparkContext.applicationId)
+    warehouse, context = spark.conf.get(WAREHOUSE_CONF).rstrip("/"), spark.sparkContext
+    if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
+    return _own_dir(warehouse, context.applicationId)
 
 
 @cache

@@ -225,13 +225,26 @@ def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_without_a_setting_the_warehouse_holds_it(tmp_path):
-    values = {"spark.sql.warehouse.dir": f"file:{tmp_path}/warehouse"}
+@pytest.mark.parametrize(
+    "warehouse, master, fine",
+    [
+        ("file:/tmp/nowhere/warehouse", "local[2]", True),
+        ("/tmp/nowhere/warehouse", "spark://host:7077", False),
+        ("file:/tmp/nowhere/warehouse", "yarn", False),
+        ("s3a://lake/warehouse", "yarn", True),
+    ],
+)
+def test_without_a_setting_the_warehouse_holds_it(warehouse, master, fine):
+    values = {"spark.sql.warehouse.dir": warehouse}
     session = SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default=None: values.get(key, default)),
-        sparkContext=SimpleNamespace(applicationId="app-1"),
+        sparkContext=SimpleNamespace(applicationId="app-1", master=master),
     )
-    assert shared_dir(session) == f"file:{tmp_path}/warehouse/scratch-app-1"
+    if fine:
+        assert shared_dir(session) == f"{warehouse}/scratch-app-1"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session)
 
 
 def test_no_credentials_in_the_package():
