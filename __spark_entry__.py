@@ -281,6 +281,12 @@ SELECT *, max(greatest) OVER (ORDER BY batch_id) AS newest FROM counted""",
         "critical_alerts_stream": S + f"SELECT {ALERT_VALUE} AS value FROM s WHERE avg_speed < 10",
         "alerts_readback": S
         + "SELECT sensor_id, event_time, avg_speed, vehicle_count FROM s WHERE avg_speed < 10",
+        "alerts_followed": S
+        + SLICED
+        + """
+SELECT sensor_id, event_time, avg_speed, vehicle_count, batch_id AS batch,
+       CASE WHEN batch_id < 3 THEN 0 ELSE 1 END AS read
+FROM sliced WHERE avg_speed < 10""",
         "event_status": S
         + """
 SELECT event_id, CASE WHEN avg_speed < 10 THEN 'CRITICAL' ELSE 'NORMAL' END AS status FROM s""",

@@ -31,6 +31,7 @@ from flowgauge.operators.windows import window_congestion
 from flowgauge.plans.report import CongestionReport, congestion_report
 from flowgauge.plans.report import report_from_partials as report_of_partials
 from flowgauge.session import in_utc, materialise, scratch_path
+from flowgauge.sinks.alert_log import AlertLog, alerts_after, segment_of
 from flowgauge.sinks.batch_log import BatchLog
 from flowgauge.sinks.batches import (
     BatchSink,
@@ -351,6 +352,35 @@ def alerts_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_alerts(MessageFiles(place).read(spark))
 
 
+@registered
+def alerts_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as a reader of the log gets them: first those of three micro-batches, then, when these
+    are merged and further ones have come, the rest. `read` says in which turn."""
+    place = scratch_path(spark, "followed")
+    replay = Replay(spark, sf_dir, f"{place}/in")
+    position, turns = None, []
+    for turn, part in enumerate((range(0, 3), range(3, SLICES))):
+        replay.deliver(part)
+        start_landing(
+            parse_messages(MessageFiles(f"{place}/in", max_files_per_trigger=FILES).stream(spark)),
+            raw_parquet(f"{place}/raw"),
+            f"{place}/checkpoint",
+            alerts=AlertLog(f"{place}/alerts"),
+            pace=ONCE,
+        ).awaitTermination()
+        log = own_log(f"{place}/raw")
+        rows, position = alerts_after(spark, f"{place}/alerts", position, log)
+        turns.append(parse_alerts(rows, "batch").withColumn("read", F.lit(turn)))
+        compact_day(
+            spark,
+            AlertLog(f"{place}/alerts"),
+            schemas.ALERT_LOG,
+            segment_of(0),
+            log.committed(spark),
+        )
+    return turns[0].unionByName(turns[1])
+
+
 @registered
 def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every reading."""

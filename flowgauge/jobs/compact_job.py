@@ -14,6 +14,7 @@ from flowgauge import schemas
 from flowgauge.folders import Folder
 from flowgauge.operators.rollup import merged_partials
 from flowgauge.session import BATCH_DEFAULTS, job_session
+from flowgauge.sinks.alert_log import merge_segments
 from flowgauge.sinks.batch_log import BatchLog
 from flowgauge.sinks.batches import partials_parquet, raw_parquet, window_parquet
 from flowgauge.sinks.compaction import (
@@ -33,11 +34,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     table.add_argument("--raw", help="directory of the raw table")
     table.add_argument("--windows", help="directory of the window table")
     table.add_argument("--partials", help="directory of the hourly partials")
+    table.add_argument("--alert-log", help="directory of the alert log, of which closed segments go")
     parser.add_argument("--log", help="log of the query, if it is not in the table's directory")
     parser.add_argument(
         "--checkpoint", action="append", default=[], help="of a query whose batches no log has"
     )
-    parser.add_argument("--before", type=date.fromisoformat, required=True, help="first open date")
+    parser.add_argument("--before", type=date.fromisoformat, help="first open date")
     parser.add_argument(
         "--grace-hours",
         type=float,
@@ -45,13 +47,18 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         help="how long replaced files stay for readers that began before",
     )
     chosen = parser.parse_args(argv)
-    if chosen.partials and not chosen.log:
-        parser.error("partials need --log, that of the raw table")
+    if (chosen.partials or chosen.alert_log) and not chosen.log:
+        parser.error("partials and alerts need --log, that of the raw table")
+    if not chosen.alert_log and not chosen.before:
+        parser.error("a table by date needs --before")
     return chosen
 
 
-def compact(spark: SparkSession, chosen: argparse.Namespace) -> list[date]:
-    """The dates that were compacted. What earlier runs replaced is removed, where it is old enough."""
+def compact(spark: SparkSession, chosen: argparse.Namespace) -> list[date] | list[str]:
+    """The dates, or segments, that were compacted. What earlier runs replaced is removed, where it is old enough."""
+    grace = 3600 * chosen.grace_hours
+    if chosen.alert_log:
+        return merge_segments(spark, chosen.alert_log, BatchLog(chosen.log), grace)
     fold = as_they_are
     if chosen.raw:
         table, schema = raw_parquet(chosen.raw), schemas.RAW_TABLE
@@ -67,7 +74,7 @@ def compact(spark: SparkSession, chosen: argparse.Namespace) -> list[date]:
     closed = [d for d in map(date.fromisoformat, names) if d < chosen.before]
     done = [d for d in closed if compact_day(spark, table, schema, d, committed, fold)]
     for day in closed:
-        sweep_day(spark, table, day, 3600 * chosen.grace_hours)
+        sweep_day(spark, table, day, grace)
     return done
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowgauge.operators.ingest import parse_messages
 from flowgauge.session import job_session
+from flowgauge.sinks.alert_log import AlertLog
 from flowgauge.sinks.batches import (
     BatchSink,
     JdbcTable,
@@ -53,6 +54,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     alerts = parser.add_mutually_exclusive_group(required=True)
     alerts.add_argument("--alert-topic", help="Kafka topic of the alerts")
     alerts.add_argument("--alert-files", help="directory of alert text files instead of a topic")
+    alerts.add_argument(
+        "--alert-log", help="directory of the alert log instead of a topic, written by the raw query"
+    )
     parser.add_argument("--partials", help="directory of hourly partials, for reports")
     parser.add_argument("--quarantine", required=True, help="directory of rejected messages")
 
@@ -113,6 +117,8 @@ def start(spark: SparkSession, chosen: argparse.Namespace) -> list[StreamingQuer
     shared: BatchSink | None = None
     if chosen.share_parse and chosen.alert_topic:
         shared = TopicMessages(chosen.servers, chosen.alert_topic)
+    elif chosen.alert_log:
+        shared = AlertLog(chosen.alert_log)
     elif chosen.share_parse:
         shared = TextMessages(chosen.alert_files)
 

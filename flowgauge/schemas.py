@@ -19,6 +19,12 @@ QUARANTINE_TABLE = "value STRING, missing STRING, query_id STRING, batch_id BIGI
 
 ALERT_TABLE = "value STRING, query_id STRING, batch_id BIGINT"
 
+# An alert with its position: the query that raised it, its micro-batch, and its place in that.
+ALERT_LOG = (
+    "value STRING, source STRING, batch BIGINT, place BIGINT, "
+    "segment STRING, query_id STRING, batch_id BIGINT"
+)
+
 WINDOW = (
     "sensor_id STRING, window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ, "
     "avg_speed DOUBLE, total_vehicles BIGINT, congestion_index DOUBLE"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,13 @@ class ParquetTable:
         return replace(self, query_id=query_id)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.store(batch, batch_id, F.to_date(self.time_column) if self.date_column else None)
+
+    def store(self, batch: DataFrame, batch_id: int, date: Column | None) -> None:
         rows, keys = numbered(batch, self.query_id, batch_id)
-        if self.date_column:
+        if date is not None:
             keys.insert(0, self.date_column)
-            rows = rows.withColumn(self.date_column, F.to_date(self.time_column))
+            rows = rows.withColumn(self.date_column, date)
         if self.sort_by:
             rows = rows.sortWithinPartitions(*keys, *self.sort_by)
         overwriting(rows, keys).parquet(self.path)

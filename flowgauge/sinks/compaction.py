@@ -37,18 +37,18 @@ def compact_day(
     spark: SparkSession,
     table: ParquetTable,
     schema: str,
-    day: date,
+    day: date | str,
     committed: dict[str, int],
     fold: Callable[[DataFrame], DataFrame] = as_they_are,
 ) -> bool:
-    """Write one date of a table as sorted files that stand for its finished batches; False if none
-    has come in since the last time, or another run was faster.
+    """Write one date of a table (or what else it is partitioned by) as sorted files that stand for
+    its finished batches; False if none has come in since the last time, or another run was faster.
 
     `committed` says, per query id, the last finished batch: later ones, which may be being written,
     and batches of other queries are left as they are. A run that is cut off leaves files that never
     count. `fold` makes fewer rows that stand for the same, as of partial sums.
     """
-    name, marks = day.isoformat(), Marks(spark, table.path)
+    name, marks = str(day), Marks(spark, table.path)
     place = Folder(spark, f"{table.path}/{table.date_column}={name}")
     earlier = marks.latest([name]).get(name, Mark(-1, -1, {}))
     fresh = {
@@ -65,7 +65,8 @@ def compact_day(
     rows = stored.filter(wanted & (F.col("query_id").isin([COMPACTED, *fresh])))
     output = secrets.randbits(62)
     built = place / f"query_id={COMPACTED}" / f"batch_id={output}"
-    rows = fold(rows.drop(table.date_column, "query_id", "batch_id"))
+    kept = [c for c in stored.columns if c not in (table.date_column, "query_id", "batch_id")]
+    rows = fold(rows.select(*kept))
     rows.orderBy(*table.sort_by).write.parquet(built.path)
     if marks.add(name, Mark(earlier.number + 1, output, earlier.folded | fresh)):
         return True
@@ -80,11 +81,11 @@ def last_of(place: Folder, query: str, most: int) -> int:
 
 
 def sweep_day(
-    spark: SparkSession, table: ParquetTable, day: date, grace: float = GRACE_SECONDS
+    spark: SparkSession, table: ParquetTable, day: date | str, grace: float = GRACE_SECONDS
 ) -> list[str]:
     """Remove what the date's mark replaces, and outputs that never got one, once they are older than
     `grace` seconds; what was removed."""
-    name, marks = day.isoformat(), Marks(spark, table.path)
+    name, marks = str(day), Marks(spark, table.path)
     place = Folder(spark, f"{table.path}/{table.date_column}={name}")
     numbers = marks.numbers().get(name, [])
     mark = marks.latest([name]).get(name)

@@ -1,14 +1,17 @@
 """Compaction beside a running query, and micro-batches whose outputs become visible together."""
 
+import json
 from datetime import date, timedelta
 
 import pytest
 
 from flowgauge import schemas
 from flowgauge.folders import Folder
-from flowgauge.jobs import compact_job, report_job
+from flowgauge.jobs import compact_job, report_job, stream_job
 from flowgauge.operators.ingest import parse_messages
 from flowgauge.plans.report import congestion_report
+from flowgauge.sinks import alert_log
+from flowgauge.sinks.alert_log import AlertLog, alerts_after, merge_segments
 from flowgauge.sinks.batch_log import PER_FOLDER, BatchLog
 from flowgauge.sinks.batches import TextMessages, quarantine_parquet, raw_parquet, window_parquet
 from flowgauge.sinks.compaction import committed_batch, compact_day, sweep_day
@@ -414,3 +417,65 @@ def test_report_job_reads_a_compacted_table(spark, tmp_path):
     lake.job(before="2026-05-10")
     lake.job("--grace-hours", "0", before="2026-05-10")
     same_rows(tuples(report_job.report_of(spark, chosen).rows), before)
+
+
+# --- alerts -------------------------------------------------------------------------------------
+
+
+def alerts_in(rows):
+    return sorted((r["batch"], r["place"], r["value"]) for r in rows.collect())
+
+
+def test_readers_follow_the_alerts_from_their_own_positions(spark, tmp_path, monkeypatch):
+    """Before, between and after merges each reader gets each alert once; what a reader has listed
+    stays for it."""
+    monkeypatch.setattr(alert_log, "SEGMENT", 2)
+    lake, path = Lake(spark, tmp_path), str(tmp_path / "alerts")
+    log = own_log(lake.path)
+    after = lambda position=None: alerts_after(spark, path, position, log)
+    assert after()[0].count() == 0
+    merged, at_two = [], None
+    for n in range(7):
+        fast = [message("fast", f"10:{n:02d}:00", 1, 99.0)]
+        slow = [message(f"s{k}", f"10:{n:02d}:00", k, 1.0 + k) for k in range(3 if n != 4 else 0)]
+        lake.land(*fast, *slow, alerts=AlertLog(path), log=log)
+        if n == 2:
+            rows, at_two = after()
+            assert [b for b, _, _ in alerts_in(rows)] == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+            begun = after()[0]
+        if n in (3, 6):
+            before = alerts_in(after()[0])
+            merged.append(merge_segments(spark, path, log))
+            assert alerts_in(after()[0]) == before
+    assert [[int(s) for s in names] for names in merged] == [[0, 1], [2]]
+    assert [b for b, _, _ in alerts_in(begun)] == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    rows, end = after(at_two)
+    assert sorted({b for b, _, _ in alerts_in(rows)}) == [3, 5, 6] and rows.count() == 9
+    assert after(end)[0].count() == 0 and after(end)[1] == end
+    assert merge_segments(spark, path, log, grace=0) == []
+    assert alerts_in(after(at_two)[0]) == alerts_in(rows)
+    assert len(list((tmp_path / "alerts").rglob("*.parquet"))) < 7
+    other = Lake(spark, tmp_path / "other")
+    other.path = lake.path
+    other.land(message("x", "11:00:00", 1, 3.0), alerts=AlertLog(path), log=log)
+    rows, last = after(end)
+    assert [json_of(r)["sensor_id"] for r in rows.collect()] == ["x"] and len(last) == 2
+    assert after(last)[0].count() == 0
+
+
+def json_of(row):
+    return json.loads(row["value"])
+
+
+def test_job_writes_and_merges_the_alert_log(spark, tmp_path):
+    files = MessageDir(tmp_path / "messages")
+    files.add([message("a", "10:00:00", 1, 2.0), message("a", "10:30:00", 3, 40.0)])
+    argv = ["--message-files", str(files.path), "--raw", str(tmp_path / "raw"), "--windows", str(tmp_path / "w"),
+            "--alert-log", str(tmp_path / "a"), "--quarantine", str(tmp_path / "q"), "--available-now",
+            "--checkpoints", str(tmp_path / "c")]
+    for query in stream_job.start(spark, stream_job.arguments(argv)):
+        query.awaitTermination()
+    rows, _ = alerts_after(spark, str(tmp_path / "a"), None, own_log(str(tmp_path / "raw")))
+    assert [json_of(r)["avg_speed"] for r in rows.collect()] == [2.0]
+    argv = ["--alert-log", str(tmp_path / "a"), "--log", str(tmp_path / "raw/_log")]
+    assert compact_job.compact(spark, compact_job.arguments(argv)) == []
