@@ -76,8 +76,17 @@ class Folder:
         stream = files.create(hidden)
         jvm.org.apache.commons.io.IOUtils.write(text, stream, "UTF-8")
         stream.close()
-        # Renamed as Spark's own checkpoints are: a plain rename may replace an earlier file.
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf)
+        # Renamed as Spark's own checkpoints are: a plain rename may replace an earlier file. File
+        # systems without such a rename get the plain one, after a look.
+        try:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf)
+        except Py4JJavaError as error:
+            if not _is(error, "UnsupportedFileSystemException"):
+                raise
+            if not files.exists(target) and files.rename(hidden, target):
+                return True
+            files.delete(hidden, False)
+            return False
         rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         no_options = self.spark.sparkContext._gateway.new_array(rename, 0)
         try:
