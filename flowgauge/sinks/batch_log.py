@@ -30,7 +30,8 @@ class BatchLog:
     """Entries of one or more queries, a small file each; batches of a query finish in order.
 
     An entry holds the batch's counts and its least and greatest event time, and over all batches
-    of the query so far the first logged one (`since`) and the newest event time.
+    of the query so far the first logged one (`since`), the newest event time, and that of batches
+    without hourly partials (`uncovered`).
     """
 
     path: str
@@ -63,10 +64,12 @@ class BatchLog:
     def commit(self, spark: SparkSession, query: str, batch_id: int, facts: dict) -> None:
         """Enter a batch whose outputs are all written. `facts`: its counts by output, `least` and
         `greatest` event time (None without rows)."""
-        before = self.entry(spark, query, batch_id - 1) or {"since": batch_id, "newest": None}
+        before = self.entry(spark, query, batch_id - 1) or {"since": batch_id}
         times = {k: text_of(facts.get(k)) for k in ("least", "greatest")}
-        newest = max([t for t in (before["newest"], times["greatest"]) if t], default=None)
-        entry = {"query_id": query, "batch_id": batch_id, "since": before["since"], "newest": newest}
+        later = lambda name: max(before.get(name) or "", times["greatest"] or "") or None
+        entry = {"query_id": query, "batch_id": batch_id, "since": before["since"]}
+        entry["newest"] = later("newest")
+        entry["uncovered"] = before.get("uncovered") if "partials" in facts else later("uncovered")
         text = json.dumps(entry | facts | times)
         self._place(spark, query, batch_id).create(f"{batch_id}.json", text)
 
@@ -79,6 +82,11 @@ class BatchLog:
         times = [entry["newest"] for entry in last if entry["newest"]]
         return datetime.fromisoformat(max(times)) if times else None
 
+    def covers(self, spark: SparkSession, since: datetime) -> bool:
+        """Whether every reading from a time on is in hourly partials too, as far as the log knows."""
+        last = [self.entry(spark, query, n) for query, n in self.committed(spark).items()]
+        return all(e["since"] == 0 and (e["uncovered"] or "") < text_of(since) for e in last)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """All entries, times as times."""
         entries = spark.read.schema(ENTRY).option("recursiveFileLookup", "true").json(self.path)

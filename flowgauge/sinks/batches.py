@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 
 class BatchSink(Protocol):
+    """Writes a batch: at least one action over its rows, by which they are counted."""
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None: ...
 
 

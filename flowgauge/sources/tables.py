@@ -113,8 +113,11 @@ def trailing_partials(
     spark: SparkSession, raw: str, partials: str, newest: datetime, hours: int = rules.TRAILING_HOURS
 ) -> tuple[DataFrame, DataFrame]:
     """(hourly partials of the whole hours of the trailing ones, readings of the hour that their bound
-    cuts), as of the same micro-batches. No other reading is read, and no other date is listed."""
+    cuts), as of the same micro-batches. No other reading is read, and no other date is listed. Fails
+    if some of the readings were stored without partials."""
     since = newest - timedelta(hours=hours)
+    if not own_log(raw).covers(spark, since):
+        raise ValueError(f"some readings since {since} were stored without partials")
     cut = since.replace(minute=0, second=0, microsecond=0)
     whole = cut if cut == since else cut + timedelta(hours=1)
     days = [since.date() + timedelta(days=n) for n in range((newest.date() - since.date()).days + 1)]

@@ -108,6 +108,19 @@ def test_reports_without_partials_of_a_date(spark, tmp_path):
     assert report_job.report_of(spark, empty).is_empty()
 
 
+def test_readings_without_partials_are_noticed(spark, tmp_path):
+    """Partials begun on a table that has readings already: refused while these are in the range."""
+    lake = Lake(spark, tmp_path)
+    lake.files.add([message("a", "10:00:00", 1, 2.0, DAY)])
+    parsed = parse_messages(MessageFiles(str(lake.files.path), max_files_per_trigger=1).stream(spark))
+    start_landing(parsed, raw_parquet(lake.raw), lake.checkpoint, pace=ONCE).awaitTermination()
+    lake.land([message("a", "09:00:00", 1, 2.0, NEXT)])
+    with pytest.raises(ValueError, match="without partials"):
+        trailing_partials(spark, lake.raw, lake.partials, newest_of(spark, lake.raw))
+    lake.land([message("a", "10:00:00.000001", 1, 4.0, NEXT)])
+    assert len(lake.agree()[0]) == 2
+
+
 def test_job_writes_partials(spark, tmp_path):
     files = MessageDir(tmp_path / "messages")
     files.add([message("a", "10:00:00", 1, 2.0), message("a", "10:30:00", 3, 4.0)])
