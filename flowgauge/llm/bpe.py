@@ -184,7 +184,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, *carry: str) -> DataFrame:
 
     `tokenizer` is the place of a byte-level BPE file, the same on every executor. Strings of
     special tokens inside texts become their ids, no other special token is added. Null and empty
-    texts have no ids and decode to ''. Repeated rows and null ids stay, one row out for each in.
+    texts have no ids and decode to ''. Repeated rows and null ids stay, one row out for each in; an
+    empty table gives none, and extra columns are left behind.
     Nothing is shuffled: a task holds a slice of texts and the ids of recent words.
     """
 
@@ -201,7 +202,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, *carry: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of the round trip."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of the round trip; nulls, repeated rows,
+    empty tables and extra columns as there."""
     trip = bpe_round_trip(docs, tokenizer, "doc_id")
     return trip.select(
         "doc_id",

@@ -208,7 +208,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of `docs` in which no window of an item occurs, with all their columns."""
+    """The rows of `docs` in which no window of an item occurs, with all their columns. Null texts have
+    no words and stay, as do repeated rows; null and empty items have no windows. Either table may be
+    empty."""
     spark = docs.sparkSession
     packed = Packed(docs)
     numbered = packed.rows.withColumn("id", F.monotonically_increasing_id())

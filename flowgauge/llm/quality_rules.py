@@ -166,8 +166,9 @@ def judge_quality(docs: DataFrame, rejected_rate: float = REJECTED_RATE) -> Data
 
 
 def keep_good(docs: DataFrame, rejected_rate: float = REJECTED_RATE) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns. The figures are computed twice, for the
-    hosts and for the rows, so that no text is stored or shuffled."""
+    """The rows of `docs` that pass, with all their columns. A null text has no words and does not
+    pass; a null source is a host like others. An empty table gives no rows. The figures are computed
+    twice, for the hosts and for the rows, so that no text is stored or shuffled."""
     packed = Packed(docs)
     others = [F.col("row"), packed["source"].alias("host")]
     rows = measured(packed.rows, packed["text"], *others).select("row", "host", "base_failed")

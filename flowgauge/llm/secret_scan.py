@@ -265,8 +265,9 @@ def scan_secrets(docs: DataFrame, *carry: str, rules: tuple[Rule, ...] = RULES)
     redacted_text.
 
     `rules` begins with the base rules. Null texts count as empty and stay null when redacted.
-    Repeated rows and null ids stay, one row out for each in. Whole texts are scanned, a block of
-    texts at a time; nothing is shuffled.
+    Repeated rows and null ids stay, one row out for each in; an empty table gives none, and extra
+    columns are left behind. Whole texts are scanned, a block of texts at a time; nothing is
+    shuffled.
     """
     rows = columns_of(docs, *carry, "text")
     added = (
