@@ -5,7 +5,9 @@ more than the shingles by which two linked sets of that band can differ, so two
 on a whole segment. Sets are indexed by their part in each segment; the first segments are also
 indexed with every one shingle deleted. A probe allocates: it leaves out segments where its part is
 so small that many sets share it, and makes up for each with a segment in which it finds sets that
-differ by one shingle. What it finds is then compared exactly.
+differ by one shingle. What it finds is compared by sketches first, bitmaps that cannot differ in
+more bits than the sets do in shingles: sets that share no more than a common passage are told apart
+without being sent. What is left is then compared exactly.
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ PLACE_BITS = 20
 # Shingles that one verification task compares at a time.
 GROUP_SHINGLES = 8_000_000
 
+# Bits of the least sketch; and the root of the 64-bit words, times this scale, that a task compares
+# in a group's sketches.
+LEAST_SKETCH = 256
+WORDS_AT_A_TIME = 4
+SKETCH_SCALE = 64
+GROUP_SKETCHES = SKETCH_SCALE * 20_000
+
 
 @dataclass(frozen=True)
 class Threshold:
@@ -141,6 +150,20 @@ def digest(found: np.ndarray) -> bytes:
         return np.array([scrambled(found, s).sum(dtype=np.uint64) for s in (11, 12)]).tobytes()
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """The parity of the set's shingles in each of as many bits as it has shingles, up to a power of
+    two. Sketches of two sets, the longer folded to the length of the other, differ in no more bits
+    than the sets do in shingles."""
+    bits = max(LEAST_SKETCH, 1 << (max(len(found) - 1, 0)).bit_length())
+    places = (scrambled(found, 51) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row each, at a shorter length: shingles keep the lower bits of their place."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
 def row_ids(number: int, places: np.ndarray) -> np.ndarray:
     """Row ids of places in a block: the partition in the upper bits, then block, then place."""
     part, block = number >> 32, number & 0xFFFFFFFF
@@ -306,12 +329,17 @@ class Forest:
         self.up[np.isin(roots, chosen)] = chosen[0]
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], threshold: Threshold, left: np.ndarray, right: np.ndarray):
+def links(
+    ids: np.ndarray, sets: list[np.ndarray], threshold: Threshold, left: np.ndarray, right: np.ndarray,
+    copies: np.ndarray | None = None,
+) -> tuple[list[int], list[int], np.ndarray]:
     """Links between sets that are on the left and sets that are on the right, as a forest: every
-    pair of the two sides that links is connected by what is returned.
+    pair of the two sides that links is connected by what is returned. With `copies`, the rows that
+    each set stands for, also the number of rows that each set links with.
 
     Sets enter in order of size. Each looks up its shingles in an inverted index of the group and
-    counts how many it has in common with every set that is not connected with it yet.
+    counts how many it has in common with every set; if no links are counted, those that it is
+    connected with already need no look.
     """
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -323,11 +351,19 @@ def links(ids: np.ndarray, sets: list[np.ndarray], threshold: Threshold, left: n
     starts = np.cumsum(sizes) - sizes
     forest = Forest(len(sets))
     found_a, found_b = [], []
+    done, degrees = np.zeros(len(sets), bool), np.zeros(len(sets), np.int64)
     for i in np.argsort(sizes, kind="stable").tolist():
         if not left[i]:
             continue
         roots = forest.roots()
-        fits = right & (roots != roots[i]) & threshold.holds(np.minimum(sizes, sizes[i]), sizes, sizes[i])
+        fits = right & threshold.holds(np.minimum(sizes, sizes[i]), sizes, sizes[i])
+        if copies is None:
+            fits &= roots != roots[i]
+        else:
+            # A pair that is on both sides both ways is met twice, and counted the first time.
+            done[i] = True
+            fits &= ~(done & right[i])
+            fits[i] = False
         if not fits.any():
             continue
         own = number[starts[i] : starts[i] + sizes[i]]
@@ -335,50 +371,146 @@ def links(ids: np.ndarray, sets: list[np.ndarray], threshold: Threshold, left: n
         for s in own.tolist():
             common[holders[first[s] : first[s + 1]]] += 1
         linked = np.flatnonzero(fits & threshold.holds(common, sizes, sizes[i]))
+        if copies is not None:
+            degrees[i] += copies[linked].sum()
+            degrees[linked] += copies[i]
+            linked = linked[roots[linked] != roots[i]]
         if len(linked):
             _, one_each = np.unique(roots[linked], return_index=True)
             found_a += [ids[i]] * len(one_each)
             found_b += ids[linked[one_each]].tolist()
             forest.join(i, linked)
+    return found_a, found_b, degrees
+
+
+def differing_little(columns: np.ndarray, own: np.ndarray, start: int, stop: int, most: int) -> np.ndarray:
+    """Places from `start` to `stop` whose sketches, a column each, differ from `own` in `most` bits or
+    fewer. Bits add up from word to word, so places beyond that are left out as soon as they are."""
+    places, total = None, np.zeros(stop - start, np.uint16)
+    for word in range(0, len(own), WORDS_AT_A_TIME):
+        some = slice(word, word + WORDS_AT_A_TIME)
+        part = columns[some, start:stop] if places is None else columns[some][:, places]
+        total += np.bitwise_count(part ^ own[some, None]).sum(axis=0, dtype=np.uint16)
+        near = np.flatnonzero(total <= most)
+        if not len(near):
+            return near
+        if len(near) < len(total):
+            places, total = near + start if places is None else places[near], total[near]
+    return np.arange(start, stop) if places is None else places
+
+
+def near_sketches(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], threshold: Threshold, left: np.ndarray, right: np.ndarray):
+    """Pairs of a set on the left and one on the right that their sketches do not tell apart, as a
+    forest: every such pair is connected by what is returned.
+
+    Sets of the same sketch length are compared as one matrix, in the range of sizes that can link.
+    """
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, left, right = ids[order], sizes[order], left[order], right[order]
+    lengths = np.array([len(sketches[i]) // 8 for i in order])
+    forest = Forest(len(ids))
+    found_a, found_b = [], []
+    # Lengths grow with sizes, so each has one run of places.
+    runs_of = [(w, *np.searchsorted(lengths, [w, w + 1]).tolist()) for w in np.unique(lengths).tolist()]
+    matrices = {
+        w: np.frombuffer(b"".join(sketches[i] for i in order[a:b]), np.uint64).reshape(-1, w) for w, a, b in runs_of
+    }
+    one_sided = not (left & right).all()
+    for own, begin, end in runs_of:
+        least, most = sizes[begin], threshold.largest(int(sizes[end - 1]))
+        for other, first, last in runs_of:
+            if other < own and not one_sided or sizes[first] > most or threshold.largest(int(sizes[last - 1])) < least:
+                continue
+            words = min(own, other)
+            mine = folded_to(matrices[own], words)
+            theirs = np.ascontiguousarray(folded_to(matrices[other], words).T)
+            for place in range(begin, end):
+                if not left[place]:
+                    continue
+                size = int(sizes[place])
+                # Where all are on both sides, each pair is looked at from its first place.
+                after = 0 if one_sided else place + 1
+                a = max(first, after, int(np.searchsorted(sizes, -(-size * threshold.percent // 100))))
+                b = min(last, int(np.searchsorted(sizes, threshold.largest(size), "right")))
+                if a >= b:
+                    continue
+                bound = threshold.differing(int(sizes[b - 1]) + size)
+                near = first + differing_little(theirs, mine[place - begin], a - first, b - first, bound)
+                near = near[right[near]]
+                if not len(near):
+                    continue
+                roots = forest.roots()
+                near = near[roots[near] != roots[place]]
+                if len(near):
+                    _, one_each = np.unique(roots[near], return_index=True)
+                    found_a += [ids[place]] * len(one_each)
+                    found_b += ids[near[one_each]].tolist()
+                    forest.join(place, near)
     return found_a, found_b
 
 
-def verified(rows: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
-    """Links within each candidate group of a task."""
+def candidate_groups(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, where their rows are, whether they are on the left, on the right) of each candidate group
+    of a task. A set may come for both sides, and twice where both chunks are one."""
+    candidates, ids = rows["candidate"].to_numpy(), rows["id"].to_numpy()
+    order = np.lexsort((ids, candidates))
+    candidates, ids = candidates[order], ids[order]
+    new = np.append(True, (candidates[1:] != candidates[:-1]) | (ids[1:] != ids[:-1]))
+    first = np.flatnonzero(new)
+    sides = np.bitwise_or.reduceat(rows["side"].to_numpy()[order], first)
+    candidates, ids, order = candidates[first], ids[first], order[first]
+    bounds = [*np.flatnonzero(np.append(True, candidates[1:] != candidates[:-1])).tolist(), len(ids)]
+    for start, stop in zip(bounds, bounds[1:]):
+        some = slice(start, stop)
+        yield ids[some], order[some], sides[some] & LEFT > 0, sides[some] & RIGHT > 0
+
+
+def told_apart(rows: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
+    """Pairs within each candidate group of a task that may link, by their sketches."""
     out_a: list[int] = []
     out_b: list[int] = []
-    for _, group in rows.groupby("candidate", sort=True):
-        # A set may come for both sides, and twice where both chunks are one.
-        group = group.groupby("id", sort=True).agg({"shingles": "first", "side": np.bitwise_or.reduce})
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        side = group["side"].to_numpy()
-        a, b = links(group.index.to_numpy(), sets, threshold, side & LEFT > 0, side & RIGHT > 0)
+    sizes, sketches = rows["size"].to_numpy(), rows["sketch"].to_numpy()
+    for ids, at, left, right in candidate_groups(rows):
+        a, b = near_sketches(ids, sizes[at], [sketches[i] for i in at], threshold, left, right)
         out_a += a
         out_b += b
     return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
 
 
-def dealt(members: DataFrame) -> DataFrame:
+def verified(rows: pd.DataFrame, threshold: Threshold, counted: bool) -> pd.DataFrame:
+    """Links (a, b) within each candidate group of a task, as forests; if they are counted, also
+    (a, null, rows that a links with in this task)."""
+    made: list[tuple] = []
+    shingles, copies = rows["shingles"].to_numpy(), rows["n_copies"].to_numpy()
+    for ids, at, left, right in candidate_groups(rows):
+        sets = [np.frombuffer(shingles[i], np.uint64) for i in at]
+        a, b, n = links(ids, sets, threshold, left, right, copies[at] if counted else None)
+        made += [(x, y, None) for x, y in zip(a, b)]
+        made += [(ids[i], None, n[i]) for i in np.flatnonzero(n)]
+    return pd.DataFrame(made, columns=["a", "b", "n"]).astype("Int64")
+
+
+def dealt(members: DataFrame, limit: int) -> DataFrame:
     """(id, candidate, task, side): which sets each verification task compares.
 
     Small candidate groups share tasks. A large group is cut by size band: sets of a band (left)
     meet those of the same and the next band (right); a band beyond one task is cut further into
-    chunks by hash, each chunk pair a task of its own. So no task holds more than a few times
-    GROUP_SHINGLES, and no possible link goes uncompared. A set of an uncut band goes to two tasks.
+    chunks by hash, each chunk pair a task of its own. So no task holds more than a few times the
+    limit (in sizes), and no possible link goes uncompared. A set of an uncut band goes to two tasks.
     """
     groups = members.groupBy("candidate").agg(F.sum("size").alias("all"), F.count("*").alias("sets"))
-    sized = keep(members.join(groups.filter("sets > 1"), "candidate"), "candidates")
+    sized = keep(members.join(groups.filter("sets > 1"), "candidate"), "sized")
     total = sized.agg(F.sum("size").alias("n")).head()["n"] or 0
-    tasks = max(1, -(-total // GROUP_SHINGLES))
-    small = sized.filter(F.col("all") <= GROUP_SHINGLES).select(
+    tasks = max(1, -(-total // limit))
+    small = sized.filter(F.col("all") <= limit).select(
         "id",
         "candidate",
         F.concat(F.lit("s"), F.expr(f"pmod(xxhash64(candidate), {tasks})")).alias("task"),
         F.lit(LEFT | RIGHT).alias("side"),
     )
-    large = sized.filter(F.col("all") > GROUP_SHINGLES)
+    large = sized.filter(F.col("all") > limit)
     chunks = large.groupBy("candidate", "band").agg(
-        F.ceil(F.sum("size") / GROUP_SHINGLES).cast("int").alias("chunks")
+        F.ceil(F.sum("size") / limit).cast("int").alias("chunks")
     )
     # Of every band its own chunks and the next one's, 0 where there is no such band.
     after = chunks.select(
@@ -433,7 +565,8 @@ def dealt(members: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 3, threshold: Threshold = Threshold()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id and n_copies (rows with the same set).
+    """Per row: doc_id, n_shingles, component_id, n_copies (rows with the same set) and n_links (other
+    rows that the row links with, its copies among them).
 
     Words are parted by the ASCII blanks, with A-Z in lower case. Rows link when their shingle sets
     are alike by the threshold; `component_id` is the least doc_id reachable by links, the row's
@@ -441,41 +574,49 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: Threshold = Threshol
     ids stay, one row out for each in; a null id is never the least, and a group of null ids alone
     has a null component. Extra columns are left behind. An empty table gives no rows.
     """
-    return near_rows(docs, width, threshold).select("doc_id", "n_shingles", "component_id", "n_copies")
+    return near_rows(docs, width, threshold, counted=True).drop("id")
 
 
 def near_rows(
-    docs: DataFrame, width: int, threshold: Threshold, costs: Costs = Costs()
+    docs: DataFrame, width: int, threshold: Threshold, costs: Costs = Costs(), counted: bool = False
 ) -> DataFrame:
-    """near_groups with the rows' ids, `id`."""
+    """near_groups with the rows' ids, `id`; with the links only if they are to be counted, for which
+    all pairs of a group are compared."""
     blocks = word_blocks(docs, folded=True)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, _ in blocks_in(batches):
-            sets = [(len(s), digest(s)) for s in shingle_sets(block, width)]
+            sets = [(len(s), digest(s), sketch(s)) for s in shingle_sets(block, width)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": row_ids(number, np.arange(len(sets))),
                     "doc_id": pa.array(block.doc_ids, pa.int64()),
-                    "n_shingles": pa.array([n for n, _ in sets], pa.int64()),
-                    "digest": [d for _, d in sets],
+                    "n_shingles": pa.array([n for n, _, _ in sets], pa.int64()),
+                    "digest": [d for _, d, _ in sets],
+                    "sketch": [x for _, _, x in sets],
                 }
             )
 
     rows = keep(
-        blocks.mapInArrow(describe, "id long, doc_id long, n_shingles long, digest binary"), "sets"
+        blocks.mapInArrow(describe, "id long, doc_id long, n_shingles long, digest binary, sketch binary"), "sets"
     )
     same = ["n_shingles", "digest"]
     classes = keep(
         rows.filter("n_shingles > 0")
         .groupBy(*same)
-        .agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies")),
+        .agg(
+            F.min("id").alias("id"),
+            F.min("doc_id").alias("least"),
+            F.count("*").alias("n_copies"),
+            F.first("sketch").alias("sketch"),
+        ),
         "classes",
     )
     bounds = classes.agg(F.max("n_shingles").alias("most"), F.sum("n_shingles").alias("all")).head()
     if not bounds["all"]:
         least = rows.select("id", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return least.withColumn("n_copies", F.lit(1).cast("long"))
+        alone = least.withColumn("n_copies", F.lit(1).cast("long"))
+        return alone.withColumn("n_links", F.lit(0).cast("long")) if counted else alone
     starts = size_bands(bounds["most"], threshold)
     plans = band_plans(starts, threshold, costs)
     # Signatures are a third of the shingles or so; a shard holds as many keys as any.
@@ -513,10 +654,20 @@ def near_rows(
     for i, start in enumerate(starts.tolist()):
         band = F.when(F.col("n_shingles") >= start, F.lit(i)).otherwise(band)
     # Of the copies that met in different blocks, one stands for its class.
-    members = candidates.join(classes, "id").select(
-        "id", "candidate", F.col("n_shingles").alias("size"), band.alias("band")
+    members = lambda groups: groups.join(classes, "id").select(
+        "id", "candidate", F.col("n_shingles").alias("size"), band.alias("band"), "sketch"
+    )
+    candidates = keep(members(candidates), "candidates")
+    # A task's work on sketches is the product of its sets, times their length.
+    weight = F.ceil(SKETCH_SCALE * F.sqrt(F.octet_length("sketch") / 8)).cast("long")
+    weighed = candidates.select("id", "candidate", weight.alias("size"), "band")
+    sketches = dealt(weighed, GROUP_SKETCHES).join(candidates.select("id", "size", "sketch"), "id")
+    near = sketches.groupBy("task").applyInPandas(
+        lambda rows: told_apart(rows, threshold), "a long, b long"
     )
-    tasks = keep(dealt(members), "tasks")
+    closer = components(near).withColumnsRenamed({"node": "id", "component": "candidate"})
+    tasks = dealt(members(closer).drop("sketch"), GROUP_SHINGLES)
+    tasks = keep(tasks.join(classes.select("id", "n_copies"), "id"), "tasks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, row in blocks_in(batches):
@@ -531,26 +682,36 @@ def near_rows(
                             "candidate": pa.array([to["candidate"]], pa.int64()),
                             "task": [to["task"]],
                             "side": pa.array([to["side"]], pa.int32()),
+                            "n_copies": pa.array([to["n_copies"]], pa.int64()),
                             "shingles": [found.tobytes()],
                         }
                     )
 
-    sets = chosen(blocks, tasks, "candidate", "task", "side").mapInArrow(
-        fetch, "id long, candidate long, task string, side int, shingles binary"
+    sets = chosen(blocks, tasks, "candidate", "task", "side", "n_copies").mapInArrow(
+        fetch, "id long, candidate long, task string, side int, n_copies long, shingles binary"
     )
     found = sets.groupBy("task").applyInPandas(
-        lambda rows: verified(rows, threshold), "a long, b long"
+        lambda rows: verified(rows, threshold, counted), "a long, b long, n long"
     )
-    linked = components(found).withColumnsRenamed({"node": "id"})
+    found = keep(found, "verified")
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    linked = components(edges).withColumnsRenamed({"node": "id"})
     # A class without links is its own component.
     whole = classes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = whole.join(least, "component").select(*same, "component_id", "n_copies")
-    out = rows.join(named, same, "left")
+    named = whole.join(least, "component").select("id", *same, "component_id", "n_copies")
+    if counted:
+        degrees = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        every = F.col("n_copies") - 1 + F.coalesce("n", F.lit(0))
+        named = named.join(degrees, "id", "left").withColumn("n_links", every)
+    out = rows.join(named.drop("id"), same, "left")
     # Sets without shingles stay alone.
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    copies = F.coalesce("n_copies", F.lit(1))
-    return out.select("id", "doc_id", "n_shingles", alone.alias("component_id"), copies.alias("n_copies"))
+    shown = ["id", "doc_id", "n_shingles", alone.alias("component_id")]
+    shown.append(F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    if counted:
+        shown.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*shown)
 
 
 def chosen(blocks: DataFrame, ids: DataFrame, *carry: str) -> DataFrame:

@@ -47,7 +47,8 @@ def registered(query: Callable[[SparkSession, str], DataFrame]):
 
 @registered
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents whose 3-word shingle sets are alike by 0.9 or more."""
+    """Documents whose 3-word shingle sets are alike by 0.9 or more: groups, and how many each links
+    with."""
     return near_groups(table(spark, sf_dir, "documents")).drop("n_copies")
 
 
@@ -73,8 +74,9 @@ WITH RECURSIVE d AS (
 , least AS (
   SELECT reached.k, min(d.doc_id) AS component_id FROM reached JOIN d ON d.k = reached.r
   GROUP BY reached.k)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
-FROM d JOIN least USING (k) LEFT JOIN sizes USING (k)
+, degrees AS (SELECT x AS k, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM d JOIN least USING (k) LEFT JOIN sizes USING (k) LEFT JOIN degrees USING (k)
 """
 
 

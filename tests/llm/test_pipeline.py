@@ -113,7 +113,7 @@ def test_stages_take_odd_rows(spark, stage):
 
 def test_every_operator_has_its_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_shards_of_the_query(spark):
