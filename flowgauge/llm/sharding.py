@@ -3,8 +3,8 @@
 A hypergeometric communication matrix says how many rows each partition sends to each shard: drawn
 so, the counts are those of a uniform shuffle, and every shard gets its exact size. A partition
 permutes its rows and deals them out by its line of the matrix; each shard then permutes what it
-got. The second permutation is a keyed bijection of the shard's slots, so no shard is ever sorted,
-or even held, in one task.
+got. Both permutations are keyed bijections, so a row's place is worked out by itself: no partition's
+permutation is ever drawn as a whole, and no shard is sorted, or even held, in one task.
 """
 
 from __future__ import annotations
@@ -118,17 +118,20 @@ class Dealer:
         parts = ids >> ROW_BITS
         for part in np.unique(parts).tolist():
             mine, i = parts == part, self.line[part]
-            order = np.random.default_rng([self.seed, part]).permutation(self.rows[i])
-            at = order[ids[mine] & ((1 << ROW_BITS) - 1)]
+            at = permuted(ids[mine] & ((1 << ROW_BITS) - 1), self.rows[i], self.keys(0, part))
             to = np.searchsorted(self.first_row[i], at, "right") - 1
             shard[mine], place[mine] = to, self.first_place[i, to] + at - self.first_row[i, to]
         slot = np.empty(len(ids), np.int64)
         for to in np.unique(shard).tolist():
             mine = shard == to
-            keys = np.random.default_rng([self.seed, 1, to]).integers(1, 1 << 62, ROUNDS).tolist()
-            slot[mine] = permuted(place[mine], self.sizes[to], keys)
+            slot[mine] = permuted(place[mine], self.sizes[to], self.keys(1, to))
         return shard, slot
 
+    def keys(self, step: int, of: int) -> list[int]:
+        """Keys of the first permutation of a partition, or the second of a shard."""
+        rng = np.random.default_rng([self.seed, step, of])
+        return rng.integers(1, 1 << 62, ROUNDS).tolist()
+
 
 def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     """All rows and columns of `docs`, with `shard` (int) and `slot` (long), in shard order within
