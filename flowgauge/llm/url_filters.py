@@ -46,7 +46,7 @@ class UrlRule:
 RULES = (
     UrlRule(ALLOW, "org/"),
     UrlRule(BLOCK, "example.org/es/"),
-    UrlRule(ALLOW, "example.org/en/1"),
+    UrlRule(BLOCK, "example.org/en/1"),
     UrlRule(ALLOW, "com/fr/"),
     UrlRule(BLOCK, "com/de/"),
 )

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from flowgauge.llm import url_filters as U
+from flowgauge.llm.queries import ORACLE_SQL
 from tests.conftest import TESTDATA
 from tests.llm import helpers as H
 
@@ -114,3 +115,16 @@ def test_a_branch_learns_from_its_pages(spark):
     verdicts = {(r["path"].split("/")[1], r["verdict"]) for r in rows}
     assert verdicts == {("bad", "block"), ("good", "allow")}
     assert {r["template"] for r in rows} == {"/bad/*", "/good/*"}
+
+
+def test_the_contracts_rules(spark):
+    """Each rule's word, straight from the contract, in the rows and in the SQL."""
+    contract = {
+        "org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block",
+    }
+    urls = [f"http://{rule}" for rule in contract] + [f"http://a.{rule}" for rule in contract]
+    rows = U.filter_urls(pages(spark, urls)).collect()
+    assert len(rows) == len(urls)
+    assert {(r["rule"], r["verdict"]) for r in rows} == set(contract.items())
+    for rule, verdict in contract.items():
+        assert f"('{rule}', '{verdict}')" in ORACLE_SQL["op10_url_filters"]
