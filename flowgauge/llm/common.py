@@ -93,6 +93,21 @@ def keep(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marks_of(keys: DataFrame) -> DataFrame:
+    """(run, marks) of distinct `key`s: which of 64 keys in a row there are, a bit each. With keys by
+    monotonically_increasing_id that is about a bit a row, so that a table of texts is told which of its
+    rows to keep by a broadcast, where the keys themselves would make the planner shuffle the texts."""
+    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    return keys.groupBy(F.shiftright("key", 6).alias("run")).agg(F.bit_or(bit).alias("marks"))
+
+
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose `key` is marked."""
+    runs = rows.withColumn("run", F.shiftright("key", 6)).join(marks, "run")
+    place = F.col("key").bitwiseAND(63).cast("int")
+    return runs.filter(F.getbit("marks", place) == 1).drop("run", "marks")
+
+
 def fold(text: Column) -> Column:
     """A-Z in lower case, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -34,7 +34,7 @@ from flowgauge.llm.blocks import (
     unpacked_ascending,
     word_blocks,
 )
-from flowgauge.llm.common import Packed, keep, passing
+from flowgauge.llm.common import Packed, keep, marked, marks_of, passing
 from flowgauge.llm.components import components
 
 # A row id is the partition, the block's number in it and the text's place in the block; blocks
@@ -51,6 +51,11 @@ WORDS_AT_A_TIME = 4
 SKETCH_SCALE = 64
 GROUP_SKETCHES = SKETCH_SCALE * 20_000
 
+# A band of sketches is cut into so many chunks, or more where a chunk would be larger than this: each
+# sketch goes to a task for every chunk, so what is sent grows with the input, not with its square.
+BAND_CHUNKS = 4
+LARGEST_CHUNK = 30 * GROUP_SKETCHES
+
 
 @dataclass(frozen=True)
 class Threshold:
@@ -490,13 +495,15 @@ def verified(rows: pd.DataFrame, threshold: Threshold, counted: bool) -> pd.Data
     return pd.DataFrame(made, columns=["a", "b", "n"]).astype("Int64")
 
 
-def dealt(members: DataFrame, limit: int) -> DataFrame:
+def dealt(members: DataFrame, limit: int, largest: int | None = None) -> DataFrame:
     """(id, candidate, task, side): which sets each verification task compares.
 
     Small candidate groups share tasks. A large group is cut by size band: sets of a band (left)
     meet those of the same and the next band (right); a band beyond one task is cut further into
     chunks by hash, each chunk pair a task of its own. So no task holds more than a few times the
     limit (in sizes), and no possible link goes uncompared. A set of an uncut band goes to two tasks.
+    With `largest`, a band is not cut into more than BAND_CHUNKS by the limit alone, but chunks beyond
+    `largest` are cut.
     """
     groups = members.groupBy("candidate").agg(F.sum("size").alias("all"), F.count("*").alias("sets"))
     sized = keep(members.join(groups.filter("sets > 1"), "candidate"), "sized")
@@ -509,9 +516,10 @@ def dealt(members: DataFrame, limit: int) -> DataFrame:
         F.lit(LEFT | RIGHT).alias("side"),
     )
     large = sized.filter(F.col("all") > limit)
-    chunks = large.groupBy("candidate", "band").agg(
-        F.ceil(F.sum("size") / limit).cast("int").alias("chunks")
-    )
+    by_limit = F.ceil(F.sum("size") / limit)
+    if largest is not None:
+        by_limit = F.greatest(F.least(by_limit, F.lit(BAND_CHUNKS)), F.ceil(F.sum("size") / largest))
+    chunks = large.groupBy("candidate", "band").agg(by_limit.cast("int").alias("chunks"))
     # Of every band its own chunks and the next one's, 0 where there is no such band.
     after = chunks.select(
         "candidate", (F.col("band") - 1).alias("band"), F.col("chunks").alias("next_chunks")
@@ -661,7 +669,7 @@ def near_rows(
     # A task's work on sketches is the product of its sets, times their length.
     weight = F.ceil(SKETCH_SCALE * F.sqrt(F.octet_length("sketch") / 8)).cast("long")
     weighed = candidates.select("id", "candidate", weight.alias("size"), "band")
-    sketches = dealt(weighed, GROUP_SKETCHES).join(candidates.select("id", "size", "sketch"), "id")
+    sketches = dealt(weighed, GROUP_SKETCHES, LARGEST_CHUNK).join(candidates.select("id", "size", "sketch"), "id")
     near = sketches.groupBy("task").applyInPandas(
         lambda rows: told_apart(rows, threshold), "a long, b long"
     )
@@ -747,5 +755,5 @@ def one_of_each(
         ranked = groups.join(numbered.select("key", packed["doc_id"].alias("doc_id")), "key")
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
         first = ranked.groupBy("group").agg(F.min(order).alias("first")).select("first.key")
-        first = keep(first, "first-rows", lasting=True)
-    return packed.unpacked(numbered.join(first, "key", "left_semi"))
+        first = keep(marks_of(first), "first-rows", lasting=True)
+    return packed.unpacked(marked(numbered, first))

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowgauge.llm import jaccard_join
+from flowgauge.llm.common import marked, marks_of
 from flowgauge.llm.jaccard_join import Threshold, folded_to, near_groups, near_sketches, sketch
 from tests.conftest import TESTDATA
 from tests.llm import helpers as H
@@ -146,3 +148,47 @@ def test_groups_in_chunks_of_sketches(spark, monkeypatch, limit):
         found = near_groups(docs, width, Threshold(percent)).collect()
         H.same([r[:3] for r in found], H.near_groups(H.pairs(docs), width, percent))
         H.same([(r["doc_id"], r["n_links"]) for r in found], counted_links(H.pairs(docs), width, percent))
+
+
+@pytest.mark.parametrize("largest, chunks", [(None, 30), (1000, 4), (30, 10)])
+def test_copies_of_a_large_band_are_bounded(spark, largest, chunks):
+    """However many sets a band has, each goes to a few tasks, unless chunks would get too large; and
+    every two sets of a band, or of neighbouring bands, still meet in one."""
+    members = spark.range(600).selectExpr(
+        "id", "cast(0 as bigint) AS candidate", "cast(1 as bigint) AS size", "cast(id % 2 as int) AS band"
+    )
+    rows = jaccard_join.dealt(members, 10, largest).collect()
+    # Of band 0 its own chunks and all but one of the next band's; of band 1 its own, and band 0's.
+    assert len(rows) == 300 * (2 * chunks - 1) + 300 * 2 * chunks
+    left, right = {}, {}
+    for r in rows:
+        for side, sets in ((jaccard_join.LEFT, left), (jaccard_join.RIGHT, right)):
+            if r["side"] & side:
+                sets.setdefault(r["task"], set()).add(r["id"])
+    met = {(a, b) for task in left for a in left[task] for b in right.get(task, ())}
+    assert all((a, b) in met or (b, a) in met for a in range(0, 600, 7) for b in range(600) if a != b)
+
+
+def test_kept_rows_are_told_by_marks(spark):
+    """Keys as monotonically_increasing_id gives them, first and last bits among them."""
+    keys = [0, 1, 63, 64, 127, 200, (3 << 33), (3 << 33) + 63, (5 << 33) + 62]
+    wanted = {0, 63, 127, (3 << 33) + 63, (5 << 33) + 62}
+    rows = spark.createDataFrame([(k, str(k)) for k in keys], "key long, text string")
+    marks = marks_of(rows.filter(F.col("key").isin(*wanted)).select("key"))
+    found = marked(rows, marks)
+    assert found.columns == ["key", "text"]
+    assert {(r["key"], r["text"]) for r in found.collect()} == {(k, str(k)) for k in wanted}
+
+
+def test_texts_are_not_shuffled_to_drop_copies(spark):
+    """The keys of what is kept are beyond the planner's threshold for a broadcast, their marks are not."""
+    docs = H.documents(spark, [f"{i} a{i} b{i} c{i} d{i} e{i}" for i in range(4000)])
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "5000")
+    try:
+        kept = jaccard_join.one_of_each(docs)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().toString()
+        assert kept.count() == 4000
+    finally:
+        spark.conf.set(threshold, before)
