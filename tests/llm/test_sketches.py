@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.llm import jaccard_join
-from flowgauge.llm.common import marked, marks_of
+from flowgauge.llm.common import keep, marked, marks_of
 from flowgauge.llm.jaccard_join import Threshold, folded_to, near_groups, near_sketches, sketch
 from tests.conftest import TESTDATA
 from tests.llm import helpers as H
@@ -180,15 +180,17 @@ def test_kept_rows_are_told_by_marks(spark):
     assert {(r["key"], r["text"]) for r in found.collect()} == {(k, str(k)) for k in wanted}
 
 
-def test_texts_are_not_shuffled_to_drop_copies(spark):
+def test_marks_are_broadcast_where_keys_are_not(spark):
     """The keys of what is kept are beyond the planner's threshold for a broadcast, their marks are not."""
-    docs = H.documents(spark, [f"{i} a{i} b{i} c{i} d{i} e{i}" for i in range(4000)])
+    rows = spark.range(40_000).selectExpr("id AS key", "cast(id as string) AS text")
+    wanted = rows.filter("pmod(xxhash64(key), 5) > 0").select("key")
+    keys, marks = keep(wanted, "keys"), keep(marks_of(wanted), "marks")
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
-    spark.conf.set(threshold, "5000")
+    spark.conf.set(threshold, "20000")
     try:
-        kept = jaccard_join.one_of_each(docs)
-        assert "SortMergeJoin" not in kept._jdf.queryExecution().toString()
-        assert kept.count() == 4000
+        plans = [df._jdf.queryExecution().toString() for df in (rows.join(keys, "key", "left_semi"), marked(rows, marks))]
+        assert ["SortMergeJoin" in p for p in plans] == [True, False]
+        assert marked(rows, marks).count() == wanted.count()
     finally:
         spark.conf.set(threshold, before)
