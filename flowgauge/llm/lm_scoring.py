@@ -56,9 +56,11 @@ BATCH = 4096
 NOISE = 20
 RATE = 0.02
 
-# Numbers of a model that are averaged together, and triples that are scored together.
+# Numbers of a model that are averaged together, those that a step changes together, and triples that
+# are scored together: the last two so that what is worked on stays in a core's cache.
 PIECE = 1 << 14
-SCORED = 1 << 15
+STEPPED = 1 << 15
+SCORED = 1 << 11
 
 
 @dataclass(frozen=True)
@@ -241,32 +243,27 @@ class Model:
             at += a.size
         return Model(*made)
 
-    def ahead(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Predictions after units `first`, `second`."""
-        return self.context[first] @ self.turns[0] + self.context[second] @ self.turns[1]
-
-    def classes(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-        """(rows, the units of their class, the rows' tokens in it), class by class."""
-        size = class_size(len(self.bias))
-        order = np.argsort(token, kind="stable")
-        of = token[order] // size
-        bounds = [*np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)]
-        for start, stop in zip(bounds, bounds[1:]):
-            rows, first = order[start:stop], int(of[start]) * size
-            yield rows, slice(first, min(first + size, len(self.bias))), token[rows] - first
-
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each token after its two units."""
-        found = np.zeros(len(token))
-        for start in range(0, len(token), SCORED):
-            part = slice(start, start + SCORED)
-            ahead = self.ahead(first[part], second[part])
-            out = found[part]
-            if len(self.heads) > 1:
-                heads = token[part] // class_size(len(self.bias))
-                out += chosen_logs(ahead @ self.heads.T + self.head_bias, heads)
-            for rows, units, at in self.classes(token[part]):
-                out[rows] += chosen_logs(ahead[rows] @ self.target[units].T + self.bias[units], at)
+        units = len(self.bias)
+        size = class_size(units)
+        order = by_unit(token, units)
+        bounds = np.searchsorted(token[order], np.arange(0, units + size, size)).tolist()
+        turned = [self.context @ turn for turn in self.turns]
+        heads = with_biases(self.heads, self.head_bias)
+        found = np.empty(len(token))
+        for of, (start, stop) in enumerate(zip(bounds, bounds[1:])):
+            inside = slice(of * size, (of + 1) * size)
+            lines = with_biases(self.target[inside], self.bias[inside])
+            for at in range(start, stop, SCORED):
+                rows = order[at : min(at + SCORED, stop)]
+                ahead = np.ones((len(rows), WIDTH + 1), np.float32)
+                ahead[:, :-1] = turned[0].take(first[rows], axis=0)
+                ahead[:, :-1] += turned[1].take(second[rows], axis=0)
+                logs = chosen_logs(ahead, lines, token[rows] - inside.start)
+                if len(self.heads) > 1:
+                    logs += chosen_logs(ahead, heads, np.full(len(rows), of))
+                found[rows] = logs
         return found / np.log(10)
 
     def log_table(self) -> np.ndarray:
@@ -280,95 +277,173 @@ def class_size(units: int) -> int:
     return max(UNITS, math.isqrt(max(units - 1, 0)) + 1)
 
 
-def chosen_logs(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the softmax of each row's chosen score. Uses the scores up."""
-    rows = np.arange(len(chosen))
-    own = scores[rows, chosen].astype(np.float64)
+def by_unit(units: np.ndarray, size: int) -> np.ndarray:
+    """The order that sorts units below `size`; narrow numbers are sorted by their digits."""
+    return np.argsort(units.astype(np.min_scalar_type(size)), kind="stable")
+
+
+def with_biases(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Vectors as columns, biases as the last line: a product with a prediction and a one is a score."""
+    return np.concatenate([vectors.T, bias[None]])
+
+
+def chosen_logs(ahead: np.ndarray, lines: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the softmax of each row's chosen score."""
+    scores = ahead @ lines
+    own = scores[np.arange(len(chosen)), chosen].astype(np.float64)
+    ones = np.ones(lines.shape[1], np.float32)
+    with np.errstate(over="ignore", under="ignore"):
+        total = np.exp(scores, out=scores) @ ones
+    if np.all((total > 1e-30) & (total < 1e30)):
+        return own - np.log(total.astype(np.float64))
+    # Scores too large or small for their exponentials: less the greatest of the row.
+    scores = ahead @ lines
     top = scores.max(axis=1)
-    # In place: the scores are not looked at again.
-    np.subtract(scores, top[:, None], out=scores)
-    np.exp(scores, out=scores)
-    return own - top - np.log(scores.sum(axis=1).astype(np.float64))
+    scores -= top[:, None]
+    return own - top - np.log((np.exp(scores, out=scores) @ ones).astype(np.float64))
 
 
 class Adam:
-    """Steps in place, with one spare array a parameter: temporary arrays of this size would cost
-    more than the arithmetic."""
-
-    def __init__(self, arrays: list[np.ndarray]) -> None:
-        self.first = [np.zeros_like(a) for a in arrays]
-        self.second = [np.zeros_like(a) for a in arrays]
-        self.spare = [np.zeros_like(a) for a in arrays]
+    """Steps in place, some numbers at a time: arrays as large as the model's would cost more to read
+    and write than the arithmetic. Moments are kept without their constant factors, 0.1 and 0.001."""
+
+    def __init__(self, arrays: list[np.ndarray], gradients: list[np.ndarray]) -> None:
+        cut = lambda a: [a.reshape(-1)[i : i + STEPPED] for i in range(0, a.size, STEPPED)]
+        self.pieces = [
+            (piece, g, np.zeros_like(piece), np.zeros_like(piece))
+            for a, gradient in zip(arrays, gradients)
+            for piece, g in zip(cut(a), cut(gradient))
+        ]
+        self.spare = np.empty(STEPPED, np.float32)
         self.step = 0
 
-    def apply(self, arrays: list[np.ndarray], gradients: list[np.ndarray], rate: float) -> None:
+    def apply(self, rate: float) -> None:
         self.step += 1
-        rate /= 1 - 0.9**self.step
-        grown = 1 / math.sqrt(1 - 0.999**self.step)
-        for a, g, m, v, x in zip(arrays, gradients, self.first, self.second, self.spare):
-            np.multiply(m, 0.9, out=m)
-            np.multiply(g, 0.1, out=x)
-            m += x
-            np.multiply(v, 0.999, out=v)
+        deviation = math.sqrt(0.001 / (1 - 0.999**self.step))
+        rate *= 0.1 / (1 - 0.9**self.step) / deviation
+        for a, g, m, v in self.pieces:
+            x = self.spare[: len(a)]
+            m *= 0.9
+            m += g
             np.multiply(g, g, out=x)
-            x *= 0.001
+            v *= 0.999
             v += x
             np.sqrt(v, out=x)
-            x *= grown
-            x += 1e-8
+            x += 1e-8 / deviation
             np.divide(m, x, out=x)
             x *= rate
             a -= x
 
 
-def contrast(
-    ahead: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: np.ndarray,
-    token: np.ndarray, weights: np.ndarray,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of noise-contrastive estimation: (predictions, vectors, biases).
-
-    Each token is set against NOISE draws from `noise`; their part of the objective is taken as its
-    expectation over all that can be drawn, which one matrix product gives.
-    """
-    drawn = NOISE * noise
-    rows = np.arange(len(token))
-    # In one array, step by step: drawn times the odds that a unit comes from the data.
-    pull = ahead @ vectors.T
-    np.subtract(np.log(drawn) - bias, pull, out=pull)
-    np.exp(pull, out=pull)
-    pull += 1
-    np.divide(drawn, pull, out=pull)
-    pull[rows, token] -= 1 - pull[rows, token] / drawn[token]
-    column = weights[:, None]
-    return (pull @ vectors) * column, pull.T @ (ahead * column), weights @ pull
-
-
-def gradients(
-    model: Model, noise: np.ndarray, head_noise: np.ndarray,
-    first: np.ndarray, second: np.ndarray, token: np.ndarray, weights: np.ndarray,
-) -> list[np.ndarray]:
-    ahead = model.ahead(first, second)
-    made = [np.zeros_like(a) for a in model.arrays()]
-    context, turns, target, bias, heads, head_bias = made
-    back = np.zeros_like(ahead)
-    if len(model.heads) > 1:
-        of = token // class_size(len(model.bias))
-        back, heads[:], head_bias[:] = contrast(
-            ahead, model.heads, model.head_bias, head_noise, of, weights
+class Contrast:
+    """Vectors and biases that noise-contrastive estimation trains, by class: `lines` has a class's
+    vectors as columns and under them their biases, less the logarithm of how often the noise draws
+    them. Each class is filled up to `size` with places that are never expected."""
+
+    def __init__(self, vectors: np.ndarray, bias: np.ndarray, noise: np.ndarray, size: int) -> None:
+        self.units, classes = len(bias), -(-len(bias) // size)
+        room = classes * size - self.units
+        lines = np.pad(with_biases(vectors, bias), ((0, 0), (0, room)))
+        lines = np.ascontiguousarray(lines.reshape(-1, classes, size).transpose(1, 0, 2))
+        noise = np.pad(noise, (0, room)).reshape(classes, size)
+        drawn = NOISE * noise / noise.sum(axis=1, keepdims=True)
+        drawn.ravel()[self.units :] = 1
+        self.drawn = drawn.astype(np.float32)
+        self.lines = lines.astype(np.float32)
+        self.lines[:, -1] -= np.log(self.drawn)
+        self.lines[-1, -1, size - room :] = -np.inf
+        self.gradient = np.zeros_like(self.lines)
+
+    def trained(self) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, biases)."""
+        lines = self.lines.copy()
+        lines[:, -1] += np.log(self.drawn)
+        lines = lines.transpose(1, 0, 2).reshape(lines.shape[1], -1)[:, : self.units]
+        return lines[:-1].T, lines[-1]
+
+    def pull(self, ahead: np.ndarray, weighted: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Gradient by each prediction, before its weight; sets `gradient`. Tokens are ascending;
+        `ahead` has negative predictions and -1, `weighted` predictions and 1, times their weights.
+
+        Each token is set against NOISE draws from the noise of its class; their part of the objective
+        is taken as its expectation over all that can be drawn, which one matrix product gives.
+        """
+        classes, _, size = self.lines.shape
+        bounds = np.searchsorted(token, np.arange(classes + 1) * size).tolist()
+        runs = [(c, slice(*run)) for c, run in enumerate(zip(bounds, bounds[1:])) if run[0] < run[1]]
+        vectors = self.lines[:, :-1] * self.drawn[:, None]
+        # The odds that a unit comes from the data, step by step in one array for all classes.
+        odds = np.empty((len(token), size), np.float32)
+        for c, rows in runs:
+            np.matmul(ahead[rows], self.lines[c], out=odds[rows])
+        np.exp(odds, out=odds)
+        odds += 1
+        np.reciprocal(odds, out=odds)
+        flat, places = odds.reshape(-1), np.arange(0, odds.size, size) + token % size
+        own = flat[places]
+        flat[places] = own - (1 - own) / self.drawn.reshape(-1)[token]
+        back = np.empty((len(token), WIDTH), np.float32)
+        if len(runs) < classes:
+            self.gradient.fill(0)
+        for c, rows in runs:
+            np.matmul(odds[rows], vectors[c].T, out=back[rows])
+            np.matmul(weighted[rows].T, odds[rows], out=self.gradient[c])
+        self.gradient *= self.drawn[:, None]
+        return back
+
+
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the row of `total` at its place. Two numbers go as one complex number, which
+    halves the places."""
+    half = total.shape[1] // 2
+    places = (at[:, None] * half + np.arange(half)).reshape(-1)
+    np.add.at(total.view(np.complex64).reshape(-1), places, rows.view(np.complex64).reshape(-1))
+
+
+class Training:
+    """A model in training: its arrays laid out for steps, with their gradients. Changes the model's
+    context vectors and matrices as it goes, the rest in `end`."""
+
+    def __init__(self, model: Model, noise: np.ndarray) -> None:
+        self.model, self.units = model, len(noise)
+        size = class_size(self.units)
+        self.size = size
+        self.targets = Contrast(model.target, model.bias, noise, size)
+        head_noise = np.add.reduceat(noise, np.arange(0, self.units, size))
+        self.heads = Contrast(model.heads, model.head_bias, head_noise, len(head_noise))
+        self.turns = model.turns.reshape(2 * WIDTH, WIDTH)
+        self.context_gradient = np.zeros_like(model.context)
+        self.turn_gradient = np.zeros_like(self.turns)
+        self.adam = Adam(
+            [model.context, self.turns, self.targets.lines, self.heads.lines],
+            [self.context_gradient, self.turn_gradient, self.targets.gradient, self.heads.gradient],
         )
-    for rows, units, at in model.classes(token):
-        inside = noise[units] / noise[units].sum()
-        more, target[units], bias[units] = contrast(
-            ahead[rows], model.target[units], model.bias[units], inside, at, weights[rows]
-        )
-        back[rows] += more
-    for place, units in enumerate((first, second)):
-        turns[place] = model.context[units].T @ back
-        order = np.argsort(units, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(units[order]) != 0))
-        sent = back @ model.turns[place].T
-        context[units[order[starts]]] += np.add.reduceat(sent[order], starts)
-    return made
+
+    def step(self, code: np.ndarray, counts: np.ndarray, rate: float) -> None:
+        """A step by a batch of triples, weighted by their counts."""
+        before, first = code // self.units, code // self.units**2
+        token = code - before * self.units
+        order = by_unit(token, self.units)
+        token, counts = token[order], counts[order]
+        pairs = np.stack([first, before - first * self.units], axis=1)[order].reshape(-1)
+        weights = (counts / counts.sum()).astype(np.float32)[:, None]
+        seen = self.model.context.take(pairs, axis=0).reshape(-1, 2 * WIDTH)
+        ahead = np.full((len(code), WIDTH + 1), -1, np.float32)
+        np.negative(seen @ self.turns, out=ahead[:, :-1])
+        weighted = ahead * -weights
+        back = self.targets.pull(ahead, weighted, token)
+        if self.heads.units > 1:
+            back += self.heads.pull(ahead, weighted, token // self.size)
+        back *= weights
+        np.matmul(seen.T, back, out=self.turn_gradient)
+        self.context_gradient.fill(0)
+        add_rows(self.context_gradient, pairs, back @ self.turns.T)
+        self.adam.apply(rate)
+
+    def end(self) -> None:
+        model = self.model
+        model.target[:], model.bias[:] = self.targets.trained()
+        model.heads[:], model.head_bias[:] = self.heads.trained()
 
 
 def train(
@@ -377,22 +452,15 @@ def train(
     """One pass over all counted unit triples, in batches, each triple weighted by its count; gives
     how many tokens it went over. Changes the model."""
     rng = np.random.default_rng(seed)
-    adam = Adam(model.arrays())
-    size = len(noise)
-    head_noise = np.add.reduceat(noise, np.arange(0, size, class_size(size))).astype(np.float32)
-    noise = noise.astype(np.float32)
+    training = Training(model, noise)
     tokens = 0
     for codes, counts in counted:
         order = rng.permutation(len(codes))
         for start in range(0, len(order), BATCH):
             some = order[start : start + BATCH]
-            code, n = codes[some], counts[some]
-            weights = (n / n.sum()).astype(np.float32)
-            made = gradients(
-                model, noise, head_noise, code // size**2, code // size % size, code % size, weights
-            )
-            adam.apply(model.arrays(), made, rate)
-            tokens += int(n.sum())
+            training.step(codes[some], counts[some], rate)
+        tokens += int(counts.sum())
+    training.end()
     return tokens
 
 
