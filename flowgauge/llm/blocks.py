@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -61,6 +62,18 @@ def words_of(text: str | None, folded: bool) -> list[bytes]:
     return (data.lower() if folded else data).split()
 
 
+def words_in(texts: pa.Array, folded: bool) -> tuple[pa.Array, np.ndarray]:
+    """(words of all the texts one after the other, how many each text has): `words_of` by Arrow."""
+    texts = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if folded else texts)
+    parts = lists.flatten()
+    # A blank at either end parts an empty string from the rest.
+    real = pc.not_equal(pc.binary_length(parts), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    return parts.filter(real), np.diff(before[ends])
+
+
 class Block:
     """A stored block: `numbers` of all words, documents one after the other from `starts`."""
 
@@ -94,39 +107,45 @@ def word_blocks(docs: DataFrame, folded: bool) -> DataFrame:
         blocks = 0
         ids: list = []
         sizes: list[int] = []
-        numbers: list[np.ndarray] = []
-        known: dict[bytes, int] = {}
+        runs: list[pa.Array] = []
 
         def closed() -> pa.RecordBatch:
             nonlocal blocks
-            flat = np.concatenate([np.empty(0, np.uint32), *numbers])
+            # Numbers go by first appearance.
+            found = pa.chunked_array(runs, pa.string()).dictionary_encode().combine_chunks()
+            flat, words = found.indices.to_numpy().astype(np.uint32), found.dictionary
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
             row = {
                 "block": [part << 32 | blocks],
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
                 "sizes": [packed(np.array(sizes, np.int64))],
                 "numbers": [packed(flat)],
-                "words": [zstandard.compress(b" ".join(known), 1)],
+                "words": [zstandard.compress(pc.binary_join(listed, " ")[0].as_buffer(), 1)],
                 "n_words": [len(flat)],
-                "n_distinct": [len(known)],
+                "n_distinct": [len(words)],
             }
             blocks += 1
-            ids.clear(), sizes.clear(), numbers.clear(), known.clear()
+            ids.clear(), sizes.clear(), runs.clear()
             return pa.RecordBatch.from_pydict(row)
 
         held = 0
         for batch in batches:
             keys = batch.column(0)
             for start, texts in slices(batch.column(1)):
-                for doc_id, text in zip(keys.slice(start, len(texts)).to_pylist(), texts):
-                    words = words_of(text, folded)
-                    if ids and (held + len(words) > BLOCK_WORDS or len(ids) == BLOCK_TEXTS):
+                words, counts = words_in(pa.array(texts, pa.string()), folded)
+                # Texts go into the open block a run at a time, from `first` words on.
+                first = stop = 0
+                for doc_id, n in zip(keys.slice(start, len(texts)).to_pylist(), counts.tolist()):
+                    if ids and (held + n > BLOCK_WORDS or len(ids) == BLOCK_TEXTS):
+                        runs.append(words[first:stop])
+                        first = stop
                         yield closed()
                         held = 0
-                    number = [known.setdefault(w, len(known)) for w in words]
                     ids.append(doc_id)
-                    sizes.append(len(words))
-                    numbers.append(np.array(number, np.uint32))
-                    held += len(words)
+                    sizes.append(n)
+                    stop += n
+                    held += n
+                runs.append(words[first:stop])
         if ids:
             yield closed()
 

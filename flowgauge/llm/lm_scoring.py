@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast
@@ -90,7 +91,7 @@ def training_counts(block: Block, split: Split) -> np.ndarray:
 def word_order(block: Block) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words and END, their hashes ascending, the order that sorts them)."""
     words = [*block.words, END]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     order = np.argsort(hashes, kind="stable")
     return words, hashes[order], order
 
@@ -115,27 +116,26 @@ def sum_words(own_from: int, shards: int):
     shared = int(shared_unit(np.array([own_from - 1]))[0]) + 1
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lists = [zstandard.decompress(w).split(b" ") for w in rows["words"]]
-        counts = [unpacked(c, np.int64).tolist() for c in rows["counts"]]
-        totals: dict[bytes, int] = {}
-        for words, own in zip(lists, counts):
-            for w, n in zip(words, own):
-                totals[w] = totals.get(w, 0) + n
-        known = np.fromiter(totals.values(), np.int64, len(totals))
-        known = known[known > 0]
+        lists = [
+            pc.split_pattern(pa.array([zstandard.decompress(w)], pa.binary()), b" ").flatten()
+            for w in rows["words"]
+        ]
+        found = pa.chunked_array(lists, pa.binary()).dictionary_encode()
+        words, places = found.chunk(0).dictionary, [c.indices.to_numpy() for c in found.chunks]
+        totals = np.zeros(len(words), np.int64)
+        for at, counts in zip(places, rows["counts"]):
+            # A block has a word once.
+            totals[at] += unpacked(counts, np.int64)
+        known = totals[totals > 0]
         few = known[known < own_from]
         shares = np.bincount(shared_unit(few), few, shared).astype(np.int64)
         rare = np.bincount(np.minimum(known, 3), minlength=4)
-        often = sorted((-n, w) for w, n in totals.items() if n >= own_from)
+        own = np.flatnonzero(totals >= own_from)
+        often = sorted(zip((-totals[own]).tolist(), words.take(pa.array(own)).to_pylist(), own.tolist()))
         shard = int(rows["shard"].iloc[0])
-        numbers = {w: shared + i * shards + shard for i, (_, w) in enumerate(often)}
-        answers = []
-        for words in lists:
-            seen = np.array([totals[w] for w in words], np.int64)
-            units = shared_unit(np.minimum(seen, own_from - 1))
-            for i in np.flatnonzero(seen >= own_from).tolist():
-                units[i] = numbers[words[i]]
-            answers.append(packed(np.stack([seen, units])))
+        units = shared_unit(np.minimum(totals, own_from - 1))
+        units[np.array([at for _, _, at in often], np.int64)] = shared + np.arange(len(often)) * shards + shard
+        answers = [packed(np.stack([totals[at], units[at]])) for at in places]
         nothing: list = [None] * (len(rows) - 1)
         return pd.DataFrame(
             {
@@ -147,7 +147,7 @@ def sum_words(own_from: int, shards: int):
                 "shares": [shares.tolist(), *nothing],
                 "once": [int(rare[1]), *nothing],
                 "twice": [int(rare[2]), *nothing],
-                "own": [[-n for n, _ in often], *nothing],
+                "own": [[-n for n, _, _ in often], *nothing],
             }
         )
 
