@@ -82,14 +82,21 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def keep(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+def keep(df: DataFrame, label: str, lasting: bool = False, plain: bool = False) -> DataFrame:
     """Compute once into a table of the shared folder and read it back: later steps agree on the
-    rows, a lost executor costs a re-read, and the planner knows the size on disk."""
+    rows, a lost executor costs a re-read, and the planner knows the size on disk.
+
+    `plain`: neither compressed nor by dictionary, so that the size on disk is about that in memory. For
+    tables that grow with the input and may be broadcast: packed, one below the planner's threshold can
+    be many times that in the driver."""
     path = scratch_path(df.sparkSession, label)
     if _passing and not lasting:
         _passing[-1].places.append(path)
+    writer = df.write.option("compression", "none" if plain else "zstd")
+    if plain:
+        writer = writer.option("parquet.enable.dictionary", "false")
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import Packed, columns_of, fold, keep, let, passing
+from flowgauge.llm.common import (
+    Packed,
+    columns_of,
+    fold,
+    keep,
+    let,
+    marked,
+    marks_of,
+    passing,
+)
 
 # Words of texts and items: runs of letters, digits and what is not ASCII.
 INDEX_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,8 +125,9 @@ def offset_adjusted(index: Index, which: str) -> DataFrame:
 def phrase_matches(index: Index) -> DataFrame:
     """(id, hits): per text with an exact match, its (start, length, window) in order.
 
-    The two rarest lists leave few candidates, so the texts that hold some are few; a text's
-    candidates come together in one row, no more than its words times the lengths of windows.
+    The two rarest lists leave few candidates, so the texts that hold some are few, and are picked out
+    by marks before they meet them; a text's candidates come together in one row, no more than its
+    words times the lengths of windows.
     """
     first = offset_adjusted(index, "first").filter("start >= 0")
     second = offset_adjusted(index, "second").select("window", "id", "start").distinct()
@@ -128,9 +138,11 @@ def phrase_matches(index: Index) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("start", "length", "window", "body"))).alias("at")
         ),
         "candidates",
+        plain=True,
     )
-    texts = index.texts.select("id", "body")
-    joined = texts.join(candidates, "id")
+    marks = keep(marks_of(candidates.select(F.col("id").alias("key"))), "candidate-texts", plain=True)
+    texts = marked(index.texts.select(F.col("id").alias("key"), "body"), marks)
+    joined = texts.withColumnRenamed("key", "id").join(candidates, "id")
     same = lambda w: lambda c: (
         F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["body"]
     )

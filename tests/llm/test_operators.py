@@ -12,9 +12,10 @@ import zstandard
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowgauge.llm import queries
+from flowgauge.llm import decontamination, queries
 from flowgauge.llm.blocks import Block, packed, unpacked
 from flowgauge.llm.bpe import Encoder, bpe_digests
+from flowgauge.llm.common import keep
 from flowgauge.llm.decontamination import build_index, drop_contaminated, find_contamination, proximity_matches, stored_texts
 from flowgauge.llm.jaccard_join import Threshold, near_groups, one_of_each, row_ids, shard_rows, shingle_sets, stars
 from flowgauge.llm.lm_scoring import UNITS, Model, Split, score_texts, train
@@ -310,6 +311,33 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in met.collect()} == {1}
 
 
+def test_candidates_are_broadcast_by_their_size_in_memory(spark, monkeypatch):
+    """Candidates of equal passages compress to a small part of what the driver would collect: below the
+    planner's threshold on disk, they are not to be broadcast when they are beyond it in memory."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = H.documents(spark, [f"{passage} d{i}" for i in range(2000)] + ["clean text"])
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    plans = {}
+
+    def noted(df, label, *args, **kwargs):
+        plans[label] = df._jdf.queryExecution().toString()
+        return keep(df, label, *args, **kwargs)
+
+    monkeypatch.setattr(decontamination, "keep", noted)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, str(1 << 20))
+    try:
+        found = find_contamination(docs, items)
+        assert found.filter("contaminated AND n_hit = 60 AND n_items = 1").count() == 2000
+        assert found.filter("NOT contaminated AND n_hit = 0").count() == 1
+    finally:
+        spark.conf.set(threshold, before)
+    assert "SortMergeJoin [id#" in plans["hits"] and "BroadcastHashJoin [id#" not in plans["hits"]
+    # The marks of the texts that hold any are, so that no text without one is shuffled.
+    assert "BroadcastHashJoin [run#" in plans["hits"]
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 
